@@ -73,10 +73,19 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte start and end of every word and, per row, the index of its first word (n+1 long)."""
-    n = len(buf)
+    return spans(SEPARATOR[buf], off)
+
+
+def lines(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Like words(), for the non-empty lines."""
+    return spans(buf == 10, off)
+
+
+def spans(sep: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every maximal run without separators; a run ends with its row."""
+    n = len(sep)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    sep = SEPARATOR[buf]
     full = off[:-1] < off[1:]
     edge = np.empty(n, bool)
     edge[1:] = sep[:-1]

@@ -4,11 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substring_dedup
+from . import masked_lm, media, mixing, packing, permutation_ann, quality, simhash, substring_dedup, token_spans, toxicity
 from .common import read
+from .sampling import fold
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def _scored(scores: DataFrame, folds: int, held: int, threshold: float) -> DataFrame:
+    return scores.select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return _scored(scores, 3, 1, 0.5)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,13 +29,46 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_permutation_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(read(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_spans.count_sections(read(spark, sf_dir, "documents"), path(TOKENIZER))
+
+
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(read(spark, sf_dir, "documents"))
+
+
+def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.texts_as_media(read(spark, sf_dir, "documents"))
+    parts = media.resolve(media.sequences(stored.select("doc_id", "html")).where("kind = 'media'").drop("text"), stored.select("digest", "media"))
+    n_bytes = F.regexp_extract("caption", r"^(\d+) bytes$", 1).cast("long")
+    return parts.select("doc_id", n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op8_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
+    return _scored(scores, 4, 2, 0.3)
+
+
+def op9_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), path(TOKENIZER))
+
+
+def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.interleave(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op4_simhash_near_dedup)}
+    every = (op1_quality_crf, op2_substring_dedup, op3_permutation_ann, op4_simhash_near_dedup, op5_token_counts, op6_masked_lm, op7_media_columns, op8_toxicity_string_kernel, op9_bin_completion_packing, op10_pfair_mixing)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
