@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import materialize, pick
 
 
 def quotas(sizes: DataFrame, period: int) -> DataFrame:
@@ -93,3 +93,16 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
         (F.expr("block div quota") * period + F.col("slot")).alias("slot"),
         F.col("place").cast("long").alias("place"),
     )
+
+
+def in_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """All rows of ``docs``, dealt so that each written file holds runs of consecutive slots in order.
+
+    Rows of a repeated id share their first slot; rows without an id come last.
+    """
+    slots = materialize(interleave(docs, id_col, source_col, **options).groupBy("doc_id").agg(F.min("slot").alias("__slot")).withColumnRenamed("doc_id", "__id"))
+    last = slots.agg(F.max("__slot")).first()[0] or 0
+    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = docs.join(slots, docs[id_col].cast("long") == slots["__id"], "left")
+    run = F.floor(F.coalesce("__slot", F.lit(last + 1)) / max(1.0, (last + 2) / files)).cast("long")
+    return joined.withColumn("__run", run).repartition(files, "__run").sortWithinPartitions(F.asc_nulls_last("__slot"), id_col).select(*docs.columns)

@@ -225,3 +225,28 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", F.xxhash64("text"))
     ranges = covered_ranges(base, window, mmer, bucket_rows)
     return base.join(ranges, ["doc_id", "text_key"], "left").select("doc_id", "text", "ranges").mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept string")
+
+
+def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, mmer: int = 8, bucket_rows: int = 1024) -> DataFrame:
+    """``docs`` with the repeated words cut from its text; untouched texts stay as they are.
+
+    Where words go, the rest is joined by one space. All rows and columns stay.
+    """
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+        out = []
+        for text, parts in zip(texts.to_pylist(), ranges.to_pylist(), strict=True):
+            if text is not None and parts:
+                words = text.encode().split()
+                keep = np.ones(len(words), bool)
+                for x in parts:
+                    keep[x["from_word"] : x["to_word"]] = False
+                text = b" ".join([w for w, k in zip(words, keep, strict=True) if k]).decode()
+            out.append(text)
+        return pa.array(out, pa.string())
+
+    base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", F.xxhash64("text"))
+    ranges = covered_ranges(base, window, mmer, bucket_rows).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("ranges").alias("__ranges"))
+    joined = docs.join(ranges, (docs[id_col].cast("long") == ranges["__id"]) & (F.xxhash64(docs[text_col]) == ranges["__key"]), "left")
+    return joined.withColumn(text_col, cut(docs[text_col], F.col("__ranges"))).select(*docs.columns)

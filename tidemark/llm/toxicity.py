@@ -274,3 +274,15 @@ def score(docs: DataFrame, labels: DataFrame, trains: Column, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(probability(batch.column(1), model))], names=["doc_id", "score"])
 
     return base.mapInArrow(run, "doc_id long, score double")
+
+
+def reject(docs: DataFrame, labels: DataFrame, trains: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", **limits) -> DataFrame:
+    """``docs`` without the rows that score at least ``threshold``; columns stay, nothing is shuffled."""
+    base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    model = fit(base, labels, trains, label, **limits)
+
+    @F.arrow_udf("double")
+    def value(texts: pa.Array) -> pa.Array:
+        return pa.array(probability(texts, model))
+
+    return docs.where(value(docs[text_col]) < threshold)
