@@ -30,23 +30,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, pick
-from .tokens import Encoder
+from .tokens import encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text) with the checksum of their ids."""
+def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+    """Pieces of ``docs`` (doc_id, text) with the checksum of their ids; ``ranks`` is the vocabulary's file."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(ranks, pattern).ids
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 out: list[list] = [[] for _ in PIECES]
-                for i, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist()), strict=True):
-                    ids = memoryview(ids + end)
+                for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                    ids = memoryview(ids.tobytes() + end)
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -199,10 +199,10 @@ def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray
     return {"key": key, "first": first, "sequence": seq, "offset": offset}
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """Pieces of all documents with their sequence and offset (see the module's head)."""
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    cut = materialize(pieces(base, tokenizer, capacity, end_id))
+    cut = materialize(pieces(base, ranks, pattern, capacity, end_id))
     chunks = max(1, math.isqrt(cut.count()))
     cut = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
     sizes = materialize(cut.groupBy("length", "chunk").agg(F.count("*").alias("n")))

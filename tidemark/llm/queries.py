@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from public_tokenizers import path
+from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +12,7 @@ from . import masked_lm, media, mixing, packing, permutation_ann, quality, simha
 from .common import read
 from .sampling import fold
 
-TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def _scored(scores: DataFrame, folds: int, held: int, threshold: float) -> DataFrame:
@@ -39,7 +39,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_spans.count_sections(read(spark, sf_dir, "documents"), path(TOKENIZER))
+    return token_spans.count_sections(read(spark, sf_dir, "documents"), path(RANKS), PATTERN)
 
 
 def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op8_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), path(TOKENIZER))
+    return packing.pack(read(spark, sf_dir, "documents"), path(RANKS), PATTERN)
 
 
 def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

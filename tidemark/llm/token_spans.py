@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
-from .tokens import Encoder
+from .tokens import encoder
 
 COUNTS = pa.schema([("doc_id", pa.int64()), ("section", pa.int32()), ("first_char", pa.int64()), ("end_char", pa.int64()), ("n_tokens", pa.float64()), ("n_crossing", pa.int64())])
 
@@ -54,35 +54,27 @@ def attribute(lengths: np.ndarray, ends: np.ndarray, rule: str) -> tuple[np.ndar
     return count, crossing
 
 
-def token_bytes(encoder: Encoder) -> np.ndarray:
-    """Bytes of every token: its string has one character a byte."""
-    size = np.zeros(encoder.tokenizer.get_vocab_size(), np.int64)
-    for token, i in encoder.tokenizer.get_vocab().items():
-        size[i] = len(token)
-    return size
-
-
-def count_sections(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", rule: str = "first", sections: Callable[[str], list[int]] = lines) -> DataFrame:
+def count_sections(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", rule: str = "first", sections: Callable[[str], list[int]] = lines) -> DataFrame:
     """Per document and section: doc_id, section, first_char, end_char, n_tokens, n_crossing."""
     if rule not in ("first", "last", "split"):
         raise ValueError(f"unknown rule {rule}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        size = token_bytes(encoder)
+        model = encoder(ranks, pattern)
+        size = model.token_bytes
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 out: list[list] = [[] for _ in COUNTS]
-                for i, text, ids in zip(batch.column(0).to_pylist(), texts, encoder.ids(texts), strict=True):
+                for i, text, ids in zip(batch.column(0).to_pylist(), texts, model.ids(texts), strict=True):
                     ends = sections(text)
                     if text.isascii():
                         cuts = np.array(ends)
                     else:
                         at_char = np.flatnonzero((np.frombuffer(raw := text.encode(), np.uint8) & 0xC0) != 0x80)
                         cuts = np.append(at_char, len(raw))[ends]
-                    counts, crossing = attribute(size[np.frombuffer(ids, "<u4")], cuts, rule)
+                    counts, crossing = attribute(size[ids], cuts, rule)
                     out[0] += [i] * len(ends)
                     out[1] += range(len(ends))
                     out[2] += [0, *ends[:-1]]

@@ -1,50 +1,41 @@
-"""Whole-text encoding with a public byte-level BPE, run by run.
+"""Whole-text encoding with a public byte-level BPE.
 
-The vocabulary's pre-tokenizer attaches a single space to what follows it, so a space with
-non-white characters on both sides always starts a new piece and the runs between such
-spaces encode independently. Runs repeat (words do), so each task keeps a bounded table of
-the runs it has encoded; ids are exactly those of encoding the whole text at once.
+The vocabulary is read from its rank file and encoded by tiktoken; the ids are those that
+the tokenizers library gives for the same vocabulary's JSON file without special tokens
+(tests compare them), at a fifth of the time and without an object per text. Special
+tokens' strings in a text are ordinary text.
 """
 
 from __future__ import annotations
 
-import re
+import base64
 from collections.abc import Iterable
+from functools import lru_cache
 
 import numpy as np
 
-_ODD = re.compile(r"\A\s|\s\Z|\s\s")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 
+class Encoder:
+    """ids of whole texts and the bytes of every token."""
 
-def runs(text: str) -> list[str]:
-    """Independently encodable runs; every one but the first stands for itself after a space."""
-    return _CUT.split(text) if _ODD.search(text) else text.split(" ")
+    def __init__(self, path: str, pattern: str):
+        import tiktoken
 
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.token_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.token_bytes[rank] = len(token)
 
-class Encoder:
-    """ids and token lengths of whole texts; keeps at most ``most`` encoded runs."""
-
-    def __init__(self, path: str, most: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.most = most
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def ids(self, texts: Iterable[str | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text; none for a null or empty one."""
-        cut = [runs(t) if t else [] for t in texts]
-        rest = {r for c in cut for r in c[1:]}
-        if len(self.known) > self.most:
-            self.known = {}
-        new = list(rest - self.known.keys())
-        self.known.update(zip(new, self._encode([" " + r for r in new]), strict=True))
-        heads = list({c[0] for c in cut if c})
-        first = dict(zip(heads, self._encode(heads), strict=True))
-        known = self.known
-        return [b"".join([first[c[0]], *[known[r] for r in c[1:]]]) if c else b"" for c in cut]
+    def ids(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """Little-endian unsigned 32-bit ids of each text; none for a null or empty one."""
+        encode = self.encoding.encode_to_numpy
+        none = np.zeros(0, "<u4")
+        return [encode(t, disallowed_special=()).astype("<u4", copy=False) if t else none for t in texts]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder per worker process."""
+    return Encoder(path, pattern)
