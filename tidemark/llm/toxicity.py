@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,9 +100,18 @@ def decision(column: pa.Array, table: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _words(code: np.ndarray, edges: np.ndarray) -> list[bytes]:
-    raw, stop = code.tobytes(), np.append(edges[1:], len(code))
-    return [raw[a:b] + b"\x1b" for a, b in zip(edges.tolist(), stop.tolist(), strict=True)]
+def _words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of three letters or more (with their edges), and one (document, word) per pair, by document."""
+    number: dict[bytes, int] = {}
+    docs, held = [], []
+    for i, text in enumerate(texts):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        code, edges, _ = folded(buf, np.array([0, len(buf)]))
+        raw, stop = code.tobytes(), [*edges[1:].tolist(), len(code)]
+        found = {number.setdefault(raw[a:b] + b"\x1b", len(number)) for a, b in zip(edges.tolist(), stop, strict=True) if b - a > 3}
+        docs.append(np.full(len(found), i, np.int32))
+        held.append(np.sort(np.fromiter(found, np.int32, len(found))))
+    return list(number), np.concatenate(docs), np.concatenate(held)
 
 
 def _rows(words: list[bytes], number_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,24 +152,23 @@ def kernel_rows(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
 def choose_landmarks(words: list[bytes], docs: np.ndarray, word_of: np.ndarray, label: np.ndarray, most: int) -> list[bytes]:
     """Words of toxic documents with the most telling 4-grams not yet covered, then common clean words.
 
-    docs, word_of: document and word of every occurrence.
+    docs, word_of: document and word of every pair, by document.
     """
-    gram_w, gram = [], []
-    for i, w in enumerate(words):
-        for k in range(len(w) - 3):
-            gram_w.append(i)
-            gram.append(int.from_bytes(w[k : k + 4], "big"))
-    grams, gram = np.unique(np.array(gram, np.int64), return_inverse=True)
-    gram_w = np.array(gram_w, np.int64)
-    by_word = np.searchsorted(gram_w, np.arange(len(words) + 1))
-    times = np.diff(by_word)[word_of]
-    flat = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(by_word[word_of], times)
-    pairs = np.unique(np.repeat(docs, times) * len(grams) + gram[flat])
-    held, of = pairs % len(grams), label[pairs // len(grams)]
-    toxic, clean = np.bincount(held[of == 1], minlength=len(grams)), np.bincount(held[of == 0], minlength=len(grams))
+    size = np.array([len(w) - 3 for w in words])
+    by_word = np.concatenate([[0], np.cumsum(size)])
+    code = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
+    at = np.arange(by_word[-1]) + 3 * np.repeat(np.arange(len(words)), size)
+    grams, gram = np.unique(code[at] << 15 | code[at + 1] << 10 | code[at + 2] << 5 | code[at + 3], return_inverse=True)
+    gram = gram.astype(np.int32)
+    held = np.zeros((2, len(grams)), np.int64)  # documents of each label that hold a gram
+    begin = np.searchsorted(docs, np.arange(len(label) + 1))
+    for i, kind in enumerate(label):
+        own = word_of[begin[i] : begin[i + 1]]
+        if len(own):
+            held[kind, np.unique(np.concatenate([gram[by_word[w] : by_word[w + 1]] for w in own]))] += 1
     t, c = max(1, (label == 1).sum()), max(1, (label == 0).sum())
-    rate = (toxic + clean) / (t + c)
-    z = (toxic / t - clean / c) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / t + 1 / c))
+    rate = held.sum(axis=0) / (t + c)
+    z = (held[1] / t - held[0] / c) / np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / t + 1 / c))
     top = np.maximum.reduceat(z[gram], by_word[:-1])
     chosen: list[int] = []
     covered = np.zeros(len(grams), bool)
@@ -173,8 +180,9 @@ def choose_landmarks(words: list[bytes], docs: np.ndarray, word_of: np.ndarray,
         if len(fresh) and z[fresh].max() >= 4:
             chosen.append(int(i))
             covered[own] = True
-    common = np.argsort(-np.bincount(word_of[label[docs] == 0], minlength=len(words)), kind="stable")
-    chosen += [int(i) for i in common if int(i) not in set(chosen)][: most - len(chosen)]
+    have = set(chosen)
+    common = np.argsort(-np.bincount(word_of[label[docs] == 0], minlength=len(words)), kind="stable")[: 2 * most]
+    chosen += [int(i) for i in common if int(i) not in have][: most - len(chosen)]
     return [words[i] for i in chosen]
 
 
@@ -193,30 +201,25 @@ def _machine(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float) -> np.nd
     return w
 
 
-def train(texts: list[str], label: np.ndarray, weights: np.ndarray, landmarks: int = 160, rounds: int = 5, ridge: float = 0.1) -> dict[str, np.ndarray] | None:
+def train(texts: list[str], label: np.ndarray, weights: np.ndarray, landmarks: int = 128, rounds: int = 5, ridge: float = 0.1) -> dict[str, np.ndarray] | None:
     """Subsequence weights and the logistic's slope and constant from labelled texts."""
-    code, edges, docs = folded(*arrays.text_buffer(pa.array(texts, pa.string())))
-    listed = _words(code, edges)
-    cut = np.array([len(w) > 4 for w in listed], bool)  # three letters and two edges
-    docs = docs[cut]
-    index = pd.factorize(np.array([w for w, k in zip(listed, cut, strict=True) if k], dtype=object))
-    word_of, words = index[0], list(index[1])
-    # one row per document and word
-    pairs = np.unique(docs * len(words) + word_of)
-    docs, word_of = pairs // len(words), pairs % len(words)
+    words, docs, word_of = _words(texts)
     chosen = choose_landmarks(words, docs, word_of, label, landmarks)
     if not chosen:
         return None
-    k = kernel_rows(words, chosen).astype(np.float64)
+    k = kernel_rows(words, chosen)
     own = kernel_rows(chosen, chosen).astype(np.float64)
     norm = np.sqrt(np.maximum(np.diag(own), 1e-9))
     gram = own / norm[:, None]
     gram = (gram + gram.T) / 2
     values, vectors = np.linalg.eigh(gram)
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
-    x = k @ whiten
     begin = np.searchsorted(docs, np.arange(len(label)))
-    value = (k / norm)[:, : max(1, len(chosen) * 3 // 4)].max(axis=1)
+    value = np.full(len(words), -np.inf)
+    for j in range(max(1, len(chosen) * 3 // 4)):
+        value = np.maximum(value, k[:, j] / norm[j])
+    x = k @ whiten.astype(np.float32)
+    del k
     w = None
     for _ in range(rounds):
         v = value[word_of]
@@ -225,8 +228,8 @@ def train(texts: list[str], label: np.ndarray, weights: np.ndarray, landmarks: i
         use = rank < np.where(label[docs[order]] == 1, 1, 4)
         pick_ = order[use]
         y = np.where(label[docs[pick_]] == 1, 1.0, -1.0)
-        w = _machine(x[word_of[pick_]], y, weights[docs[pick_]], ridge)
-        value = x @ w[:-1] + w[-1]
+        w = _machine(x[word_of[pick_]].astype(np.float64), y, weights[docs[pick_]], ridge)
+        value = x @ w[:-1].astype(np.float32) + w[-1]
     beta = whiten @ w[:-1]
     lw, ln, lv = _rows(chosen)
     used, at = np.unique(ln, return_inverse=True)
@@ -253,7 +256,7 @@ def probability(column: pa.Array, model: dict[str, np.ndarray] | None) -> np.nda
     return 1 / (1 + np.exp(-np.clip(model["slope"] * decision(column, model["table"]) + model["constant"], -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, trains: Column, label: str = "toxic", per_class: int = 1500, most_bytes: int = 1 << 14) -> dict[str, np.ndarray] | None:
+def fit(docs: DataFrame, labels: DataFrame, trains: Column, label: str = "toxic", per_class: int = 1200, most_bytes: int = 1 << 13) -> dict[str, np.ndarray] | None:
     """Train on at most ``per_class`` documents a label, each of at most ``most_bytes``."""
     sample, counts = labelled_sample(docs, labels, label, trains, per_class, most_bytes)
     got = sample.toPandas().sort_values(["doc_id", "text"], kind="stable")
