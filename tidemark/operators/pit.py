@@ -67,10 +67,14 @@ def known_values(observations: DataFrame, members: DataFrame, decisions: DataFra
 def exposures_at(exposures: DataFrame, moments: DataFrame, keys: list[str], day: str, clock: str) -> DataFrame:
     """Exposure versions in force for each moment: latest by (valid_from, available_at), then weight and end.
 
-    ``moments`` carries ``keys`` (at least source_key), the effective day and the clock.
+    ``moments`` carries ``keys`` (at least source_key), the effective day and the clock. The
+    version is the maximum of one number made of both clocks, so it combines before the
+    shuffle in a hash aggregate. Keys of one exposure version must not repeat.
     """
-    seen = moments.join(exposures, "source_key").where((F.col("valid_from") <= F.col(day)) & (F.col("available_at") <= F.col(clock)))
-    chosen = newest(seen, [*keys, "asset"], F.desc("valid_from"), F.desc("available_at"), F.desc("weight"))
+    place = F.unix_date("valid_from").cast("decimal(10,0)") * F.lit(10**18).cast("decimal(19,0)") + F.unix_micros(F.col("available_at").cast("timestamp")).cast("decimal(19,0)")
+    wanted = moments.select(*dict.fromkeys([*keys, day, clock])).distinct()
+    seen = wanted.join(exposures.withColumn("__place", place), "source_key").where((F.col("valid_from") <= F.col(day)) & (F.col("available_at") <= F.col(clock)))
+    chosen = seen.groupBy(*wanted.columns, "asset").agg(F.max_by("weight", "__place").alias("weight"), F.max_by("valid_to", "__place").alias("valid_to"))
     return chosen.where((F.col("weight") != 0) & (F.col("valid_to").isNull() | (F.col(day) <= F.col("valid_to"))))
 
 
@@ -106,12 +110,21 @@ def active(sources: DataFrame, max_age_days: int) -> DataFrame:
 def event_sum(sources: DataFrame, exposures: DataFrame, calendar: DataFrame, max_age_days: int, half_life_days: float | None = None) -> DataFrame:
     """Sum over active events of value x exposure on the observed day x decay, per session and asset."""
     live = active(latest_revisions(sources, calendar), max_age_days)
-    keys = ["session", "session_index", "source_key", "observation_id"]
-    mapped = exposures_at(exposures, live, keys, "observed_on", "decision_at")
+    mapped = mapped_events(live, exposures)
     part = F.col("value") * F.col("weight") * decay(F.col("age"), half_life_days)
     return mapped.withColumn("contribution", part).groupBy("session", "asset").agg(F.sum("contribution").alias("value"), F.count("*").alias("n_events"))
 
 
+def mapped_events(live: DataFrame, exposures: DataFrame) -> DataFrame:
+    """Active events with the exposures in force on their observed day, known at the decision.
+
+    Versions are resolved once per (session, source, observed day), not per event.
+    """
+    keys = ["session", "source_key", "observed_on"]
+    versions = exposures_at(exposures, live, keys, "observed_on", "decision_at").select(*keys, "asset", "weight")
+    return live.join(versions, keys)
+
+
 def latest_proxy(sources: DataFrame, exposures: DataFrame, calendar: DataFrame, max_age_days: int) -> DataFrame:
     """Newest period of every source, mapped by the session's exposures; all mapped sources must be active."""
     newest_period = newest(latest_revisions(sources, calendar), ["session_index", "source_key"], F.desc("observed_on"), F.desc("observation_id"))

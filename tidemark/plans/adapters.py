@@ -80,7 +80,7 @@ def exposures(spark: SparkSession, d: str) -> DataFrame:
         month().alias("valid_from"),
         F.when(F.col("l_returnflag") == "R", F.date_add(month(), 60)).alias("valid_to"),
         F.col("l_shipdate").alias("available_at"),
-        F.round(20 * F.col("l_discount") - 1, 2).alias("weight"),
+        F.round(10 * F.col("l_discount") - 0.2, 2).alias("weight"),
     )
     return rows.groupBy("asset", "source_key", "valid_from", "available_at").agg(F.max("weight").alias("weight"), F.max("valid_to").alias("valid_to"))
 
@@ -133,7 +133,7 @@ SQL = {
     "cells": "SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS session, l_suppkey AS asset, avg(l_extendedprice / l_quantity) AS price, sum(l_quantity) AS volume, count(*) FILTER (l_linestatus = 'O') AS open_lines FROM lineitem GROUP BY 1, 2",
     "dense": "SELECT c.session, c.session_index, c.decision_at, s.s_suppkey AS asset, s.s_nationkey % 5 AS sector, x.price, x.volume, x.open_lines FROM cal c CROSS JOIN supplier s LEFT JOIN cells x ON x.session = c.session AND x.asset = s.s_suppkey",
     "panel": "SELECT *, avg(price) OVER (PARTITION BY session_index, sector) AS sector_price, avg(price) OVER (PARTITION BY session_index) AS market_price, coalesce(open_lines > 0, FALSE) AS eligible FROM dense",
-    "expo": "SELECT asset, source_key, valid_from, available_at, max(weight) AS weight, max(valid_to) AS valid_to FROM (SELECT l_suppkey AS asset, p_brand AS source_key, CAST(date_trunc('month', l_shipdate) AS DATE) AS valid_from, CASE WHEN l_returnflag = 'R' THEN CAST(date_trunc('month', l_shipdate) AS DATE) + 60 END AS valid_to, l_shipdate AS available_at, round(20 * l_discount - 1, 2) AS weight FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1, 2, 3, 4",
+    "expo": "SELECT asset, source_key, valid_from, available_at, max(weight) AS weight, max(valid_to) AS valid_to FROM (SELECT l_suppkey AS asset, p_brand AS source_key, CAST(date_trunc('month', l_shipdate) AS DATE) AS valid_from, CASE WHEN l_returnflag = 'R' THEN CAST(date_trunc('month', l_shipdate) AS DATE) + 60 END AS valid_to, l_shipdate AS available_at, round(10 * l_discount - 0.2, 2) AS weight FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1, 2, 3, 4",
     "src": "SELECT p_brand AS source_key, strftime(l_shipdate, '%Y-%m') || '#' || CAST(day(l_shipdate) % 3 AS VARCHAR) AS observation_id, l_shipdate AS published_at, max(CASE WHEN l_quantity < 49 THEN l_quantity END) AS value, CAST(date_trunc('month', l_shipdate) AS DATE) AS observed_on, l_shipdate + INTERVAL 2 DAY AS extracted_at FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2 GROUP BY p_brand, l_shipdate",
     "sig": "SELECT event_type AS strategy, user_id AS asset, value AS score, ts AS available_at, event_id FROM events",
     "days": "SELECT DISTINCT CAST(ts AS DATE) AS day FROM events",
