@@ -8,7 +8,7 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import masked_lm, media, mixing, packing, permutation_ann, quality, simhash, substring_dedup, token_spans, toxicity
+from . import masked_lm, media, mixing, oracle, packing, permutation_ann, quality, simhash, substring_dedup, token_spans, toxicity
 from .common import read
 from .sampling import fold
 
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": oracle.SUBSTRING, "op10_pfair_mixing": oracle.MIXING}
