@@ -140,7 +140,7 @@ def marginals(node: np.ndarray, pair: np.ndarray, first: np.ndarray) -> tuple[np
     return good, pairs, float(np.log(scale).sum() + base)
 
 
-def train(features: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, steps: int = 120, ridge: float = 1e-3) -> dict[str, np.ndarray]:
+def train(features: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, steps: int = 300, ridge: float = 1e-4) -> dict[str, np.ndarray]:
     """Maximum-likelihood weights of the field by accelerated gradient ascent.
 
     features: one line-by-shape matrix per document; its lines all carry the document's label.
