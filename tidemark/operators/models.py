@@ -171,6 +171,27 @@ def hmm_states(rows: DataFrame, keys: list[str], order: str, features: list[str]
     return rows.groupBy(*keys).applyInPandas(run, schema)
 
 
+def hmm_parameters(rows: DataFrame, keys: list[str], order: str, features: list[str], states: int) -> DataFrame:
+    """Fitted start, mean and deviation of every state of many series, states by rising first mean.
+
+    Rows with a missing feature are left out; series with fewer than 5 x states rows give none.
+    """
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys).dtypes) + ", state int, start double, mean array<double>, deviation array<double>"
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame.sort_values(order, kind="stable")[features].to_numpy(float)
+        x = x[np.isfinite(x).all(axis=1)]
+        out = []
+        if len(x) >= 5 * states:
+            centre, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+            start, _, mean, variance = _fit_hmm((x - centre) / scale, states)
+            for k in range(states):
+                out.append((*frame[keys].iloc[0], k, float(start[k]), (mean[k] * scale + centre).tolist(), (np.sqrt(variance[k]) * scale).tolist()))
+        return pd.DataFrame(out, columns=[*keys, "state", "start", "mean", "deviation"])
+
+    return rows.groupBy(*keys).applyInPandas(run, schema)
+
+
 def bucket_model(rows: DataFrame, value: str, states: int, *by: str) -> DataFrame:
     """Baseline state model: mean of each rank bucket, and the sample variance of all values."""
     over = Window.partitionBy(*by)

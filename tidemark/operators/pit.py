@@ -93,12 +93,17 @@ def clock_of(mode: str) -> Column:
     return F.when(F.lit(mode) == "as_run", F.col("extracted_at")).otherwise(F.col("published_at"))
 
 
-def latest_revisions(sources: DataFrame, calendar: DataFrame) -> DataFrame:
+def latest_revisions(sources: DataFrame, calendar: DataFrame, max_age_days: int | None = None) -> DataFrame:
     """Per session and observation the latest eligible revision; a withdrawn one (NULL value) suppresses it.
 
-    ``sources`` has source_key, observation_id, eligible_index, published_at, value.
+    ``sources`` has source_key, observation_id, eligible_index, published_at, value. With
+    ``max_age_days`` sessions later than that after observed_on (which no revision changes) are
+    left out before the join, so a row meets its few live sessions, not all later ones.
     """
-    seen = sources.join(F.broadcast(calendar.select("session", "session_index", "decision_at")), F.col("eligible_index") <= F.col("session_index"))
+    live = F.col("eligible_index") <= F.col("session_index")
+    if max_age_days is not None:
+        live = live & (age_days(F.col("session"), F.col("observed_on")) <= max_age_days)
+    seen = sources.join(F.broadcast(calendar.select("session", "session_index", "decision_at")), live)
     return newest(seen, ["session_index", "source_key", "observation_id"], F.desc("published_at"), F.desc("value")).where("value is not null")
 
 
@@ -109,7 +114,7 @@ def active(sources: DataFrame, max_age_days: int) -> DataFrame:
 
 def event_sum(sources: DataFrame, exposures: DataFrame, calendar: DataFrame, max_age_days: int, half_life_days: float | None = None) -> DataFrame:
     """Sum over active events of value x exposure on the observed day x decay, per session and asset."""
-    live = active(latest_revisions(sources, calendar), max_age_days)
+    live = active(latest_revisions(sources, calendar, max_age_days), max_age_days)
     mapped = mapped_events(live, exposures)
     part = F.col("value") * F.col("weight") * decay(F.col("age"), half_life_days)
     return mapped.withColumn("contribution", part).groupBy("session", "asset").agg(F.sum("contribution").alias("value"), F.count("*").alias("n_events"))
@@ -127,7 +132,7 @@ def mapped_events(live: DataFrame, exposures: DataFrame) -> DataFrame:
 
 def latest_proxy(sources: DataFrame, exposures: DataFrame, calendar: DataFrame, max_age_days: int) -> DataFrame:
     """Newest period of every source, mapped by the session's exposures; all mapped sources must be active."""
-    newest_period = newest(latest_revisions(sources, calendar), ["session_index", "source_key"], F.desc("observed_on"), F.desc("observation_id"))
+    newest_period = newest(latest_revisions(sources, calendar, max_age_days), ["session_index", "source_key"], F.desc("observed_on"), F.desc("observation_id"))
     live = active(newest_period, max_age_days)
     sessions = calendar.select("session", "session_index", "decision_at")
     every = exposures.select("source_key").distinct().join(F.broadcast(sessions))
@@ -152,12 +157,17 @@ def derived_feature(rows: DataFrame, formula: Column, lag_days: int) -> DataFram
 def signal_as_of(signals: DataFrame, days: DataFrame, lag_days: int, max_staleness: int) -> DataFrame:
     """Per rebalance day, signal and asset the latest score before (day - lag); stale ones are flagged.
 
-    ``days`` is a broadcast list of rebalance days; the join is by range, per signal row.
+    Days and signals of one (strategy, asset) are merged in time order and the last score is
+    carried on, so rows grow with signals plus days, not with their product.
     """
-    cut = days.select("day", (F.col("day").cast("timestamp_ntz") - F.make_dt_interval(F.lit(lag_days))).alias("cutoff"))
-    seen = signals.join(F.broadcast(cut), F.col("available_at") < F.col("cutoff"))
-    best = seen.groupBy("day", "strategy", "asset").agg(F.max(F.struct("available_at", "score")).alias("best"))
-    return best.select("day", "strategy", "asset", F.col("best.score").alias("score"), (F.datediff("day", F.to_date("best.available_at")) > max_staleness).alias("stale"))
+    listed = days.agg(F.collect_set("day").alias("__days"))
+    wanted = signals.select("strategy", "asset").distinct().join(F.broadcast(listed)).select("strategy", "asset", F.explode("__days").alias("day"))
+    wanted = wanted.withColumn("at", F.col("day").cast("timestamp_ntz") - F.make_dt_interval(F.lit(lag_days))).withColumn("kind", F.lit(0))
+    known = signals.select("strategy", "asset", F.col("available_at").alias("at"), F.lit(1).alias("kind"), "score", F.struct("available_at", "score").alias("s"))
+    order = Window.partitionBy("strategy", "asset").orderBy("at", "kind", "score").rowsBetween(Window.unboundedPreceding, 0)
+    merged = wanted.unionByName(known, allowMissingColumns=True).withColumn("s", F.last("s", ignorenulls=True).over(order))
+    stale = F.datediff("day", F.to_date("s.available_at")) > max_staleness
+    return merged.where("kind = 0 and s is not null").select("day", "strategy", "asset", F.col("s.score").alias("score"), stale.alias("stale"))
 
 
 def ranking_universe(signals: DataFrame, days: DataFrame, lag_days: int) -> DataFrame:
@@ -173,11 +183,14 @@ def daily_signals(signals: DataFrame) -> DataFrame:
 
 
 def eligible_signals(daily: DataFrame, days: DataFrame, horizon_days: int) -> DataFrame:
-    """Per decision day the latest earlier signal at most ``horizon_days`` old."""
+    """Per decision day the latest earlier signal at most ``horizon_days`` old.
+
+    Each signal is repeated for the days it may serve, then met by equality.
+    """
+    later = F.sequence(F.date_add("day", 1), F.date_add("day", horizon_days))
     wanted = F.broadcast(days.select(F.col("day").alias("decision_day")))
-    age = F.datediff("decision_day", "day")
-    seen = daily.join(wanted, (F.col("day") < F.col("decision_day")) & (age <= horizon_days))
-    return seen.groupBy("decision_day", "strategy", "asset").agg(F.max(F.struct("day", "score"))["score"].alias("score"))
+    seen = daily.withColumn("decision_day", F.explode(later)).join(wanted, "decision_day")
+    return seen.groupBy("decision_day", "strategy", "asset").agg(F.max_by("score", "day").alias("score"))
 
 
 def next_session(calendar: DataFrame, *columns: str) -> DataFrame:

@@ -477,6 +477,14 @@ def h5(spark, d):
     return filtered(spark, d).select("fold", "session_index", F.col("probabilities")[0].alias("p0"), F.col("probabilities")[1].alias("p1"))
 
 
+@query("h6_hmm_fit")
+def h6(spark, d):
+    f = the_folds(spark, d)
+    rows = known_market(spark, d).join(F.broadcast(f)).where("session_index < test_start - 1")
+    got = models.hmm_parameters(rows.select("fold", "session_index", "market_return", "trailing_deviation"), ["fold"], "session_index", ["market_return", "trailing_deviation"], 2)
+    return got.select("fold", "state", "start", F.col("mean")[0].alias("mean_return"), F.col("deviation")[0].alias("deviation"))
+
+
 @query("h11_regime_report")
 def h11(spark, d):
     return models.regime_report(fold_ic(spark, d), filtered(spark, d), the_folds(spark, d), 3.0)

@@ -491,7 +491,7 @@ def c11(spark, d):
 
 @query("c12_contribution_lineage", EVENT + " SELECT CAST(session AS VARCHAR) AS session, asset, sha256(string_agg(source_key || ':' || observation_id, ',' ORDER BY source_key || ':' || observation_id)) AS lineage FROM mapped GROUP BY 1, 2")
 def c12(spark, d):
-    live = pit.active(pit.latest_revisions(small_sources(spark, d), A.calendar(spark, d)), 95)
+    live = pit.active(pit.latest_revisions(small_sources(spark, d), A.calendar(spark, d), 95), 95)
     mapped = pit.mapped_events(live, A.exposures(spark, d))
     parts = F.array_sort(F.collect_list(F.concat_ws(":", "source_key", "observation_id")))
     return mapped.groupBy("session", "asset").agg(F.sha2(F.array_join(parts, ","), 256).alias("lineage"))
