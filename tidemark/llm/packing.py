@@ -8,9 +8,9 @@ from two levels (chunk offsets and ranks within a chunk), so no length is counte
 task.
 
 Bin completion: take the largest remaining piece, enumerate the undominated fillings of the
-space it leaves, and take the fullest. Once few pieces remain the choice is searched by
-branch and bound: partial packings whose waste already reaches that of the incumbent (the
-best-fit solution) are cut.
+space it leaves, and take the fullest. The incumbent is the better of that and of best fit;
+its emptiest sequences are searched by branch and bound, cutting partial packings whose
+waste already reaches that of the incumbent.
 
 Defined results: a null or empty text is the end token alone; repeated ids keep their own
 pieces; an empty table gives an empty one.
@@ -159,12 +159,33 @@ def _branch(items: list[int], capacity: int, nodes: int) -> list[tuple[int, ...]
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024, searched: int = 60, nodes: int = 3000) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (piece lengths, how many sequences) that use every piece once.
+Plan = list[tuple[tuple[int, ...], int]]
 
-    The last ``searched`` pieces are packed by branch and bound over at most ``nodes`` nodes,
-    those before by the fullest filling of the largest piece.
-    """
+
+def _best_fit_plan(histogram: dict[int, int], capacity: int) -> Plan:
+    """Best-fit decreasing with sequences of one content kept together, so its size follows the lengths, not the pieces."""
+    by_room: dict[int, list[list]] = {}
+    for s in sorted((s for s, n in histogram.items() if n), reverse=True):
+        n = histogram[s]
+        while n:
+            room = min((r for r, groups in by_room.items() if r >= s and groups), default=None)
+            if room is None:
+                each = capacity // s
+                for copies, bins in ((each, n // each), (n % each, 1)):
+                    if copies and bins:
+                        by_room.setdefault(capacity - copies * s, []).append([(s,) * copies, bins])
+                break
+            pattern, bins = by_room[room].pop()
+            moved = min(n, bins)
+            if bins > moved:
+                by_room[room].append([pattern, bins - moved])
+            by_room.setdefault(room - s, []).append([(*pattern, s), moved])
+            n -= moved
+    return [(p, n) for groups in by_room.values() for p, n in groups]
+
+
+def _completion_plan(histogram: dict[int, int], capacity: int, searched: int) -> Plan:
+    """The fullest filling of the largest piece, again and again; the last pieces by best fit."""
     counts, out = Counter({s: n for s, n in histogram.items() if n}), []
     left = sum(counts.values())
     while left > searched:
@@ -175,14 +196,31 @@ def plan(histogram: dict[int, int], capacity: int = 1024, searched: int = 60, no
         pattern = (top, *filling)
         need = Counter(pattern)
         times = min(counts[s] // n for s, n in need.items())
-        times = max(1, min(times, (left - searched) // len(pattern) if left - searched >= len(pattern) else 1))
+        times = max(1, min(times, (left - searched) // len(pattern)))
         for s, n in need.items():
             counts[s] -= n * times
         left -= len(pattern) * times
         out.append((pattern, times))
-    rest = [s for s, n in counts.items() for _ in range(n)]
-    out += Counter(_branch(rest, capacity, nodes)).items() if rest else []
-    return out
+    return out + _best_fit_plan(counts, capacity)
+
+
+def plan(histogram: dict[int, int], capacity: int = 1024, searched: int = 60, nodes: int = 3000) -> Plan:
+    """Patterns (piece lengths, how many sequences) that use every piece once.
+
+    The incumbent is the better of best fit and of filling the largest piece first. Its
+    emptiest sequences, of up to ``searched`` pieces together, are packed again by branch
+    and bound over at most ``nodes`` nodes.
+    """
+    plans = [_best_fit_plan(histogram, capacity), _completion_plan(histogram, capacity, searched)]
+    best = sorted(min(plans, key=lambda p: sum(n for _, n in p)), key=lambda p: (sum(p[0]), p[0]))
+    rest: list[int] = []
+    kept: Plan = []
+    for pattern, n in best:
+        again = min(n, max(0, searched - len(rest)) // len(pattern))
+        rest += list(pattern) * again
+        if n > again:
+            kept.append((pattern, n - again))
+    return kept + list(Counter(_branch(rest, capacity, nodes)).items())
 
 
 def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
