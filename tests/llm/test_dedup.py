@@ -76,3 +76,23 @@ def test_empty_tables(spark):
     none = table(spark, [])
     assert substring_dedup.remove_repeats(none).count() == 0
     assert simhash.near_groups(none).count() == 0
+
+
+def test_components_of_random_and_long_graphs(spark):
+    from tidemark.llm.components import components
+
+    rnd = random.Random(9)
+    edges = [(rnd.randrange(-300, 300), rnd.randrange(-300, 300)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(120)] + [(5000, 5000 + i) for i in range(200)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {(x, find(x)) for x in root if any(x in e and e[0] != e[1] for e in edges)}
+    got = {tuple(r) for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == want

@@ -100,9 +100,9 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
 
     Rows of a repeated id share their first slot; rows without an id come last.
     """
-    slots = materialize(interleave(docs, id_col, source_col, **options).groupBy("doc_id").agg(F.min("slot").alias("__slot")).withColumnRenamed("doc_id", "__id"))
-    last = slots.agg(F.max("__slot")).first()[0] or 0
     files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = docs.join(slots, docs[id_col].cast("long") == slots["__id"], "left")
-    run = F.floor(F.coalesce("__slot", F.lit(last + 1)) / max(1.0, (last + 2) / files)).cast("long")
-    return joined.withColumn("__run", run).repartition(files, "__run").sortWithinPartitions(F.asc_nulls_last("__slot"), id_col).select(*docs.columns)
+    slots = interleave(docs, id_col, source_col, **options).groupBy("doc_id").agg(F.min("slot").alias("__slot")).withColumnRenamed("doc_id", "__id")
+    # runs of about equal rows, several a file; cut on the ids, before any text moves
+    runs = materialize(materialize(slots).repartitionByRange(8 * files, "__slot").withColumn("__run", F.spark_partition_id()))
+    joined = docs.join(runs.hint("merge"), docs[id_col].cast("long") == runs["__id"], "left")
+    return joined.repartition(files, "__run").sortWithinPartitions(F.asc_nulls_last("__slot"), id_col).select(*docs.columns)

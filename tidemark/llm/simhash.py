@@ -206,4 +206,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Rows of ``docs`` whose document has its component's smallest id (rows without an id stay)."""
     groups = near_groups(docs, id_col, text_col, **options)
     gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col].cast("long") == gone["__gone"], "left_anti")

@@ -193,7 +193,8 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered_ranges(docs: DataFrame, window: int = 50, mmer: int = 8, bucket_rows: int = 1024) -> DataFrame:
     """Word ranges (doc_id, text_key, ranges) that an earlier document repeats.
 
-    ``docs`` has doc_id, text_key and text. ``bucket_rows`` bounds the super-k-mers that one
+    ``docs`` has doc_id, text_key and text. Texts meet ranges by merge join at every size,
+    as either side grows with the input. ``bucket_rows`` bounds the super-k-mers that one
     bucket holds of one minimiser and sizes the buckets.
     """
     parts = materialize(superkmers(docs.where("doc_id is not null"), window, mmer))
@@ -209,7 +210,7 @@ def covered_ranges(docs: DataFrame, window: int = 50, mmer: int = 8, bucket_rows
         .groupBy("doc_id", "text_key")
         .agg(F.collect_set(F.struct("bucket", "spread", "first_word", "n_windows")).alias("parts"))
     )
-    packed = docs.join(moving, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "parts").mapInArrow(_pack(window), PACKED)
+    packed = docs.join(moving.hint("merge"), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "parts").mapInArrow(_pack(window), PACKED)
     found = materialize(packed.groupBy("bucket", "spread").applyInArrow(_bucket(window), FOUND))
     holder = Window.partitionBy("digest")
     over = found.where("digest is not null").withColumn("least", F.min("doc_id").over(holder)).where("least < doc_id")
@@ -224,7 +225,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", F.xxhash64("text"))
     ranges = covered_ranges(base, window, mmer, bucket_rows)
-    return base.join(ranges, ["doc_id", "text_key"], "left").select("doc_id", "text", "ranges").mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept string")
+    return base.join(ranges.hint("merge"), ["doc_id", "text_key"], "left").select("doc_id", "text", "ranges").mapInArrow(_apply, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, mmer: int = 8, bucket_rows: int = 1024) -> DataFrame:
@@ -248,5 +249,5 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_key", F.xxhash64("text"))
     ranges = covered_ranges(base, window, mmer, bucket_rows).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("ranges").alias("__ranges"))
-    joined = docs.join(ranges, (docs[id_col].cast("long") == ranges["__id"]) & (F.xxhash64(docs[text_col]) == ranges["__key"]), "left")
+    joined = docs.join(ranges.hint("merge"), (docs[id_col].cast("long") == ranges["__id"]) & (F.xxhash64(docs[text_col]) == ranges["__key"]), "left")
     return joined.withColumn(text_col, cut(docs[text_col], F.col("__ranges"))).select(*docs.columns)
