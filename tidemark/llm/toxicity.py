@@ -201,36 +201,66 @@ def _machine(x: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float) -> np.nd
     return w
 
 
-def train(texts: list[str], label: np.ndarray, weights: np.ndarray, landmarks: int = 128, rounds: int = 5, ridge: float = 0.1) -> dict[str, np.ndarray] | None:
-    """Subsequence weights and the logistic's slope and constant from labelled texts."""
-    words, docs, word_of = _words(texts)
-    chosen = choose_landmarks(words, docs, word_of, label, landmarks)
-    if not chosen:
-        return None
-    k = kernel_rows(words, chosen)
+def _learn(words: list[bytes], chosen: list[bytes], docs: np.ndarray, word_of: np.ndarray, label: np.ndarray, weights: np.ndarray, value: np.ndarray | None, rounds: int, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """Landmarks' coefficients by witness rounds, and every word's value.
+
+    ``value`` ranks words for the first round; without it the nearest landmark of a toxic
+    document does. Clean words once chosen stay.
+    """
     own = kernel_rows(chosen, chosen).astype(np.float64)
     norm = np.sqrt(np.maximum(np.diag(own), 1e-9))
     gram = own / norm[:, None]
-    gram = (gram + gram.T) / 2
-    values, vectors = np.linalg.eigh(gram)
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     whiten = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
+    k = kernel_rows(words, chosen)
+    if value is None:
+        value = np.full(len(words), -np.inf)
+        for j in range(max(1, len(chosen) * 3 // 4)):
+            value = np.maximum(value, k[:, j] / norm[j])
+    x, square = k, whiten.astype(np.float32)
+    for a in range(0, len(x), 1 << 14):  # in place: one matrix of words by landmarks at a time
+        x[a : a + (1 << 14)] = k[a : a + (1 << 14)] @ square
     begin = np.searchsorted(docs, np.arange(len(label)))
-    value = np.full(len(words), -np.inf)
-    for j in range(max(1, len(chosen) * 3 // 4)):
-        value = np.maximum(value, k[:, j] / norm[j])
-    x = k @ whiten.astype(np.float32)
-    del k
-    w = None
+    clean: np.ndarray | None = None
     for _ in range(rounds):
-        v = value[word_of]
-        order = np.lexsort((-v, docs))
+        order = np.lexsort((-value[word_of], docs))
         rank = np.arange(len(order)) - begin[docs[order]]
-        use = rank < np.where(label[docs[order]] == 1, 1, 4)
-        pick_ = order[use]
-        y = np.where(label[docs[pick_]] == 1, 1.0, -1.0)
-        w = _machine(x[word_of[pick_]].astype(np.float64), y, weights[docs[pick_]], ridge)
+        toxic = order[(rank < 1) & (label[docs[order]] == 1)]
+        hard = order[(rank < 4) & (label[docs[order]] == 0)]
+        clean = hard if clean is None else np.union1d(clean, hard)
+        used = np.concatenate([toxic, clean])
+        y = np.where(label[docs[used]] == 1, 1.0, -1.0)
+        w = _machine(x[word_of[used]].astype(np.float64), y, weights[docs[used]], ridge)
         value = x @ w[:-1].astype(np.float32) + w[-1]
-    beta = whiten @ w[:-1]
+    return whiten @ w[:-1], value
+
+
+def train(texts: list[str], label: np.ndarray, weights: np.ndarray, landmarks: int = 96, hard: int = 64, rounds: int = 4, ridge: float = 0.1) -> dict[str, np.ndarray] | None:
+    """Subsequence weights and the logistic's slope and constant from labelled texts.
+
+    After a first pass the ``hard`` highest words of clean documents become landmarks too.
+    Every fourth text teaches only the logistic, so that it sees values as of new texts.
+    """
+    later = np.arange(len(texts)) % 4 == 3
+    if min((label[~later] == 1).sum(), (label[later] == 1).sum(), (label[later] == 0).sum()) < 5:
+        later[:] = False
+    every, target, mass = texts, label.astype(float), weights
+    texts, label, weights = [t for t, k in zip(texts, later, strict=True) if not k], label[~later], weights[~later]
+    words, docs, word_of = _words(texts)
+    chosen = choose_landmarks(words, docs, word_of, label, landmarks)
+    if not chosen:
+        return None
+    _, value = _learn(words, chosen, docs, word_of, label, weights, None, rounds, ridge)
+    clean = np.unique(word_of[label[docs] == 0])
+    have = set(chosen)
+    chosen += [words[i] for i in clean[np.argsort(-value[clean], kind="stable")] if words[i] not in have][:hard]
+    # the second pass chooses among each document's highest words
+    order = np.lexsort((-value[word_of], docs))
+    top = order[np.arange(len(order)) - np.searchsorted(docs, np.arange(len(label)))[docs[order]] < 16]
+    some, held = np.unique(word_of[top], return_inverse=True)
+    words, value = [words[i] for i in some], value[some]
+    docs, word_of = docs[top], held
+    beta, value = _learn(words, chosen, docs, word_of, label, weights, value, rounds, ridge)
     lw, ln, lv = _rows(chosen)
     used, at = np.unique(ln, return_inverse=True)
     z = np.zeros((len(used), len(chosen)))
@@ -238,13 +268,13 @@ def train(texts: list[str], label: np.ndarray, weights: np.ndarray, landmarks: i
     z /= np.linalg.norm(z, axis=0, keepdims=True)
     table = np.zeros(N_CODES, np.float32)
     table[used] = z @ beta
-    top = decision(pa.array(texts, pa.string()), table)
+    judged = later if later.any() else ~later
+    top, target, mass = decision(pa.array(every, pa.string()), table)[judged], target[judged], mass[judged]
     a, b = 1.0, 0.0
-    target = label.astype(float)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * top + b, -30, 30)))
-        g = weights * (target - p)
-        h = weights * p * (1 - p)
+        g = mass * (target - p)
+        h = mass * p * (1 - p)
         hess = np.array([[(h * top * top).sum() + 1e-3, (h * top).sum()], [(h * top).sum(), h.sum() + 1e-3]])
         a, b = np.array([a, b]) + np.linalg.solve(hess, np.array([(g * top).sum() - 1e-3 * a, g.sum()]))
     return {"table": table, "slope": np.array(a), "constant": np.array(b)}
