@@ -54,9 +54,8 @@ def _bits(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def shingle_fingerprints(column: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
-    """Fingerprints of an Arrow column of texts."""
-    found = []
+def shingle_hashes(column: pa.Array, shingle: int = 4, seed: int = 42) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per slice of an Arrow column of texts: shingle hashes, and where each row's begin (n+1 long)."""
     digest = xxhash.xxh64_intdigest
     for _, _, buf, off in arrays.slices(column):
         raw = buf.tobytes().lower()
@@ -72,8 +71,12 @@ def shingle_fingerprints(column: pa.Array, shingle: int = 4, seed: int = 42) ->
         row = np.repeat(np.arange(len(n)), shingles)
         word = first[row] + np.arange(len(row)) - begin[row]
         stop = np.minimum(word + shingle, first[row + 1])
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(cut[word].tolist(), (cut[stop] - 1).tolist(), strict=True)), np.uint64, len(row))
-        found.append(_bits(hashes, begin))
+        yield np.fromiter((digest(joined[a:b], seed) for a, b in zip(cut[word].tolist(), (cut[stop] - 1).tolist(), strict=True)), np.uint64, len(row)), begin
+
+
+def shingle_fingerprints(column: pa.Array, shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """Fingerprints of an Arrow column of texts."""
+    found = [_bits(hashes, begin) for hashes, begin in shingle_hashes(column, shingle, seed)]
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
