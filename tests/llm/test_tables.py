@@ -234,3 +234,12 @@ def test_strip_repeats_keeps_rows_and_columns(spark):
     whole = substring_dedup.remove_repeats(docs).select("doc_id", "n_removed", "kept").collect()
     texts = Counter((r["doc_id"], " ".join((r["text"] or "").split())) for r in got.collect())
     assert texts == Counter((r["doc_id"], r["kept"]) for r in whole)
+
+
+def test_mixing_with_more_sources_than_slots(spark):
+    rows = [(i, f"s{i % 30}") for i in range(60)] + [(100 + i, "hot") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.interleave(docs, block_rows=4, period=20).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows)
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    assert len({r["slot"] for r in got}) == len({(r["source"], r["block"]) for r in got})

@@ -62,7 +62,8 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     """Every document's place: doc_id, source, block, release, deadline, slot, place.
 
     ``weights`` (source, n) replaces the sources' row counts as the base of the quotas and
-    must name every source. A period has ``period`` slots and room for as many sources.
+    must name every source. A period has ``period`` slots; with more than half as many
+    sources, the next power of two from twice their number.
     """
     base = pick(docs, doc_id=id_col, source=source_col).withColumn("source", F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")))
     base = base.withColumn("digest", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -75,11 +76,14 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     before = counts.select("source", "prefix", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("source", "prefix").orderBy("digest", "doc_id")) - 1
     given = sizes if weights is None else weights.select(F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")).alias("source"), "n")
+    sources = given.count()
+    if 2 * sources > period:
+        period = 1 << (2 * sources - 1).bit_length()
     slots = period_slots(quotas(given, period), period)
     share = slots.select("source", "quota").distinct()
     numbered = base.withColumn("rank", rank).join(before, ["source", "prefix"])
     block = ((F.col("rank") + F.col("before")) / block_rows).cast("long")
-    # quotas and slots have at most ``period`` rows
+    # quotas and slots have at most ``period`` rows, a few a source
     placed = numbered.withColumn("block", block).join(F.broadcast(share), "source")
     placed = placed.withColumn("place", F.col("rank") + F.col("before") - F.col("block") * block_rows)
     placed = placed.withColumn("turn", (F.col("block") % F.col("quota")).cast("int"))
