@@ -161,3 +161,10 @@ def test_fold_is_crc32(spark):
     got = spark.range(50).select("id", fold("id", 4).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 4 for r in got)
     assert spark.range(1).select(fold("id", 4).alias("f"), F.lit(1)).count() == 1
+
+
+def test_every_position_teaches(spark):
+    words = "a b c d e f g h i j k l m n o p".split()
+    swapped = [*words[:8], words[9], words[8], *words[10:]]  # same counts, same neighbours of the first word
+    one, two = (masked_lm.fit(spark.createDataFrame([(" ".join(w),)], "text string").coalesce(1), rounds=1)["flat"] for w in (words, swapped))
+    assert not np.array_equal(one, two)

@@ -9,8 +9,8 @@ among the rest, so the probabilities sum to one over all buckets. The network su
 embedding per neighbour and position, applies tanh, and predicts the id in two steps (class
 of the id, then id within the class).
 
-Training is data-parallel in numpy: every task trains on a fixed rate of the positions of
-its own documents and returns its weights, which are averaged by position count in rounds
+Training is data-parallel in numpy: every task trains on every position of its own
+documents (every ``rate``-th, where one is given) and returns its weights, which are averaged by position count in rounds
 of bounded groups; so what is gathered grows with the input and no text leaves its task.
 
 Defined results: a null or empty text has no words and log-probability 0; repeated ids keep
@@ -198,7 +198,7 @@ def train_round(docs: DataFrame, id_of: np.ndarray, flat: np.ndarray, shape: tup
     return np.frombuffer(average(rows).column("weights")[0].as_py(), np.float32) if n else flat
 
 
-def fit(docs: DataFrame, ids: int = 1024, width: int = 16, side: int = 2, bits: int = 18, rate: int = 16, rounds: int = 2) -> dict:
+def fit(docs: DataFrame, ids: int = 1024, width: int = 16, side: int = 2, bits: int = 18, rate: int = 1, rounds: int = 2) -> dict:
     """Corpus counts and trained network of ``docs`` (text)."""
     counts = bucket_counts(docs, bits)
     order = np.lexsort((np.arange(len(counts)), -counts))
