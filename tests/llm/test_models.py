@@ -34,9 +34,65 @@ def test_quality_held_out(spark):
 
 
 def test_toxicity_held_out(spark):
-    said, true, _ = held_out(spark, "op8_toxicity_string_kernel", "toxic")
-    assert (said == true).mean() > 0.92
-    assert said[true == 0].mean() < 0.05
+    said, true, got = held_out(spark, "op8_toxicity_string_kernel", "toxic")
+    assert (said == true).mean() > 0.95
+    assert said[true == 0].mean() < 0.03 and said[true == 1].mean() > 0.85
+    # neither a language nor long texts are judged by other measures
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "lang", "n_chars").toPandas()
+    clean = got.merge(docs, on="doc_id").merge(spark.read.parquet(f"{BIG}/labels.parquet").where("toxic = 0").select("doc_id").toPandas(), on="doc_id")
+    assert clean.groupby("lang")["predicted"].mean().max() < 0.05
+    assert clean[clean["n_chars"] > 4000]["predicted"].mean() < 0.05
+
+
+def test_logistic_of_separable_labels_is_finite_and_falls():
+    rng = np.random.default_rng(0)
+    x = np.stack([np.append(rng.normal(0, 0.1, 90), rng.normal(2, 0.1, 10)), rng.normal(6, 1, 100)], axis=1)
+    y = np.append(np.zeros(90), np.ones(10))
+    w = toxicity.logistic(x, y, np.ones(100))
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    assert np.abs(w).max() < 50 and p[y == 1].min() > 0.8 and p[y == 0].max() < 0.1
+    assert 0.05 < p[np.abs(x[:, 0] - 1).argmin()] < 0.95 or np.abs(x[:, 0] - 1).min() > 0.5
+
+
+def test_scores_equal_the_landmark_machine(spark):
+    """The folded table gives every word landmark coefficients times kernel."""
+    words = [b"\x1b" + bytes(ord(c) - 96 for c in w) + b"\x1b" for w in ("moron", "mooron", "kind", "thereafter", "mor")]
+    landmarks = [words[0], words[2]]
+    beta = np.array([1.5, -0.5])
+    lw, ln, lv = toxicity._rows(landmarks)
+    size = [np.sqrt(sum(np.bincount(ln[lw == k], lv[lw == k]) ** 2)) for k in (0, 1)]
+    table = np.zeros(toxicity.N_CODES, np.float32)
+    for k, n, v in zip(lw, ln, lv, strict=True):
+        table[n] += beta[k] * v / size[k]
+    want = toxicity.kernel_rows(words, landmarks) @ beta
+    texts = ["".join(chr(c + 96) if c < 27 else " " for c in w) for w in words]
+    assert np.allclose(toxicity.decision(pa.array(texts), table)[:, 0], want, atol=1e-4)
+    # brute force: all gapped subsequences of four characters inside the words
+    assert np.allclose(toxicity.kernel_rows(words, landmarks)[:, 0] * size[0], [plain_kernel(w, landmarks[0]) for w in words], rtol=1e-4)
+
+
+def plain_kernel(a, b):
+    from itertools import combinations
+
+    def space(w):
+        out = {}
+        for at in combinations(range(len(w)), 4):
+            gap = at[3] - at[0] - 3
+            if gap <= toxicity.SKIPPED:
+                key = tuple(w[i] for i in at)
+                out[key] = out.get(key, 0) + toxicity.DECAY**gap
+        return out
+
+    x, y = space(a), space(b)
+    return sum(v * y.get(k, 0) for k, v in x.items())
+
+
+def test_reject_keeps_odd_rows_and_columns(spark):
+    docs = table(spark, ODD).withColumn("score", F.lit(1)).withColumn("label", F.lit("x"))
+    labels = spark.createDataFrame([(4, 1)], "doc_id long, toxic int")
+    got = toxicity.reject(docs, labels, fold("doc_id", 3) >= 0)
+    assert got.columns == docs.columns and got.count() == len(ODD)
+    assert toxicity.reject(docs.limit(0), labels, fold("doc_id", 3) >= 0).count() == 0
 
 
 @pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])

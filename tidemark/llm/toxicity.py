@@ -14,7 +14,9 @@ and both are chosen anew in a few rounds. As the kernel is a sum over subsequenc
 trained machine folds into one weight per subsequence, and scoring a text is a table
 look-up per position: whole texts, no pairs of strings.
 
-A document's score is a logistic function, fitted on the sample, of its highest word.
+A document's score is a logistic function, fitted on a quarter of the sample that the machine
+has not seen, of its highest word and the logarithm of its words (a chance match is likelier
+among many words; beyond the longest text of that quarter the number no longer counts).
 Defined results: a null or empty text has the score of decision value 0; repeated ids keep
 a row each; without both labels to learn from every score is 0.
 """
@@ -87,17 +89,18 @@ def subsequences(code: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
 
 
 def decision(column: pa.Array, table: np.ndarray) -> np.ndarray:
-    """Highest word value of every text of an Arrow column."""
-    out = []
+    """Per text of an Arrow column its highest word value and the logarithm of its words plus one."""
+    out = [np.zeros((0, 2))]
     for lo, hi, buf, off in arrays.slices(column, 1 << 20):
         code, edges, row = folded(buf, off)
         value = np.zeros(len(code), np.float32)
         for number, weight in subsequences(code):
             value += np.float32(weight) * table[number]
         best = np.full(hi - lo, -np.inf)
-        np.maximum.at(best, row, np.add.reduceat(value, edges)) if len(edges) else None
-        out.append(np.where(np.isfinite(best), best, 0.0))
-    return np.concatenate(out) if out else np.zeros(0)
+        if len(edges):
+            np.maximum.at(best, row, np.add.reduceat(value, edges))
+        out.append(np.stack([np.where(np.isfinite(best), best, 0.0), np.log1p(np.bincount(row, minlength=hi - lo))], axis=1))
+    return np.concatenate(out)
 
 
 def _words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -149,7 +152,7 @@ def kernel_rows(words: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     return out
 
 
-def choose_landmarks(words: list[bytes], docs: np.ndarray, word_of: np.ndarray, label: np.ndarray, most: int) -> list[bytes]:
+def choose_landmarks(words: list[bytes], docs: np.ndarray, word_of: np.ndarray, label: np.ndarray, most: int, least: float = 4.0) -> list[bytes]:
     """Words of toxic documents with the most telling 4-grams not yet covered, then common clean words.
 
     docs, word_of: document and word of every pair, by document.
@@ -172,12 +175,12 @@ def choose_landmarks(words: list[bytes], docs: np.ndarray, word_of: np.ndarray,
     top = np.maximum.reduceat(z[gram], by_word[:-1])
     chosen: list[int] = []
     covered = np.zeros(len(grams), bool)
-    for i in np.lexsort((np.arange(len(words)), -np.add.reduceat(np.maximum(z[gram] - 3, 0), by_word[:-1]), -top)):
-        if len(chosen) >= most * 3 // 4 or top[i] < 4:
+    for i in np.lexsort((np.arange(len(words)), -np.add.reduceat(np.maximum(z[gram] - least + 1, 0), by_word[:-1]), -top)):
+        if len(chosen) >= most * 3 // 4 or top[i] < least:
             break
         own = gram[by_word[i] : by_word[i + 1]]
         fresh = own[~covered[own]]
-        if len(fresh) and z[fresh].max() >= 4:
+        if len(fresh) and z[fresh].max() >= least:
             chosen.append(int(i))
             covered[own] = True
     have = set(chosen)
@@ -270,20 +273,44 @@ def train(texts: list[str], label: np.ndarray, weights: np.ndarray, landmarks: i
     table[used] = z @ beta
     judged = later if later.any() else ~later
     top, target, mass = decision(pa.array(every, pa.string()), table)[judged], target[judged], mass[judged]
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * top + b, -30, 30)))
-        g = mass * (target - p)
-        h = mass * p * (1 - p)
-        hess = np.array([[(h * top * top).sum() + 1e-3, (h * top).sum()], [(h * top).sum(), h.sum() + 1e-3]])
-        a, b = np.array([a, b]) + np.linalg.solve(hess, np.array([(g * top).sum() - 1e-3 * a, g.sum()]))
-    return {"table": table, "slope": np.array(a), "constant": np.array(b)}
+    return {"table": table, "logistic": logistic(top, target, mass), "longest": top[:, 1].max()}
+
+
+def logistic(x: np.ndarray, label: np.ndarray, mass: np.ndarray, prior: float = 0.02) -> np.ndarray:
+    """Weights and constant of the label's probability as a logistic of the columns of ``x``.
+
+    Targets are smoothed by one row a label, the weights of the standardised columns have a
+    Gaussian prior, and a Newton step is halved until the objective does not rise, so
+    separable labels give finite weights.
+    """
+    rows = np.array([(label == 0).sum(), (label == 1).sum()])
+    goal = np.where(label == 1, (rows[1] + 1) / (rows[1] + 2), 1 / (rows[0] + 2))
+    middle, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
+    z = np.concatenate([(x - middle) / spread, np.ones((len(x), 1))], axis=1)
+    ridge = np.append(np.full(x.shape[1], prior), 1e-6)
+
+    def loss(w: np.ndarray) -> float:
+        return float((mass * (np.logaddexp(0, z @ w) - goal * (z @ w))).sum() + (ridge * w * w).sum() / 2)
+
+    w = np.zeros(z.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
+        step = np.linalg.solve((z * (mass * p * (1 - p))[:, None]).T @ z + np.diag(ridge + 1e-9), z.T @ (mass * (p - goal)) + ridge * w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        if size <= 1e-6 or np.abs(step).max() < 1e-9:
+            break
+        w = w - size * step
+    return np.append(w[:-1] / spread, w[-1] - (w[:-1] * middle / spread).sum())
 
 
 def probability(column: pa.Array, model: dict[str, np.ndarray] | None) -> np.ndarray:
     if model is None:
         return np.zeros(len(column))
-    return 1 / (1 + np.exp(-np.clip(model["slope"] * decision(column, model["table"]) + model["constant"], -40, 40)))
+    x, w = decision(column, model["table"]), model["logistic"]
+    x[:, 1] = np.minimum(x[:, 1], model["longest"])  # longer than any text it learned from: no extrapolation
+    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -40, 40)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, trains: Column, label: str = "toxic", per_class: int = 1200, most_bytes: int = 1 << 13) -> dict[str, np.ndarray] | None:
