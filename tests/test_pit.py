@@ -129,3 +129,62 @@ def test_bar_checks(spark):
     rows = [("2020-01-02", "A", 10.0, 11.0, 9.0, 10.0, 1.0, True), ("2020-01-02", "B", 10.0, 9.0, 8.0, 9.0, 1.0, True), ("2020-01-02", "C", -1.0, 11.0, -2.0, 3.0, 1.0, True), ("2020-01-02", "D", 10.0, 11.0, 9.0, None, 1.0, True)]
     bars = spark.createDataFrame(rows, T.BARS.replace("day date", "day string"))
     assert {r["asset"] for r in quality.bad_bars(bars).collect()} == {"B", "C", "D"}
+
+
+def test_versions_at_moments_in_any_order(spark):
+    """Late, early and future-dated versions; clocks before and after the day; against every pair."""
+    import random
+
+    rng = random.Random(4)
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    clock = lambda n: datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=n)
+    versions = {(rng.choice("ab"), rng.choice("XYZ"), day(rng.randrange(400)), clock(24 * rng.randrange(400) + rng.randrange(24))) for _ in range(150)}
+    versions = [(*v, float(i), None if i % 3 else day(rng.randrange(500))) for i, v in enumerate(sorted(versions))]
+    moments = [(m, rng.choice("abc"), day(rng.randrange(420)), clock(rng.randrange(24 * 420))) for m in range(80)]
+    want = {}
+    for m, k, d, c in moments:
+        for e in "XYZ":
+            seen = [(v[2], v[3], v[4], v[5]) for v in versions if v[:2] == (k, e) and v[2] <= d and v[3] <= c]
+            if seen:
+                want[m, e] = max(seen, key=lambda s: s[:2])[2:]
+    table = spark.createDataFrame(versions, "source_key string, asset string, valid_from date, known_at timestamp, weight double, valid_to date")
+    asked = spark.createDataFrame(moments, "m int, source_key string, d date, c timestamp")
+    got = pit.versions_at(table, asked.withColumn("twice", F.col("m") * 2), ["source_key"], "asset", "d", "c", ["weight", "valid_to"], ("twice",)).collect()
+    assert {(r["m"], r["asset"]): (r["weight"], r["valid_to"]) for r in got} == want and len(got) == len(want)
+    assert all(r["twice"] == 2 * r["m"] for r in got)
+    assert pit.versions_at(table.limit(0), asked, ["source_key"], "asset", "d", "c", ["weight"]).count() == 0
+
+
+def test_versions_by_session_and_revisions_against_every_pair(spark):
+    import random
+
+    rng = random.Random(5)
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    clock = lambda n: datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=n)
+    dates = sorted(rng.sample(range(120), 30))
+    calendar = pit.number_sessions(spark.createDataFrame([(day(n), clock(24 * n + 21)) for n in dates], "session date, decision_at timestamp"))
+    rows = sorted({(rng.choice("AB"), day(rng.randrange(-20, 140)), clock(rng.randrange(-400, 24 * 140))) for _ in range(60)})
+    rows = [(a, f, None if i % 2 else f + datetime.timedelta(rng.randrange(40)), k) for i, (a, f, k) in enumerate(rows)]
+    want = set()
+    for n in dates:
+        for a in "AB":
+            seen = [r for r in rows if r[0] == a and r[1] <= day(n) and r[3] <= clock(24 * n + 21)]
+            if seen:
+                best = max(seen, key=lambda r: (r[1], r[3]))
+                if best[2] is None or day(n) <= best[2]:
+                    want.add((day(n), a))
+    got = pit.membership(spark.createDataFrame(rows, T.UNIVERSE), calendar).collect()
+    assert {(r["session"], r["asset"]) for r in got} == want and len(got) == len(want)
+
+    sources = [("s", rng.choice("xy"), rng.randrange(1, 32), clock(i), None if i % 5 == 0 else float(i), day(10 if i % 2 else 40)) for i in range(40)]
+    sources = [(k, o, e, p, v, day(10 if o == "x" else 40)) for k, o, e, p, v, _ in sources]
+    table = spark.createDataFrame(sources, "source_key string, observation_id string, eligible_index int, published_at timestamp, value double, observed_on date")
+    for most in (None, 25):
+        want = {}
+        for i, n in enumerate(dates, 1):
+            for o in "xy":
+                seen = [r for r in sources if r[1] == o and r[2] <= i and (most is None or (day(n) - r[5]).days <= most)]
+                if seen and max(seen, key=lambda r: r[3])[4] is not None:
+                    want[i, o] = max(seen, key=lambda r: r[3])[4]
+        got = pit.latest_revisions(table, calendar, most).collect()
+        assert {(r["session_index"], r["observation_id"]): r["value"] for r in got} == want and len(got) == len(want)

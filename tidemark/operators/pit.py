@@ -28,16 +28,77 @@ def as_of(observations: DataFrame, calendar: DataFrame, keys: list[str], ties: l
     return newest(known, ["session", *keys], F.desc("available_at"), *[F.desc(c) for c in ties]).drop("decision_at")
 
 
-def membership(universe: DataFrame, calendar: DataFrame) -> DataFrame:
-    """Assets that belong to each session: the latest version known at the decision, then its end.
+def months(at: Column) -> Column:
+    """Number of the month that holds a date or clock."""
+    return F.year(at) * 12 + F.month(at)
+
+
+def versions_at(versions: DataFrame, moments: DataFrame, keys: list[str], entity: str, day: str, clock: str, payload: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """For every moment and entity the latest version with valid_from <= day and known_at <= clock.
 
-    The version is chosen first, so a terminated one never revives an older open one. The
-    calendar side is small (one row per session) and drives a range join.
+    Latest is by (valid_from, known_at), and one entity's versions must not repeat both.
+    ``moments`` has ``keys`` (shared with ``versions``), the day, the clock and others; of
+    these ``carry`` follow from the rest.
+
+    Time is cut into months. A version whose two dates both lie before a month may win there
+    only if it is the latest of its kind, so one carried row per month stands for all of them;
+    besides, a version appears in each month from the earlier to the later of its dates. So a
+    moment meets a carried row and the versions in motion around it, not a key's whole history,
+    and the joins are on (keys, month).
+    """
+    known = F.col("known_at").cast("timestamp")
+    place = F.unix_date("valid_from").cast("decimal(10,0)") * F.lit(10**18).cast("decimal(19,0)") + F.unix_micros(known).cast("decimal(19,0)")
+    rows = versions.select(*keys, entity, "valid_from", known.alias("known_at"), *payload, place.alias("__place"))
+    rows = rows.where("valid_from is not null and known_at is not null")
+    rows = rows.withColumn("__lo", F.least(months(F.col("valid_from")), months(F.col("known_at")))).withColumn("__hi", F.greatest(months(F.col("valid_from")), months(F.col("known_at"))))
+
+    at = F.least(F.col(day), F.col(clock).cast("date"))
+    wanted = moments.dropDuplicates([c for c in moments.columns if c not in carry]).withColumn("__month", months(at))
+    busy = wanted.select(*keys, "__month").distinct()
+    last = wanted.groupBy(*keys).agg(F.max("__month").alias("__end"))
+
+    moving = rows.withColumn("__month", F.explode(F.sequence("__lo", "__hi")))
+    settled = rows.groupBy(*keys, entity, (F.col("__hi") + 1).alias("__from")).agg(F.max(F.struct("__place", "valid_from", "known_at", *payload)).alias("__v"))
+    order = Window.partitionBy(*keys, entity).orderBy("__from")
+    best = F.max("__v").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    settled = settled.select(*keys, entity, "__from", F.lead("__from").over(order).alias("__next"), best.alias("__v"))
+    settled = settled.join(last, keys)
+    until = F.least(F.coalesce(F.col("__next") - 1, F.col("__end")), F.col("__end"))
+    carried = settled.where(F.col("__from") <= until).withColumn("__month", F.explode(F.sequence("__from", until))).select(*keys, entity, "__month", "__v.*")
+    candidates = moving.select(*carried.columns).unionByName(carried).join(busy, [*keys, "__month"], "left_semi")
+    # spread by entity before the rows multiply; the grouping below keeps this distribution
+    candidates = candidates.repartition(*keys, "__month", entity)
+
+    seen = wanted.join(candidates, [*keys, "__month"]).where((F.col("valid_from") <= F.col(day)) & (F.col("known_at") <= F.col(clock).cast("timestamp")))
+    found = seen.groupBy(*[c for c in wanted.columns if c not in carry], entity)
+    return found.agg(*[F.max_by(c, "__place").alias(c) for c in payload], *[F.first(c).alias(c) for c in carry]).drop("__month")
+
+
+def versions_by_session(versions: DataFrame, calendar: DataFrame, keys: list[str], payload: list[str], ends: str) -> DataFrame:
+    """Per session and key the latest version in force at its decision: keys, session, session_index, payload.
+
+    Latest is by (valid_from, known_at); it is chosen first and then left out after its day
+    ``ends`` (NULL: none), so an ended one never revives an older one. Days and decisions of
+    the calendar rise together, so a version counts from one session on, rules until a later
+    one does, and meets only the sessions of that interval.
     """
-    sessions = F.broadcast(calendar.select("session", "decision_at"))
-    seen = universe.join(sessions, (F.col("valid_from") <= F.col("session")) & (F.col("known_at") <= F.col("decision_at")))
-    chosen = newest(seen, ["session", "asset"], F.desc("valid_from"), F.desc("known_at"), F.desc_nulls_first("valid_to"))
-    return chosen.where("valid_to is null or session <= valid_to").select("session", "asset")
+    seen = first_session(versions.where("valid_from is not null and known_at is not null"), calendar, "session", "valid_from", "__by_day")
+    seen = first_session(seen, calendar, "decision_at", "known_at", "__by_clock").withColumn("__from", F.greatest("__by_day", "__by_clock"))
+    starts = seen.groupBy(*keys, "__from").agg(F.max(F.struct("valid_from", "known_at", F.col(ends).isNull().alias("__open"), *payload)).alias("__v"))
+    order = Window.partitionBy(*keys).orderBy("__from")
+    ruling = F.max("__v").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = starts.select(*keys, "__from", F.lead("__from").over(order).alias("__next"), ruling.alias("__v")).select(*keys, "__from", "__next", "__v.*")
+    sessions = calendar.select("session", "session_index")
+    runs = runs.join(F.broadcast(sessions.agg(F.max("session_index").alias("__sessions"))))
+    runs = runs.withColumn("__until", F.least(F.coalesce(F.col("__next") - 1, F.col("__sessions")), F.col("__sessions")))
+    live = runs.where(F.col("__from") <= F.col("__until")).withColumn("session_index", F.explode(F.sequence("__from", "__until")))
+    live = live.join(F.broadcast(sessions), "session_index").where(F.col(ends).isNull() | (F.col("session") <= F.col(ends)))
+    return live.select(*keys, "session", "session_index", *payload)
+
+
+def membership(universe: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Assets that belong to each session: the latest version known at the decision, then its end."""
+    return versions_by_session(universe, calendar, ["asset"], ["valid_to"], "valid_to").select("session", "asset")
 
 
 def dense_panel(cells: DataFrame, calendar: DataFrame, assets: DataFrame, fields: list[str]) -> DataFrame:
@@ -64,28 +125,56 @@ def known_values(observations: DataFrame, members: DataFrame, decisions: DataFra
     return observations.join(inside, "asset").where("session <= decision_date and available_at <= decision_time")
 
 
-def exposures_at(exposures: DataFrame, moments: DataFrame, keys: list[str], day: str, clock: str) -> DataFrame:
-    """Exposure versions in force for each moment: latest by (valid_from, available_at), then weight and end.
+def exposures_at(exposures: DataFrame, moments: DataFrame, keys: list[str], day: str, clock: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Exposure versions in force for each moment: latest by (valid_from, available_at); zero and ended ones go.
 
-    ``moments`` carries ``keys`` (at least source_key), the effective day and the clock. The
-    version is the maximum of one number made of both clocks, so it combines before the
-    shuffle in a hash aggregate. Keys of one exposure version must not repeat.
+    ``moments`` carries ``keys`` (at least source_key), the effective day and the clock. Keys
+    of one exposure version (with both dates) must not repeat. Columns to ``carry`` follow from
+    the others.
     """
-    place = F.unix_date("valid_from").cast("decimal(10,0)") * F.lit(10**18).cast("decimal(19,0)") + F.unix_micros(F.col("available_at").cast("timestamp")).cast("decimal(19,0)")
-    wanted = moments.select(*dict.fromkeys([*keys, day, clock])).distinct()
-    seen = wanted.join(exposures.withColumn("__place", place), "source_key").where((F.col("valid_from") <= F.col(day)) & (F.col("available_at") <= F.col(clock)))
-    chosen = seen.groupBy(*wanted.columns, "asset").agg(F.max_by("weight", "__place").alias("weight"), F.max_by("valid_to", "__place").alias("valid_to"))
+    wanted = moments.select(*dict.fromkeys([*keys, day, clock, *carry]))
+    chosen = versions_at(exposures.withColumnRenamed("available_at", "known_at"), wanted, ["source_key"], "asset", day, clock, ["weight", "valid_to"], carry)
     return chosen.where((F.col("weight") != 0) & (F.col("valid_to").isNull() | (F.col(day) <= F.col("valid_to"))))
 
 
-def eligible_session(events: DataFrame, calendar: DataFrame, clock: str, lag_sessions: int = 0) -> DataFrame:
-    """First session whose decision is not before the clock, plus ``lag_sessions``; absent if none.
+def exposures_by_session(exposures: DataFrame, calendar: DataFrame) -> DataFrame:
+    """exposures_at for every session's own day and decision."""
+    known = exposures.withColumnRenamed("available_at", "known_at")
+    return versions_by_session(known, calendar, ["source_key", "asset"], ["weight", "valid_to"], "valid_to").where("weight <> 0")
+
+
+def session_places(calendar: DataFrame, column: str) -> DataFrame:
+    """Per day from the calendar's first to the one after its last: sessions whose ``column`` lies before it, and those within it.
 
-    The calendar becomes one sorted array, searched per row, so no inequality join is planned.
+    Small by nature (one row a calendar day), so it may be broadcast.
     """
-    days = calendar.agg(F.sort_array(F.collect_list("decision_at")).alias("__at"))
-    earlier = F.size(F.filter("__at", lambda t: t < F.col(clock)))
-    return events.join(F.broadcast(days)).withColumn("eligible_index", earlier + 1 + lag_sessions).where(F.col("eligible_index") <= F.size("__at")).drop("__at")
+    per_day = calendar.groupBy(F.to_date(column).alias("__day")).agg(F.sort_array(F.collect_list(column)).alias("__at"))
+    span = per_day.agg(F.min("__day").alias("lo"), F.max("__day").alias("hi")).where("lo is not null")
+    days = span.select(F.explode(F.sequence("lo", F.date_add("hi", 1))).alias("__day")).join(per_day, "__day", "left")
+    within = F.when(F.col("__at").isNull(), 0).otherwise(F.size("__at"))
+    before = F.sum(within).over(Window.partitionBy(F.lit(0)).orderBy("__day")) - within
+    return days.select("__day", "__at", before.alias("__before"))
+
+
+def first_session(events: DataFrame, calendar: DataFrame, column: str, clock: str, name: str) -> DataFrame:
+    """Events with the number (from 1) of the first session whose ``column`` is not before ``clock``.
+
+    After the last session it is one more than there are. The clock's day, moved into the
+    calendar's span, is looked up by equality, then only the sessions of that day are compared.
+    """
+    places = session_places(calendar, column)
+    span = calendar.agg(F.min(F.to_date(column)).alias("lo"), F.max(F.to_date(column)).alias("hi"))
+    out = events.join(F.broadcast(span)).withColumn("__day", F.greatest(F.least(F.to_date(clock), F.date_add("hi", 1)), "lo")).drop("lo", "hi")
+    out = out.join(F.broadcast(places), "__day")
+    within = F.when(F.col("__at").isNull(), 0).otherwise(F.size(F.filter("__at", lambda t: t < F.col(clock))))
+    return out.withColumn(name, (F.col("__before") + within + 1).cast("int")).drop("__day", "__at", "__before")
+
+
+def eligible_session(events: DataFrame, calendar: DataFrame, clock: str, lag_sessions: int = 0) -> DataFrame:
+    """First session whose decision is not before the clock, plus ``lag_sessions``; absent if none."""
+    out = first_session(events, calendar, "decision_at", clock, "eligible_index").withColumn("eligible_index", F.col("eligible_index") + lag_sessions)
+    last = F.broadcast(calendar.agg(F.count("decision_at").alias("__sessions")))
+    return out.join(last).where(F.col("eligible_index") <= F.col("__sessions")).drop("__sessions")
 
 
 def clock_of(mode: str) -> Column:
@@ -96,15 +185,38 @@ def clock_of(mode: str) -> Column:
 def latest_revisions(sources: DataFrame, calendar: DataFrame, max_age_days: int | None = None) -> DataFrame:
     """Per session and observation the latest eligible revision; a withdrawn one (NULL value) suppresses it.
 
-    ``sources`` has source_key, observation_id, eligible_index, published_at, value. With
-    ``max_age_days`` sessions later than that after observed_on (which no revision changes) are
-    left out before the join, so a row meets its few live sessions, not all later ones.
+    ``sources`` has source_key, observation_id, eligible_index, published_at, value and
+    columns that follow them. A revision rules from its session to the one before a later
+    published one becomes eligible, so each becomes an interval of sessions and meets only
+    those. With ``max_age_days`` the interval also ends that long after observed_on (which no
+    revision changes).
     """
-    live = F.col("eligible_index") <= F.col("session_index")
+    keys = ["source_key", "observation_id"]
+    rest = [c for c in sources.columns if c not in [*keys, "eligible_index", "published_at", "value"]]
+    best = F.max(F.struct("published_at", F.col("value").isNotNull().alias("__real"), "value", *rest))
+    starts = sources.groupBy(*keys, "eligible_index").agg(best.alias("__v"))
+    order = Window.partitionBy(*keys).orderBy("eligible_index")
+    ruling = F.max("__v").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = starts.select(*keys, "eligible_index", F.lead("eligible_index").over(order).alias("__next"), ruling.alias("__v"))
+    sessions = calendar.select("session", "session_index", "decision_at")
+    ends = sessions.agg(F.max("session_index").alias("__sessions"))
+    runs = runs.select(*keys, F.col("eligible_index").alias("__from"), "__next", "__v.*").where("value is not null").join(F.broadcast(ends))
+    until = F.coalesce(F.col("__next") - 1, F.col("__sessions"))
     if max_age_days is not None:
-        live = live & (age_days(F.col("session"), F.col("observed_on")) <= max_age_days)
-    seen = sources.join(F.broadcast(calendar.select("session", "session_index", "decision_at")), live)
-    return newest(seen, ["session_index", "source_key", "observation_id"], F.desc("published_at"), F.desc("value")).where("value is not null")
+        by_day = F.broadcast(last_sessions(sessions))
+        aged = runs.withColumn("__day", F.date_add("observed_on", max_age_days)).join(F.broadcast(sessions.agg(F.max("session").alias("__final"))))
+        runs = aged.withColumn("__day", F.least("__day", "__final")).join(by_day, "__day").drop("__day", "__final")
+        until = F.least(until, F.col("__index"))
+    live = runs.where(F.col("__from") <= until).withColumn("session_index", F.explode(F.sequence("__from", until)))
+    return live.join(F.broadcast(sessions), "session_index").drop("__from", "__next", "__sessions", "__real", "__index")
+
+
+def last_sessions(sessions: DataFrame) -> DataFrame:
+    """Per calendar day from the first session to the last: index of the last session not after it."""
+    days = sessions.agg(F.min("session").alias("lo"), F.max("session").alias("hi")).where("lo is not null").select(F.explode(F.sequence("lo", "hi")).alias("__day"))
+    order = Window.partitionBy(F.lit(0)).orderBy("__day")
+    found = days.join(sessions.select(F.col("session").alias("__day"), "session_index"), "__day", "left")
+    return found.select("__day", F.max("session_index").over(order).alias("__index"))
 
 
 def active(sources: DataFrame, max_age_days: int) -> DataFrame:
@@ -115,9 +227,11 @@ def active(sources: DataFrame, max_age_days: int) -> DataFrame:
 def event_sum(sources: DataFrame, exposures: DataFrame, calendar: DataFrame, max_age_days: int, half_life_days: float | None = None) -> DataFrame:
     """Sum over active events of value x exposure on the observed day x decay, per session and asset."""
     live = active(latest_revisions(sources, calendar, max_age_days), max_age_days)
-    mapped = mapped_events(live, exposures)
-    part = F.col("value") * F.col("weight") * decay(F.col("age"), half_life_days)
-    return mapped.withColumn("contribution", part).groupBy("session", "asset").agg(F.sum("contribution").alias("value"), F.count("*").alias("n_events"))
+    # events of one source and day share their exposures and their age, so they are summed before they are mapped
+    part = F.sum(F.col("value") * decay(F.col("age"), half_life_days))
+    daily = live.groupBy("session", "decision_at", "source_key", "observed_on").agg(part.alias("value"), F.count("*").alias("n"))
+    mapped = exposures_at(exposures, daily, ["session", "source_key", "observed_on"], "observed_on", "decision_at", ("value", "n"))
+    return mapped.groupBy("session", "asset").agg(F.sum(F.col("value") * F.col("weight")).alias("value"), F.sum("n").alias("n_events"))
 
 
 def mapped_events(live: DataFrame, exposures: DataFrame) -> DataFrame:
@@ -134,9 +248,7 @@ def latest_proxy(sources: DataFrame, exposures: DataFrame, calendar: DataFrame,
     """Newest period of every source, mapped by the session's exposures; all mapped sources must be active."""
     newest_period = newest(latest_revisions(sources, calendar, max_age_days), ["session_index", "source_key"], F.desc("observed_on"), F.desc("observation_id"))
     live = active(newest_period, max_age_days)
-    sessions = calendar.select("session", "session_index", "decision_at")
-    every = exposures.select("source_key").distinct().join(F.broadcast(sessions))
-    current = exposures_at(exposures, every, ["session", "source_key"], "session", "decision_at").select("session", "source_key", "asset", "weight")
+    current = exposures_by_session(exposures, calendar).select("session", "source_key", "asset", "weight")
     joined = current.join(live.select("session", "source_key", "value"), ["session", "source_key"], "left")
     return joined.groupBy("session", "asset").agg(F.sum(F.col("value") * F.col("weight")).alias("value"), F.count("value").alias("n_actual"), F.count("*").alias("n_expected")).where("n_actual = n_expected")
 

@@ -21,6 +21,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/tidemark-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once and read back, for queries that use it in several places."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def month(c: str = "l_shipdate"):
     return F.to_date(F.date_trunc("month", F.col(c).cast("timestamp")))
 
@@ -28,7 +35,7 @@ def month(c: str = "l_shipdate"):
 def calendar(spark: SparkSession, d: str) -> DataFrame:
     days = read(spark, d, "lineitem").select(month().alias("session")).distinct()
     days = days.withColumn("open_at", F.col("session").cast("timestamp_ntz")).withColumn("decision_at", F.date_add("session", 26).cast("timestamp_ntz"))
-    return number_sessions(days)
+    return stored(number_sessions(days))
 
 
 def observations(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +55,7 @@ TIES = ["t1", "t2", "t3", "t4", "t5"]
 
 def universe(spark: SparkSession, d: str) -> DataFrame:
     l = read(spark, d, "lineitem")
-    end = F.when(F.max("l_linestatus") == "O", F.lit(None)).otherwise(F.expr("date_add(session, cast(max(l_quantity) as int))"))
+    end = F.when(F.max(F.col("l_linestatus") == "O"), F.lit(None)).otherwise(F.expr("date_add(session, cast(max(l_quantity) as int))"))
     return l.withColumn("session", month()).groupBy(F.col("l_suppkey").alias("asset"), "session").agg(end.cast("date").alias("valid_to"), F.min("l_shipdate").alias("known_at")).withColumnRenamed("session", "valid_from")
 
 
@@ -89,7 +96,7 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     """Order prices by brand and month as revisable facts; a few are withdrawn."""
     l = read(spark, d, "lineitem")
     part = read(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("source_key"))
-    rows = l.join(part, "l_partkey").where("l_linenumber <= 2")
+    rows = l.join(part, "l_partkey")
     return rows.groupBy("source_key", F.concat(F.date_format("l_shipdate", "yyyy-MM"), F.lit("#"), (F.dayofmonth("l_shipdate") % 3).cast("string")).alias("observation_id"), F.col("l_shipdate").alias("published_at")).agg(
         F.max(F.when(F.col("l_quantity") < 49, F.col("l_quantity"))).alias("value")
     ).withColumn("observed_on", F.to_date(F.date_trunc("month", F.col("published_at").cast("timestamp")))).withColumn("extracted_at", F.col("published_at") + F.make_dt_interval(F.lit(2)))
@@ -134,7 +141,7 @@ SQL = {
     "dense": "SELECT c.session, c.session_index, c.decision_at, s.s_suppkey AS asset, s.s_nationkey % 5 AS sector, x.price, x.volume, x.open_lines FROM cal c CROSS JOIN supplier s LEFT JOIN cells x ON x.session = c.session AND x.asset = s.s_suppkey",
     "panel": "SELECT *, avg(price) OVER (PARTITION BY session_index, sector) AS sector_price, avg(price) OVER (PARTITION BY session_index) AS market_price, coalesce(open_lines > 0, FALSE) AS eligible FROM dense",
     "expo": "SELECT asset, source_key, valid_from, available_at, max(weight) AS weight, max(valid_to) AS valid_to FROM (SELECT l_suppkey AS asset, p_brand AS source_key, CAST(date_trunc('month', l_shipdate) AS DATE) AS valid_from, CASE WHEN l_returnflag = 'R' THEN CAST(date_trunc('month', l_shipdate) AS DATE) + 60 END AS valid_to, l_shipdate AS available_at, round(10 * l_discount - 0.2, 2) AS weight FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1, 2, 3, 4",
-    "src": "SELECT p_brand AS source_key, strftime(l_shipdate, '%Y-%m') || '#' || CAST(day(l_shipdate) % 3 AS VARCHAR) AS observation_id, l_shipdate AS published_at, max(CASE WHEN l_quantity < 49 THEN l_quantity END) AS value, CAST(date_trunc('month', l_shipdate) AS DATE) AS observed_on, l_shipdate + INTERVAL 2 DAY AS extracted_at FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 2 GROUP BY p_brand, l_shipdate",
+    "src": "SELECT p_brand AS source_key, strftime(l_shipdate, '%Y-%m') || '#' || CAST(day(l_shipdate) % 3 AS VARCHAR) AS observation_id, l_shipdate AS published_at, max(CASE WHEN l_quantity < 49 THEN l_quantity END) AS value, CAST(date_trunc('month', l_shipdate) AS DATE) AS observed_on, l_shipdate + INTERVAL 2 DAY AS extracted_at FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand, l_shipdate",
     "sig": "SELECT event_type AS strategy, user_id AS asset, value AS score, ts AS available_at, event_id FROM events",
     "days": "SELECT DISTINCT CAST(ts AS DATE) AS day FROM events",
     "bars": "SELECT day, asset, open, high, low, close, dollar_volume, s_acctbal > 0 AS borrow_available FROM (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS day, l_suppkey AS asset, min_by(p, o) AS open, max(p) AS high, min(p) AS low, max_by(p, o) AS close, round(sum(l_extendedprice), 2) AS dollar_volume FROM (SELECT *, l_extendedprice / l_quantity AS p, (l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS o FROM lineitem) GROUP BY 1, 2) JOIN supplier ON s_suppkey = asset",

@@ -114,11 +114,11 @@ def a10(spark, d):
     return got.groupBy("exchange").agg(F.count("*").alias("n"), F.round(F.sum(F.col("high") - F.col("low")), 4).alias("spread"))
 
 
-@query("a11_feature_request_json", A.with_sql("src") + " SELECT source_key, count(*) AS n, count(value) AS n_values FROM src WHERE published_at < TIMESTAMP '1996-01-01' GROUP BY 1")
+@query("a11_feature_request_json", A.with_sql("src") + " SELECT source_key, count(*) AS n, count(value) AS n_values FROM src GROUP BY 1")
 def a11(spark, d):
-    s = A.sources(spark, d).where("published_at < timestamp_ntz'1996-01-01'").select("source_key", "observation_id", "observed_on", "value", F.col("published_at").cast("timestamp").alias("published_at"))
-    # one request per source, each a JSON file of nested arrays
-    requests = s.groupBy("source_key").agg(F.collect_list(F.struct(*s.columns)).alias("sources")).select("sources")
+    s = A.sources(spark, d).select("source_key", "observation_id", "observed_on", "value", F.col("published_at").cast("timestamp").alias("published_at"))
+    # a request holds a source's facts of one month, so no array grows with the table
+    requests = s.groupBy("source_key", A.month("published_at")).agg(F.collect_list(F.struct(*s.columns)).alias("sources")).select("sources")
     path = written(spark, requests, "json")
     got = spark.read.schema("sources array<struct<source_key:string,observation_id:string,observed_on:date,value:double,published_at:timestamp>>").json(path)
     return got.select(F.explode("sources").alias("s")).select("s.*").groupBy("source_key").agg(F.count("*").alias("n"), F.count("value").alias("n_values"))
@@ -308,9 +308,9 @@ def b18(spark, d):
     return quality.false_quotes(spans, docs).select("source_hash")
 
 
-@query("b19_early_features", A.with_sql("cal") + ", f AS (SELECT l_orderkey AS feature_id, l_linenumber AS k, " + LINE_DAY + " AS session, l_shipdate + to_days(l_linenumber) AS source_at, l_shipdate AS exposure_at FROM lineitem WHERE l_orderkey % 7 = 0) SELECT feature_id, count(*) AS n FROM f JOIN cal USING (session) WHERE source_at > decision_at OR exposure_at > decision_at GROUP BY 1")
+@query("b19_early_features", A.with_sql("cal") + ", f AS (SELECT l_orderkey AS feature_id, l_linenumber AS k, " + LINE_DAY + " AS session, l_shipdate + to_days(l_linenumber) AS source_at, l_shipdate AS exposure_at FROM lineitem) SELECT feature_id, count(*) AS n FROM f JOIN cal USING (session) WHERE source_at > decision_at OR exposure_at > decision_at GROUP BY 1")
 def b19(spark, d):
-    l = A.read(spark, d, "lineitem").where("l_orderkey % 7 = 0").withColumn("session", A.month()).withColumn("sid", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
+    l = A.read(spark, d, "lineitem").withColumn("session", A.month()).withColumn("sid", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"))
     rows = l.groupBy(F.col("l_orderkey").alias("feature_id"), "session").agg(F.collect_list(F.struct(F.col("sid").alias("source_id"), F.col("sid").alias("exposure_id"))).alias("contributions"))
     sources = l.select(F.col("sid").alias("source_id"), (F.col("l_shipdate") + F.make_dt_interval(F.col("l_linenumber"))).alias("usable_at"))
     exposures = l.select(F.col("sid").alias("exposure_id"), F.col("l_shipdate").alias("available_at"))
@@ -431,20 +431,18 @@ def c2(spark, d):
     return pit.membership(A.universe(spark, d), A.calendar(spark, d))
 
 
-@query("c4_known_values", A.with_sql("obs", "uni") + ", dec AS (SELECT s_suppkey AS asset, DATE '1998-06-15' AS decision_date, TIMESTAMP '1998-06-15 12:00:00' AS decision_time FROM supplier WHERE s_suppkey % 5 = 0), ins AS (SELECT DISTINCT d.* FROM dec d JOIN uni u ON u.asset = d.asset AND u.valid_from <= decision_date AND (u.valid_to IS NULL OR decision_date <= u.valid_to)) SELECT o.asset, count(*) AS n FROM obs o JOIN ins ON ins.asset = o.asset AND o.session <= decision_date AND o.available_at <= decision_time GROUP BY 1")
+@query("c4_known_values", A.with_sql("obs", "uni") + ", dec AS (SELECT s_suppkey AS asset, DATE '1998-06-15' AS decision_date, TIMESTAMP '1998-06-15 12:00:00' AS decision_time FROM supplier), ins AS (SELECT DISTINCT d.* FROM dec d JOIN uni u ON u.asset = d.asset AND u.valid_from <= decision_date AND (u.valid_to IS NULL OR decision_date <= u.valid_to)) SELECT o.asset, count(*) AS n FROM obs o JOIN ins ON ins.asset = o.asset AND o.session <= decision_date AND o.available_at <= decision_time GROUP BY 1")
 def c4(spark, d):
-    dec = A.read(spark, d, "supplier").where("s_suppkey % 5 = 0").selectExpr("s_suppkey AS asset", "date'1998-06-15' AS decision_date", "timestamp_ntz'1998-06-15 12:00:00' AS decision_time")
+    dec = A.read(spark, d, "supplier").selectExpr("s_suppkey AS asset", "date'1998-06-15' AS decision_date", "timestamp_ntz'1998-06-15 12:00:00' AS decision_time")
     return counted(pit.known_values(A.observations(spark, d), A.universe(spark, d), dec), "asset")
 
 
 EXPO_AT = "{moments} JOIN expo e ON e.source_key = m.source_key AND e.valid_from <= m.{day} AND e.available_at <= m.{clock}"
 
 
-@query("c5_exposures_as_of", A.with_sql("expo", "cal") + ", m AS (SELECT session, decision_at, source_key FROM cal, (SELECT DISTINCT source_key FROM expo) WHERE session_index % 12 = 0), r AS (SELECT m.session, e.*, row_number() OVER (PARTITION BY m.session, m.source_key, asset ORDER BY valid_from DESC, available_at DESC, weight DESC) AS k FROM " + EXPO_AT.format(moments="m", day="session", clock="decision_at") + ") SELECT CAST(session AS VARCHAR) AS session, source_key, asset, round(weight, 6) + 0.0 AS weight FROM r WHERE k = 1 AND weight <> 0 AND (valid_to IS NULL OR session <= valid_to)")
+@query("c5_exposures_as_of", A.with_sql("expo", "cal") + ", m AS (SELECT session, decision_at, source_key FROM cal, (SELECT DISTINCT source_key FROM expo)), r AS (SELECT m.session, e.*, row_number() OVER (PARTITION BY m.session, m.source_key, asset ORDER BY valid_from DESC, available_at DESC, weight DESC) AS k FROM " + EXPO_AT.format(moments="m", day="session", clock="decision_at") + ") SELECT CAST(session AS VARCHAR) AS session, source_key, asset, round(weight, 6) + 0.0 AS weight FROM r WHERE k = 1 AND weight <> 0 AND (valid_to IS NULL OR session <= valid_to)")
 def c5(spark, d):
-    x = A.exposures(spark, d)
-    moments = x.select("source_key").distinct().join(F.broadcast(A.calendar(spark, d).where("session_index % 12 = 0").select("session", "decision_at")))
-    return pit.exposures_at(x, moments, ["session", "source_key"], "session", "decision_at").select("session", "source_key", "asset", "weight")
+    return pit.exposures_by_session(A.exposures(spark, d), A.calendar(spark, d)).select("session", "source_key", "asset", "weight")
 
 
 @query("c6_eligible_session", A.with_sql("src", "cal") + ", x AS (SELECT source_key, observation_id, published_at, (SELECT count(*) FROM cal WHERE decision_at < published_at) + 1 + 2 AS i FROM src) SELECT source_key, observation_id, CAST(published_at AS VARCHAR) AS published_at, CAST(i AS BIGINT) AS eligible_index FROM x WHERE i <= (SELECT count(*) FROM cal)")
@@ -485,7 +483,7 @@ def c10(spark, d):
 
 @query("c11_age_and_decay", A.with_sql("src", "cal") + ", " + ELIG + " SELECT CAST(session_index AS BIGINT) AS session_index, round(sum(pow(2.0, -date_diff('day', observed_on, session) / 30.0)), 4) AS mass FROM rev WHERE date_diff('day', observed_on, session) BETWEEN 0 AND 120 GROUP BY 1")
 def c11(spark, d):
-    live = pit.active(pit.latest_revisions(small_sources(spark, d), A.calendar(spark, d)), 120)
+    live = pit.active(pit.latest_revisions(small_sources(spark, d), A.calendar(spark, d), 120), 120)
     return live.groupBy("session_index").agg(F.round(F.sum(X.decay(F.col("age"), 30.0)), 4).alias("mass"))
 
 
@@ -497,22 +495,22 @@ def c12(spark, d):
     return mapped.groupBy("session", "asset").agg(F.sha2(F.array_join(parts, ","), 256).alias("lineage"))
 
 
-@query("c13_exposure_expansion", A.with_sql("expo", "src") + ", dec AS (SELECT DATE '1998-06-15' AS dd, TIMESTAMP '1998-06-15 12:00:00' AS dt), v AS (SELECT e.* FROM expo e, dec WHERE valid_from <= dd AND (valid_to IS NULL OR dd <= valid_to) AND available_at <= dt AND asset IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND valid_from >= DATE '1998-01-01') SELECT v.asset, count(*) AS n, round(sum(s.value * v.weight), 4) + 0.0 AS total, CAST(max(greatest(s.published_at, v.available_at)) AS VARCHAR) AS known_at FROM src s JOIN v USING (source_key), dec WHERE s.published_at <= dt AND s.published_at >= TIMESTAMP '1998-05-01' AND s.value IS NOT NULL GROUP BY 1")
+@query("c13_exposure_expansion", A.with_sql("expo", "src") + ", dec AS (SELECT DATE '1998-06-15' AS dd, TIMESTAMP '1998-06-15 12:00:00' AS dt), v AS (SELECT e.* FROM expo e, dec WHERE valid_from <= dd AND (valid_to IS NULL OR dd <= valid_to) AND available_at <= dt AND asset IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) SELECT v.asset, count(*) AS n, round(sum(s.value * v.weight), 4) + 0.0 AS total, CAST(max(greatest(s.published_at, v.available_at)) AS VARCHAR) AS known_at FROM src s JOIN v USING (source_key), dec WHERE s.published_at <= dt AND s.value IS NOT NULL GROUP BY 1")
 def c13(spark, d):
     dec = spark.range(1).selectExpr("date'1998-06-15' AS decision_date", "timestamp_ntz'1998-06-15 12:00:00' AS decision_time")
     members = A.read(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("asset"))
-    src = A.sources(spark, d).where("published_at >= timestamp_ntz'1998-05-01' and value is not null")
-    got = pit.expand_exposures(src, A.exposures(spark, d).where("valid_from >= date'1998-01-01'"), members, dec)
+    src = A.sources(spark, d).where("value is not null")
+    got = pit.expand_exposures(src, A.exposures(spark, d), members, dec)
     return got.groupBy("asset").agg(F.count("*").alias("n"), F.round(F.sum("asset_value"), 4).alias("total"), F.max("known_at").alias("known_at"))
 
 
 def raw_rows(spark, d):
-    l = A.read(spark, d, "lineitem").where("l_orderkey % 3 = 0")
+    l = A.read(spark, d, "lineitem")
     values = F.create_map(F.lit("q"), F.col("l_quantity"), F.lit("d"), F.col("l_discount"), F.lit("t"), F.col("l_tax"))
     return l.select(F.col("l_suppkey").alias("asset"), F.col("l_shipdate").alias("published_at"), values.alias("values"))
 
 
-RAW = "raw AS (SELECT l_suppkey AS asset, l_shipdate + INTERVAL 3 DAY AS usable_at, CASE WHEN l_tax <> 0 THEN l_quantity * l_discount / l_tax END AS v FROM lineitem WHERE l_orderkey % 3 = 0)"
+RAW = "raw AS (SELECT l_suppkey AS asset, l_shipdate + INTERVAL 3 DAY AS usable_at, CASE WHEN l_tax <> 0 THEN l_quantity * l_discount / l_tax END AS v FROM lineitem)"
 
 
 def ratio():
