@@ -89,6 +89,8 @@ def test_proxy_needs_every_mapped_source(spark, feature):
 
 def test_urls(spark):
     cases = [("https://data.example.com/a?b=1", True), ("https://example.org:443/x", True), ("http://example.org/", False), ("https://user@example.org/", False), ("https://localhost/a", False), ("https://a.internal/", False), ("https://example.org/?api_key=1", False), ("https://example.org/#top", False), ("https://example.org:8443/", False), ("not a url", False), (None, False)]
+    cases += [("https://example.org/a%00b", False), ("https://example.org/%0D%0A", False), ("https://example.org/é", False), ("https://example.org/a b", False), ("https://example.org\\@127.0.0.1/", False), ("https://example..org/a", False), ("file:///etc/passwd", False)]
+    cases += [("https://example.org/?t%6Fken=1", False), ("https://example.org/?x=1%26token=2", True), ("https://example.org/?a=%C3%A9&b=%zz|{", True), ("https://example.org/?q=secret", True), ("https://example.org/?A-PI=1&my_Secret", False), ("https://example.org/" + "a" * 4096, False)]
     urls = spark.createDataFrame([(u,) for u, _ in cases], "url string")
     assert {r["url"] for r in quality.refused_urls(urls).collect()} == {u for u, ok in cases if not ok}
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import stored
+
 # Which status may follow which.
 TRANSITIONS = {"proposed": ["screened", "rejected"], "screened": ["validated", "rejected"], "validated": ["accepted", "rejected"], "accepted": ["retired"], "rejected": [], "retired": []}
 VALIDATOR, GUARDED = "numerical-validator", ["validated", "accepted"]
@@ -141,10 +143,20 @@ def reward(evidence: DataFrame, *, information: float, incremental: float, stabi
     return out.withColumn("eligible", eligible).withColumn("diagnostic", total).withColumn("reward", F.when(F.col("eligible"), total).otherwise(0.0)).withColumn("adjusted_p", p).withColumn("stability", share)
 
 
-def leaderboard(scored: DataFrame) -> DataFrame:
-    """Eligible first, then by reward, with places (ties by candidate)."""
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("eligible"), F.desc("reward"), "candidate_id")
-    return scored.withColumn("place", F.row_number().over(order))
+def leaderboard(scored: DataFrame, runs: int | None = None) -> DataFrame:
+    """Eligible first, then by reward, with places (ties by candidate).
+
+    Rows are cut into ``runs`` of neighbouring places and written; a place is the rank within
+    the run plus the rows of the runs before it, so no task sees all candidates.
+    """
+    order = [F.desc("eligible"), F.desc("reward"), F.asc("candidate_id")]
+    runs = runs or int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stored(scored.repartitionByRange(runs, *order).withColumn("__run", F.spark_partition_id()))
+    sizes = cut.groupBy("__run").agg(F.count("*").alias("__n"))  # one row a run
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__run")) - F.col("__n")
+    within = F.row_number().over(Window.partitionBy("__run").orderBy(*order))
+    placed = cut.withColumn("place", within).join(F.broadcast(sizes.select("__run", before.alias("__before"))), "__run")
+    return placed.withColumn("place", (F.col("place") + F.col("__before")).cast("int")).drop("__run", "__before")
 
 
 def semantic_score(evidence: DataFrame, cost_scale: float = 1000.0, similarity: float = 1.0, complexity: float = 0.05, instability: float = 1.0) -> DataFrame:
@@ -171,7 +183,7 @@ def dispatch_ready(proposals: DataFrame, books: DataFrame, now: Column, day: Col
     b = books.select("book", "revision", F.from_json("policy", policy).alias("p")).select("book", "revision", "p.*")
     reserved = proposals.where(F.col("reserved_day") == day).groupBy("book").agg(F.sum("notional").alias("reserved"))
     ok = (F.col("state") == "approved") | ((F.col("state") == "pending") & ~F.col("approval_required"))
-    joined = proposals.join(F.broadcast(b), ["book", "revision"]).join(F.broadcast(reserved), "book", "left")
+    joined = proposals.join(b, ["book", "revision"]).join(reserved, "book", "left")
     ready = joined.where((F.col("expires") > now) & ok & (F.col("notional") + F.coalesce("reserved", F.lit(0.0)) <= F.col("max_daily_notional")))
     return ready.orderBy("created", "id").limit(most)
 
@@ -187,4 +199,4 @@ def risky_proposals(proposals: DataFrame, books: DataFrame, now: Column) -> Data
         & (F.abs(F.try_divide(F.col("limit_price"), F.col("reference_price")) - 1) <= 0.02)
         & age.between(0, 60_000_000)
     )
-    return proposals.join(F.broadcast(b), "book", "left").where(~F.coalesce(fine, F.lit(False))).select(*proposals.columns)
+    return proposals.join(b, "book", "left").where(~F.coalesce(fine, F.lit(False))).select(*proposals.columns)

@@ -203,25 +203,24 @@ def bucket_model(rows: DataFrame, value: str, states: int, *by: str) -> DataFram
 
 
 def filter_states(series: DataFrame, means: list[float], variances: list[float], stay: float, *by: str) -> DataFrame:
-    """Filtered probabilities along each series with a sticky transition, as one ordered fold per group."""
+    """Filtered probabilities along each series with a sticky transition; one group holds a series' sessions."""
     k = len(means)
-    values = series.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("session_index", "value"))).alias("path"))
-    leave = (1 - stay) / max(k - 1, 1)
-
-    def emission(i: int, x: Column) -> Column:
-        return F.exp(-(x - means[i]) * (x - means[i]) / (2 * variances[i])) / float(np.sqrt(variances[i]))
-
-    def step(state: Column, item: Column) -> Column:
-        prior = [sum((state["p"][j] * (stay if i == j else leave) for j in range(k)), F.lit(0.0)) for i in range(k)]
-        raw = [prior[i] * emission(i, item["value"]) + 1e-300 for i in range(k)]
-        total = sum(raw, F.lit(0.0))
-        p = F.array(*[r / total for r in raw])
-        return F.struct(p.alias("p"), F.concat(state["out"], F.array(F.struct(item["session_index"].alias("session_index"), p.alias("probabilities")))).alias("out"))
-
-    index = dict(series.dtypes)["session_index"]
-    start = F.struct(F.array(*[F.lit(1.0 / k)] * k).alias("p"), F.expr(f"cast(array() as array<struct<session_index:{index},probabilities:array<double>>>)").alias("out"))
-    done = values.withColumn("out", F.aggregate("path", start, step, lambda s: s["out"]))
-    return done.select(*by, F.explode("out").alias("o")).select(*by, "o.*")
+    move = np.full((k, k), (1 - stay) / max(k - 1, 1))
+    np.fill_diagonal(move, stay)
+    mean, variance = np.array(means), np.array(variances)
+    schema = ", ".join(f"`{c}` {t}" for c, t in series.select(*by, "session_index").dtypes) + ", probabilities array<double>"
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("session_index", kind="stable")
+        x = frame["value"].to_numpy(float)
+        emit = np.exp(-((x[:, None] - mean) ** 2) / (2 * variance)) / np.sqrt(variance)
+        p, out = np.full(k, 1 / k), np.empty((len(x), k))
+        for t in range(len(x)):
+            p = (p @ move) * emit[t] + 1e-300
+            p = out[t] = p / p.sum()
+        return frame[[*by, "session_index"]].assign(probabilities=out.tolist())
+
+    return series.select(*by, "session_index", "value").groupBy(*by).applyInPandas(run, schema)
 
 
 def centroid_states(rows: DataFrame, value: str, states: int, *by: str) -> DataFrame:

@@ -132,17 +132,27 @@ def signalless(sleeves: DataFrame, signals: DataFrame, days: DataFrame, horizon_
 
 # Fixed values of the URL policy.
 LOCAL_HOST = r"^(localhost|metadata\.google\.internal|.*\.(localhost|local|internal))$"
-SECRET_KEY = r"(^|&)[^=&]*(token|secret|password|api.?key|authorization|signature|credential)[^=&]*(=|&|$)"
+SECRET_KEY = r"(?i)token|secret|password|api.?key|authorization|signature|credential"
 
 
 def refused_urls(urls: DataFrame, column: str = "url") -> DataFrame:
-    """URLs outside the public policy: https on its usual port, a public DNS host, no credentials, fragment or secret query key."""
+    """URLs outside the public policy.
+
+    Kept are plain ASCII https URLs of at most 4096 characters on the usual port of a public
+    DNS host, without credentials, fragment, encoded control characters or a query key
+    (decoded) that names a secret.
+    """
     u = F.col(column)
-    part = lambda name: F.try_parse_url(u, F.lit(name))
+    # characters that the parser refuses but the policy does not mind
+    readable = F.regexp_replace(F.regexp_replace(u, r"%(?![0-9A-Fa-f]{2})", "_"), r'[|{}^`<>"]', "_")
+    part = lambda name: F.try_parse_url(readable, F.lit(name))
     host, port = F.lower(part("HOST")), F.regexp_extract(part("AUTHORITY"), r":(\d+)$", 1)
     plain = host.rlike(r"^[a-z0-9]([a-z0-9.-]*[a-z0-9])?$") & ~host.contains("..") & ~host.rlike(LOCAL_HOST)
-    secret = F.coalesce(F.lower(part("QUERY")).rlike(SECRET_KEY), F.lit(False))
-    fine = (part("PROTOCOL") == "https") & plain & port.isin("", "443") & part("USERINFO").isNull() & part("REF").isNull() & ~secret
+    ascii_ = ~u.rlike(r"[^\x21-\x7E]|\\") & ~u.rlike("%[01][0-9A-Fa-f]|%7[Ff]")
+    key = lambda pair: F.try_url_decode(F.split(pair, "=")[0])
+    secret = F.exists(F.split(F.coalesce(part("QUERY"), F.lit("")), "&"), lambda pair: F.coalesce(key(pair).rlike(SECRET_KEY), F.lit(False)))
+    open_ = part("USERINFO").isNull() & (F.coalesce(part("REF"), F.lit("")) == "")
+    fine = (F.lower(part("PROTOCOL")) == "https") & plain & port.isin("", "443") & open_ & ascii_ & ~secret
     return urls.where(~F.coalesce(fine & (F.length(u) <= 4096), F.lit(False)))
 
 

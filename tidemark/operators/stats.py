@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -147,12 +149,21 @@ def block_bootstrap(series: DataFrame, block: int, samples: int, seed: int) -> D
     )
 
 
-def content_hash(df: DataFrame, parts: int = 64) -> DataFrame:
-    """Order-free SHA-256 of all rows: sorted row hashes per part, then over the parts.
+def content_hash(df: DataFrame, part_rows: int = 20_000, fan: int = 3) -> DataFrame:
+    """Order-free SHA-256 of all rows, as a tree over the prefixes of their hashes.
 
-    Parts split by the hash's first digits; give more for a larger table.
+    The leaves hold the sorted row hashes of one prefix, of about ``part_rows`` rows; each
+    level above joins up to 16**``fan`` of the level below. The depth follows from the number
+    of rows, so equal tables have equal hashes however they are partitioned.
     """
     h = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])), 256)
-    rows = df.select(h.alias("h")).withColumn("part", F.conv(F.substring("h", 1, 4), 16, 10).cast("int") % parts)
-    each = rows.groupBy("part").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"), F.count("*").alias("n"))
-    return each.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda s: s["h"]), ""), 256).alias("hash"), F.sum("n").alias("n_rows"))
+    n = df.count()
+    digits = max(0, math.ceil(math.log(max(n / part_rows, 1), 16)))
+    level = df.select(h.alias("h"), h.alias("key"))
+    while True:
+        at = F.substring("key", 1, digits) if digits else F.lit("")
+        inside = F.transform(F.sort_array(F.collect_list(F.struct("key", "h"))), lambda s: s["h"])
+        level = level.groupBy(at.alias("key")).agg(F.sha2(F.array_join(inside, ""), 256).alias("h"))
+        if not digits:
+            return level.select(F.col("h").alias("hash"), F.lit(n).cast("long").alias("n_rows"))
+        digits = max(0, digits - fan)

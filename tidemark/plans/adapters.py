@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.pit import dense_panel, number_sessions
+from tidemark.sources.tables import scratch, stored
+
+__all__ = ["scratch", "stored"]
 
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder all executors share; a temporary one where no checkpoint folder is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base}/tidemark-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once and read back, for queries that use it in several places."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def month(c: str = "l_shipdate"):
     return F.to_date(F.date_trunc("month", F.col(c).cast("timestamp")))
 

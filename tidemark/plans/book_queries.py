@@ -213,10 +213,10 @@ def i9(spark, d):
     return got.select("asset", "day", "next_day", (F.col("price") / F.col("limit_price")).alias("price_to_limit"), "filled")
 
 
-@query("i10_first_touch", A.with_sql("bars") + ", ps AS (SELECT asset AS position_id, asset, day AS entry_day, close AS entry_price, CASE WHEN asset % 2 = 0 THEN 1.0 ELSE -1.0 END AS quantity FROM bars WHERE day = DATE '1997-01-01'), h AS (SELECT position_id, b.*, quantity > 0 AS lg, CASE WHEN quantity > 0 THEN entry_price * 0.8 ELSE entry_price * 1.2 END AS s, CASE WHEN quantity > 0 THEN entry_price * 1.3 ELSE entry_price * 0.7 END AS t FROM ps JOIN bars b USING (asset) WHERE b.day > entry_day), r AS (SELECT *, CASE WHEN lg THEN open >= t ELSE open <= t END AS gap, CASE WHEN lg THEN low <= s ELSE high >= s END AS st, CASE WHEN lg THEN high >= t ELSE low <= t END AS tp FROM h), x AS (SELECT position_id, day, CASE WHEN gap THEN 'take_profit' WHEN st THEN 'stop_loss' WHEN tp THEN 'take_profit' END AS reason, CASE WHEN gap THEN open WHEN st THEN CASE WHEN lg THEN least(open, s) ELSE greatest(open, s) END ELSE t END AS exit_price FROM r) SELECT position_id, CAST(min(day) AS VARCHAR) AS exit_day, min_by(reason, day) AS reason, round(min_by(exit_price, day), 6) AS exit_price FROM x WHERE reason IS NOT NULL GROUP BY 1")
+@query("i10_first_touch", A.with_sql("bars") + ", ps AS (SELECT asset || '@' || CAST(day AS VARCHAR) AS position_id, asset, day AS entry_day, close AS entry_price, CASE WHEN asset % 2 = 0 THEN 1.0 ELSE -1.0 END AS quantity FROM bars), h AS (SELECT position_id, b.*, quantity > 0 AS lg, CASE WHEN quantity > 0 THEN entry_price * 0.8 ELSE entry_price * 1.2 END AS s, CASE WHEN quantity > 0 THEN entry_price * 1.3 ELSE entry_price * 0.7 END AS t FROM ps JOIN bars b USING (asset) WHERE b.day > entry_day), r AS (SELECT *, CASE WHEN lg THEN open >= t ELSE open <= t END AS gap, CASE WHEN lg THEN low <= s ELSE high >= s END AS st, CASE WHEN lg THEN high >= t ELSE low <= t END AS tp FROM h), x AS (SELECT position_id, day, CASE WHEN gap THEN 'take_profit' WHEN st THEN 'stop_loss' WHEN tp THEN 'take_profit' END AS reason, CASE WHEN gap THEN open WHEN st THEN CASE WHEN lg THEN least(open, s) ELSE greatest(open, s) END ELSE t END AS exit_price FROM r) SELECT position_id, CAST(min(day) AS VARCHAR) AS exit_day, min_by(reason, day) AS reason, round(min_by(exit_price, day), 6) AS exit_price FROM x WHERE reason IS NOT NULL GROUP BY 1")
 def i10(spark, d):
     b = A.bars(spark, d)
-    p = b.where("day = date'1997-01-01'").select(F.col("asset").alias("position_id"), "asset", F.col("day").alias("entry_day"), F.col("close").alias("entry_price"), F.when(F.col("asset") % 2 == 0, 1.0).otherwise(-1.0).alias("quantity"))
+    p = b.select(F.concat_ws("@", "asset", "day").alias("position_id"), "asset", F.col("day").alias("entry_day"), F.col("close").alias("entry_price"), F.when(F.col("asset") % 2 == 0, 1.0).otherwise(-1.0).alias("quantity"))
     return allocation.first_touch(p, b, 0.2, 0.3)
 
 
@@ -258,12 +258,12 @@ def f15(spark, d):
 
 # ---- session books
 
-TRIPS = A.with_sql("days") + ", " + XCAL + ", " + XBARS + ", bk AS (SELECT DISTINCT 'b' || CAST(user_id AS VARCHAR) AS book_name, user_id AS asset, 'X' || CAST(user_id % 3 AS VARCHAR) AS exchange, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side FROM events WHERE user_id < 60), n AS (SELECT *, lead(open_at) OVER (PARTITION BY exchange ORDER BY open_at) AS nx FROM xcal), tr AS (SELECT bk.*, session, date_trunc('hour', close_at) - INTERVAL 60 MINUTE AS lo, nx AS hi FROM bk JOIN n USING (exchange) WHERE nx IS NOT NULL)"
+TRIPS = A.with_sql("days") + ", " + XCAL + ", " + XBARS + ", bk AS (SELECT DISTINCT 'b' || CAST(user_id AS VARCHAR) AS book_name, user_id AS asset, 'X' || CAST(user_id % 3 AS VARCHAR) AS exchange, CASE WHEN user_id % 2 = 0 THEN 'long' ELSE 'short' END AS side FROM events), n AS (SELECT *, lead(open_at) OVER (PARTITION BY exchange ORDER BY open_at) AS nx FROM xcal), tr AS (SELECT bk.*, session, date_trunc('hour', close_at) - INTERVAL 60 MINUTE AS lo, nx AS hi FROM bk JOIN n USING (exchange) WHERE nx IS NOT NULL)"
 
 
 def minute_books(spark, d):
     """Books, calendar and bars in which every minute an asset traded can be an entry or exit."""
-    users = A.read(spark, d, E).where("user_id < 60").select("user_id").distinct()
+    users = A.read(spark, d, E).select("user_id").distinct()
     b = users.select(F.concat(F.lit("b"), "user_id").alias("book_name"), F.col("user_id").alias("asset"), F.concat(F.lit("X"), F.col("user_id") % 3).alias("exchange"), F.when(F.col("user_id") % 2 == 0, "long").otherwise("short").alias("side"))
     b = b.withColumns({"starting_cash": F.lit(1e5), "max_capital": F.lit(8e4), "leverage": F.lit(1.5), "cost_bps": F.lit(4.0)})
     return b
@@ -385,12 +385,12 @@ def i20(spark, d):
 
 # ---- ledgers over conversations (a conversation is a run, a turn an entry)
 
-CHAIN = "ch AS (SELECT conv_id AS run_id, turn AS sequence, coalesce(role, '') || ':' || left(coalesce(text, ''), 40) AS payload FROM conversations)"
+CHAIN = "ch AS (SELECT conv_id AS run_id, turn AS sequence, coalesce(role, '') || ':' || coalesce(text, '') AS payload FROM conversations)"
 
 
 def chains(spark, d):
     """Each run's entries, chained by hash in turn order; every 50th payload is altered afterwards."""
-    c = A.read(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("sequence"), F.concat(F.coalesce("role", F.lit("")), F.lit(":"), F.substring(F.coalesce("text", F.lit("")), 1, 40)).alias("payload"))
+    c = A.read(spark, d, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("sequence"), F.concat(F.coalesce("role", F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))).alias("payload"))
     path = c.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("sequence", "payload"))).alias("path"))
     step = "aggregate(path, cast(array() as array<struct<sequence:bigint,payload:string,previous_hash:string,entry_hash:string>>), (acc, x) -> concat(acc, array(named_struct('sequence', x.sequence, 'payload', x.payload, 'previous_hash', coalesce(try_element_at(acc, -1).entry_hash, 'GENESIS'), 'entry_hash', sha2(concat_ws('\n', cast(x.sequence as string), x.payload, coalesce(try_element_at(acc, -1).entry_hash, 'GENESIS')), 256)))))"
     out = path.select("run_id", F.explode(F.expr(step)).alias("e")).select("run_id", "e.*")
@@ -490,9 +490,9 @@ def stream(spark, d):
     return spark.readStream.schema(SCHEMA).parquet(f"{d}/events*.parquet").withColumn("at", F.col("ts").cast("timestamp"))
 
 
-@query("s1_distinct_events", "SELECT user_id % 10 AS book_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1")
+@query("s1_distinct_events", "SELECT user_id % 10 AS book_id, count(*) AS n FROM events GROUP BY 1")
 def s1(spark, d):
-    e = stream(spark, d).where("event_id % 2 = 0").withColumn("book_id", F.col("user_id") % 10).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    e = stream(spark, d).withColumn("book_id", F.col("user_id") % 10).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     got = books.drain(books.distinct_events(e.select("book_id", "event_id", "at"), "at", "10 minutes"), A.scratch(spark))
     return counted(got, "book_id")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as X
@@ -161,7 +162,7 @@ def a16(spark, d):
 
 @query("a17_manifest_verification", "SELECT 'changed' AS file_name WHERE (SELECT count(*) FROM orders) > 0")
 def a17(spark, d):
-    path = written(spark, A.read(spark, d, "orders").coalesce(1))
+    path = written(spark, A.read(spark, d, "orders"))
     found = T.file_digests(spark, path).where("file_name like 'part-%'")
     manifest = found.select("file_name", "digest").unionByName(spark.createDataFrame([("changed", "0")], "file_name string, digest string"))
     return T.manifest_mismatches(found, manifest).select("file_name")
@@ -300,12 +301,16 @@ def b17(spark, d):
     return counted(quality.unordered_clocks(s), "source_key")
 
 
-@query("b18_false_quotes", "SELECT doc_id AS source_hash FROM documents WHERE doc_id % 3 = 0 AND length(text) > 5")
+@query("b18_false_quotes", "SELECT doc_id AS source_hash, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL")
 def b18(spark, d):
-    docs = A.read(spark, d, "documents").where("length(text) > 5").select(F.col("doc_id").alias("source_hash"), "text")
-    quote = F.substring("text", 3, 3)
-    spans = docs.select("source_hash", F.lit(2).alias("start"), F.lit(5).alias("end"), F.when(F.col("source_hash") % 3 == 0, F.concat(quote, F.lit("!"))).otherwise(quote).alias("quote"))
-    return quality.false_quotes(spans, docs).select("source_hash")
+    docs = A.read(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("source_hash"), "text")
+    # one span per line of the whole text
+    lines = docs.select("source_hash", F.posexplode(F.split("text", "\n", -1)).alias("line", "quote"))
+    size = F.char_length("quote")
+    end = (F.sum(size + 1).over(Window.partitionBy("source_hash").orderBy("line")) - 1).cast("int")
+    lines = lines.select("source_hash", (end - size).alias("start"), end.alias("end"), "quote")
+    spans = lines.withColumn("quote", F.when(F.col("source_hash") % 3 == 0, F.concat("quote", F.lit("!"))).otherwise(F.col("quote")))
+    return counted(quality.false_quotes(spans, docs), "source_hash")
 
 
 @query("b19_early_features", A.with_sql("cal") + ", f AS (SELECT l_orderkey AS feature_id, l_linenumber AS k, " + LINE_DAY + " AS session, l_shipdate + to_days(l_linenumber) AS source_at, l_shipdate AS exposure_at FROM lineitem) SELECT feature_id, count(*) AS n FROM f JOIN cal USING (session) WHERE source_at > decision_at OR exposure_at > decision_at GROUP BY 1")
@@ -328,10 +333,11 @@ def b21(spark, d):
     return quality.unpriced(held, A.bars(spark, d))
 
 
-@query("b22_signalless_sleeves", "SELECT 'unknown' AS strategy WHERE (SELECT count(*) FROM events) > 0")
+@query("b22_signalless_sleeves", A.with_sql("sig", "days") + " SELECT strategy FROM (SELECT DISTINCT strategy FROM sig UNION SELECT 'unknown' UNION SELECT 'late ' || strategy FROM sig) s WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT strategy, CAST(available_at AS DATE) AS day FROM sig) g JOIN days d ON g.day < d.day AND date_diff('day', g.day, d.day) <= 5 WHERE g.strategy = s.strategy)")
 def b22(spark, d):
     s = pit.daily_signals(A.signals(spark, d))
-    sleeves = s.select("strategy").distinct().unionByName(spark.createDataFrame([("unknown",)], "strategy string"))
+    sleeves = s.select("strategy").distinct()
+    sleeves = sleeves.unionByName(sleeves.select(F.concat(F.lit("late "), "strategy").alias("strategy"))).unionByName(spark.createDataFrame([("unknown",)], "strategy string"))
     return quality.signalless(sleeves, s, A.event_days(spark, d), 5)
 
 

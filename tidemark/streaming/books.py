@@ -94,17 +94,18 @@ def online_filter(returns: DataFrame, means: list[float], variance: float, stay:
 def drain(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
     """Run a stream over what is available now into a Parquet folder and read the result.
 
-    In complete mode each batch replaces the result.
+    A batch has a folder of its own that it overwrites, so one that is run again after a
+    failure counts once. In complete mode the last batch is the result.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         if each:
             each(batch, number)
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{folder}/rows")
+        batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
 
 
 def age(now: Column, then: Column) -> Column:
