@@ -47,19 +47,102 @@ def test_future_rows_leave_earlier_fits_alone(spark):
     assert fit(panel)[0] == fit(changed)[0]
 
 
-def test_elastic_net_matches_coordinate_descent(spark):
-    panel = fixture(spark, 30)
-    _, model = models.elastic_net(panel, ["x", "z"], "y", 0.02)
-    d = panel.toPandas()
-    x, y = d[["x", "z"]].to_numpy(), d["y"].to_numpy()
-    z, w = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1), np.zeros(2)
-    y = y - y.mean()
-    for _ in range(500):
-        for j in range(2):
-            r = y - z @ w + z[:, j] * w[j]
-            rho = z[:, j] @ r / len(y)
-            w[j] = np.sign(rho) * max(abs(rho) - 0.01, 0) / (z[:, j] @ z[:, j] / len(y) + 0.01)
-    assert np.allclose(model.coefficients.toArray(), w, atol=1e-5)
+def test_elastic_net_meets_its_optimality_conditions(spark):
+    panel, f = fixture(spark), folds.evaluator_folds(spark, 60, 30, 10, 1, 1)
+    got = {r["fold"]: r for r in models.elastic_net(panel, f, ["x", "z"], "y", 0.1, 1).collect()}
+    data = panel.toPandas()
+    for r in f.collect():
+        t = data[(data["session_index"] < r["test_start"]) & (data["label_end"] < r["test_start"] - 1)]
+        x, y = t[["x", "z"]].to_numpy(), t["y"].to_numpy()
+        z, w = (x - x.mean(axis=0)) / x.std(axis=0), np.array(got[r["fold"]]["coefficients"]) * x.std(axis=0)
+        pull = z.T @ (y - y.mean() - z @ w) / len(y) - 0.05 * w  # equals 0.05 times the sign, or lies within
+        assert all(abs(p - 0.05 * np.sign(v)) < 1e-9 if v else abs(p) <= 0.05 + 1e-9 for p, v in zip(pull, w)) and w.any()
+
+
+def test_incremental_evidence_of_a_known_and_a_repeated_factor(spark):
+    from tidemark.operators import stats
+
+    panel, f = fixture(spark).withColumn("flip", -F.col("x")), folds.evaluator_folds(spark, 60, 30, 10, 1, 1)
+    test = folds.inference_rows(panel, f)
+    series = {}
+    for score in ("z", "flip"):
+        fits = models.ridge_pair(panel, f, ["x"], score, "y", 1.0, 1)
+        daily = stats.daily_series(models.predict_pair(test, fits, ["x"], score), score, "y")
+        series[score] = daily.toPandas()
+        evidence = stats.fold_evidence(daily, folds.train_rows(panel.withColumnRenamed("y", "label"), f, 1), f).orderBy("fold").collect()
+        assert [(r["test_start"], r["test_end"], r["n_sessions"]) for r in evidence] == [(34, 43, 10), (44, 53, 10), (54, 60, 7)]
+        assert all(r["last_label_end"] < r["test_start"] - 1 and r["n_train"] == 8 * r["train_end"] and r["n_test"] == 8 * r["n_sessions"] for r in evidence)
+    assert series["z"]["incremental"].mean() > 0.15
+    assert np.allclose(series["flip"]["incremental"], 0) and series["flip"]["raw"].mean() < 0 < series["flip"]["baseline"].mean()
+
+
+def test_tree_ranker_learns_only_from_the_past(spark):
+    panel, f = fixture(spark, 40, 6), folds.evaluator_folds(spark, 40, 24, 10, 1, 1)
+    changed = panel.withColumn("y", F.when(F.col("session_index") >= 28, 9.0).otherwise(F.col("y")))
+    fit = lambda p: models.tree_ranker_folds(p, f, ["x", "z"], "y", 1, trees=3).orderBy("session_index", "asset").toPandas()
+    got, other = fit(panel), fit(changed)
+    first = got["fold"] == 0
+    assert first.sum() == 60 and np.allclose(got[first]["prediction"], other[first]["prediction"])
+    assert np.corrcoef(got["prediction"], got["y"])[0, 1] > 0.5
+    assert models.tree_ranker_folds(panel, folds.evaluator_folds(spark, 10, 24, 10, 1, 1), ["x"], "y", 1).count() == 0
+
+
+def two_states(train=100):
+    rng = np.random.default_rng(2)
+    x = np.where(np.arange(120)[:, None] // 20 % 2, rng.normal(4, 0.5, (120, 2)), rng.normal(0, 1, (120, 2)))
+    return [("s", t, float(v[0]), float(v[1]), t < train) for t, v in enumerate(x)]
+
+
+TWO = "series string, t int, x double, y double, train boolean"
+
+
+def test_mixture_states_per_series(spark):
+    rows = two_states() + [("short", t, 0.1 * t, 0.0, True) for t in range(5)]
+    got = models.mixture_states(spark.createDataFrame(rows, TWO), ["series"], "t", ["x", "y"], 2, "train").orderBy("series", "t").collect()
+    assert all(r["probabilities"] is None for r in got if r["series"] == "short")
+    long = [r for r in got if r["series"] == "s"]
+    assert all((r["probabilities"][1] > 0.9) == (r["t"] // 20 % 2 == 1) for r in long)
+    # no session's probability looks at another's: a mixture fitted on the same rows is a function of the row
+    x = np.array([r[2:4] for r in two_states()])
+    z = (x - x[:100].mean(axis=0)) / x[:100].std(axis=0)
+    weight, mean, variance = models._fit_mixture(z[:100], 2)
+    dense = weight * np.exp(-0.5 * ((z[:, None] - mean) ** 2 / variance).sum(axis=2)) / np.sqrt((2 * np.pi * variance).prod(axis=1))
+    assert np.allclose([r["probabilities"] for r in long], dense / dense.sum(axis=1, keepdims=True))
+
+
+def test_hmm_parameters_find_the_states(spark):
+    got = models.hmm_parameters(spark.createDataFrame(two_states(120), TWO), ["series"], "t", ["x", "y"], 2).orderBy("state").collect()
+    assert np.allclose(got[0]["mean"], [0, 0], atol=0.4) and np.allclose(got[1]["mean"], [4, 4], atol=0.3)
+    assert np.allclose(got[0]["deviation"], [1, 1], atol=0.3) and np.allclose(got[1]["deviation"], [0.5, 0.5], atol=0.2)
+
+
+def test_regime_report_statuses(spark):
+    daily = [(0, t, s, 0.1 * t) for t in range(4) for s in ("raw", "incremental")] + [(1, 9, "raw", 0.5)]
+    states = [("hmm", 0, t, [0.25, 0.75]) for t in range(4)] + [("hmm", 1, 9, [1.0, 0.0]), ("mix", 0, 0, None)]
+    f = spark.createDataFrame([(0, 1), (1, 2)], "fold int, test_start int")
+    got = models.regime_report(spark.createDataFrame(daily, "fold int, session_index int, series string, ic double"), spark.createDataFrame(states, "method string, fold int, session_index int, probabilities array<double>"), f, 3.0)
+    got = {(r["method"], r["fold"], r["series"], r["state"]): r for r in got.collect()}
+    assert got["hmm", 0, "raw", 1]["status"] == "ok" and abs(got["hmm", 0, "raw", 1]["ic"] - 0.15) < 1e-12 and abs(got["hmm", 0, "raw", 0]["effective_days"] - 4) < 1e-12
+    assert got["hmm", 1, "raw", 0]["status"] == "thin" and got["mix", 0, None, None]["status"] == "missing" and got["mix", 1, None, None]["status"] == "missing"
+
+
+def test_online_filter_equals_the_batch_filter(spark, tmp_path):
+    from tidemark.streaming import books
+
+    rng = np.random.default_rng(1)
+    rows = [(b, t, float(v)) for b in (1, 2) for t, v in enumerate(rng.normal(size=30))]
+    schema = "book_id long, step long, value double"
+    for part in (rows[:40], rows[40:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = books.drain(books.online_filter(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), [-1.0, 1.0], 1.0, 0.9), str(tmp_path / "out")).collect()
+    move = np.array([[0.9, 0.1], [0.1, 0.9]])
+    for b in (1, 2):
+        p = np.full(2, 0.5)
+        mine = {r["step"]: r["probabilities"] for r in got if r["book_id"] == b}
+        for _, t, v in [r for r in rows if r[0] == b]:
+            p = (p @ move) * np.exp(-((v - np.array([-1.0, 1.0])) ** 2) / 2)
+            p /= p.sum()
+            assert np.allclose(mine[t], p)
 
 
 def test_filtered_states(spark):

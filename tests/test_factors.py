@@ -114,6 +114,8 @@ def test_content_hash_ignores_order_and_sees_changes(spark):
     a = spark.createDataFrame([(i, f"x{i % 5}") for i in range(100)], "k int, v string")
     same, other = stats.content_hash(a.orderBy(F.desc("k"))).first(), stats.content_hash(a.where("k < 99")).first()
     assert stats.content_hash(a).first() == same != other
+    deep = [stats.content_hash(x, part_rows=3, fan=1).first() for x in (a, a.repartition(5), a.where("k < 99"))]  # a tree of several levels
+    assert deep[0] == deep[1] != deep[2] and deep[0]["n_rows"] == 100
 
 
 def test_half_life_and_stability(spark):

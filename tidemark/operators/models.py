@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import softmax
@@ -27,31 +25,68 @@ def gram_sums(rows: DataFrame, features: list[str], target: str) -> DataFrame:
     return both.groupBy("session_index", "label_end").agg(*aggs)
 
 
-def ridge(rows: DataFrame, folds: DataFrame, features: list[str], target: str, alpha: float, embargo: int) -> DataFrame:
-    """Ridge on standardised features for every expanding fold: fold, n, intercept, coefficients.
+def fold_totals(rows: DataFrame, folds: DataFrame, features: list[str], target: str, embargo: int) -> DataFrame:
+    """Gram sums of every expanding fold's purged training rows: one row a fold.
 
-    Sums per session are joined to the folds they train, so the panel is read once; the
-    solve sees one row per fold.
+    Sums per session are joined to the folds they train, so the panel is read once.
     """
     sums = gram_sums(rows, features, target)
     names = [c for c in sums.columns if c not in ("session_index", "label_end")]
     purged = (F.col("session_index") < F.col("test_start")) & (F.col("label_end") < F.col("test_start") - embargo)
-    totals = sums.join(F.broadcast(folds.select("fold", "test_start")), purged).groupBy("fold").agg(*[F.sum(c).alias(c) for c in names])
-    p = len(features)
+    return sums.join(F.broadcast(folds.select("fold", "test_start")), purged).groupBy("fold").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _moments(r: dict, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Means, standardised cross products and right side of a fold's sums, and the features' scales."""
+    n, mean = r["n"], np.array([r[f"x{i}"] for i in range(p)]) / r["n"]
+    cross = np.array([[r[f"xx{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) - n * np.outer(mean, mean)
+    side = np.array([r[f"xy{i}"] for i in range(p)]) - mean * r["y"]
+    scale = np.sqrt(np.maximum(np.diag(cross) / n, 0))
+    scale[scale <= 1e-12 * (1 + np.abs(mean))] = 1.0
+    return mean, cross / np.outer(scale, scale), side / scale, scale
+
+
+def _ridge(r: dict, p: int, alpha: float) -> tuple[float, list[float]]:
+    mean, cross, side, scale = _moments(r, p)
+    w = np.linalg.solve(cross + alpha * np.eye(p), side) / scale if p else np.zeros(0)
+    return float(r["y"] / r["n"] - w @ mean), w.tolist()
+
+
+def ridge(rows: DataFrame, folds: DataFrame, features: list[str], target: str, alpha: float, embargo: int) -> DataFrame:
+    """Ridge on standardised features for every expanding fold: fold, n, intercept, coefficients."""
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        out = [(r["fold"], r["n"], *_ridge(r, len(features), alpha)) for r in frame.to_dict("records")]
+        return pd.DataFrame(out, columns=["fold", "n", "intercept", "coefficients"])
+
+    return fold_totals(rows, folds, features, target, embargo).groupBy("fold").applyInPandas(solve, "fold int, n long, intercept double, coefficients array<double>")
+
+
+def ridge_pair(rows: DataFrame, folds: DataFrame, baseline: list[str], score: str, target: str, alpha: float, embargo: int) -> DataFrame:
+    """Ridge on ``baseline`` and on ``baseline`` plus ``score``, both fitted on the rows that have all of them.
+
+    Per fold: n, baseline_intercept, baseline_coefficients, augmented_intercept,
+    augmented_coefficients. Both fits use the same sums. Without baseline features the
+    baseline is 0.
+    """
+    kinds = "fold int, n long, baseline_intercept double, baseline_coefficients array<double>, augmented_intercept double, augmented_coefficients array<double>"
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for r in frame.to_dict("records"):
-            n, mean = r["n"], np.array([r[f"x{i}"] for i in range(p)]) / r["n"]
-            cross = np.array([[r[f"xx{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]) - n * np.outer(mean, mean)
-            side = np.array([r[f"xy{i}"] for i in range(p)]) - mean * r["y"]
-            scale = np.sqrt(np.maximum(np.diag(cross) / n, 0))
-            scale[scale <= 1e-12 * (1 + np.abs(mean))] = 1.0
-            w = np.linalg.solve(cross / np.outer(scale, scale) + alpha * np.eye(p), side / scale) / scale
-            out.append((r["fold"], n, float(r["y"] / n - w @ mean), w.tolist()))
-        return pd.DataFrame(out, columns=["fold", "n", "intercept", "coefficients"])
+            base = _ridge(r, len(baseline), alpha) if baseline else (0.0, [])
+            out.append((r["fold"], r["n"], *base, *_ridge(r, len(baseline) + 1, alpha)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in kinds.split(", ")])
 
-    return totals.groupBy("fold").applyInPandas(solve, "fold int, n long, intercept double, coefficients array<double>")
+    return fold_totals(rows, folds, [*baseline, score], target, embargo).groupBy("fold").applyInPandas(solve, kinds)
+
+
+def predict_pair(rows: DataFrame, models: DataFrame, baseline: list[str], score: str) -> DataFrame:
+    """Rows (with fold) and the predictions ``baseline`` and ``augmented`` of a ridge pair; models are a row a fold."""
+    dot = lambda cs, w: sum((F.col(c) * F.get(w, F.lit(i)) for i, c in enumerate(cs)), F.lit(0.0))
+    out = rows.join(F.broadcast(models.drop("n")), "fold")
+    out = out.withColumn("__b", F.col("baseline_intercept") + dot(baseline, "baseline_coefficients")).withColumn("augmented", F.col("augmented_intercept") + dot([*baseline, score], "augmented_coefficients"))
+    return out.drop("baseline_intercept", "baseline_coefficients", "augmented_intercept", "augmented_coefficients").withColumnRenamed("__b", "baseline")
 
 
 def predict_linear(rows: DataFrame, models: DataFrame, features: list[str]) -> DataFrame:
@@ -81,18 +116,32 @@ def ridge_without_intercept(rows: DataFrame, features: list[str], target: str, p
     return both.groupBy(*by).agg(*aggs).groupBy(*by).applyInPandas(solve, schema)
 
 
-def elastic_net(train: DataFrame, features: list[str], target: str, alpha: float, l1_ratio: float = 0.5):
-    """Elastic net on standardised features with the penalty alpha (l1 |w| + (1-l1)/2 |w|^2) / 1.
+def elastic_net(rows: DataFrame, folds: DataFrame, features: list[str], target: str, alpha: float, embargo: int, l1_ratio: float = 0.5, rounds: int = 1000) -> DataFrame:
+    """Elastic net on standardised features for every expanding fold: fold, n, intercept, coefficients.
 
-    The library divides its quadratic penalty, but not the absolute one, by the target's
-    deviation, so its parameters follow from that deviation.
+    Minimises |y - Xw|^2 / 2n + alpha (l1 |w| + (1 - l1) |w|^2 / 2) by coordinate descent on
+    the folds' sums, so rows are read once and the descent sees one small matrix a fold.
     """
-    ready = VectorAssembler(inputCols=features, outputCol="raw").transform(train)
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(ready)
-    deviation = train.agg(F.stddev_pop(target)).first()[0] or 1.0
-    strength = alpha * l1_ratio + alpha * (1 - l1_ratio) * deviation
-    model = LinearRegression(featuresCol="features", labelCol=target, regParam=strength, elasticNetParam=alpha * l1_ratio / strength, standardization=False, tol=1e-9, maxIter=500)
-    return scaler, model.fit(scaler.transform(ready))
+    p = len(features)
+
+    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in frame.to_dict("records"):
+            mean, cross, side, scale = _moments(r, p)
+            cross, side, w = cross / r["n"], side / r["n"], np.zeros(p)
+            for _ in range(rounds):
+                before = w.copy()
+                for j in range(p):
+                    if cross[j, j] > 0:
+                        pull = side[j] - cross[j] @ w + cross[j, j] * w[j]
+                        w[j] = np.sign(pull) * max(abs(pull) - alpha * l1_ratio, 0) / (cross[j, j] + alpha * (1 - l1_ratio))
+                if np.abs(w - before).max() < 1e-12:
+                    break
+            w = w / scale
+            out.append((r["fold"], r["n"], float(r["y"] / r["n"] - w @ mean), w.tolist()))
+        return pd.DataFrame(out, columns=["fold", "n", "intercept", "coefficients"])
+
+    return fold_totals(rows, folds, features, target, embargo).groupBy("fold").applyInPandas(solve, "fold int, n long, intercept double, coefficients array<double>")
 
 
 def tree_ranker(train: DataFrame, features: list[str], target: str, depth: int = 3, trees: int = 10, seed: int = 7):
@@ -101,11 +150,57 @@ def tree_ranker(train: DataFrame, features: list[str], target: str, depth: int =
     return GBTRegressor(featuresCol="features", labelCol=target, maxDepth=depth, maxIter=trees, seed=seed).fit(ready)
 
 
-def mixture_states(train: DataFrame, rows: DataFrame, features: list[str], states: int, seed: int = 7) -> DataFrame:
-    """Posterior state probabilities of a Gaussian mixture (full covariance) fitted on ``train``."""
-    assemble = VectorAssembler(inputCols=features, outputCol="features")
-    model = GaussianMixture(k=states, seed=seed, maxIter=50, featuresCol="features", probabilityCol="p").fit(assemble.transform(train))
-    return model.transform(assemble.transform(rows)).withColumn("probabilities", vector_to_array("p")).drop("features", "p", "prediction")
+def tree_ranker_folds(rows: DataFrame, folds: DataFrame, features: list[str], target: str, embargo: int, **options) -> DataFrame:
+    """Each fold's test rows with the ``prediction`` of a tree ranker fitted on its purged training rows.
+
+    Folds are few and each fit is a distributed job of its own; folds without training rows
+    give none. ``rows`` has session_index and label_end and is best a stored table.
+    """
+    known = rows.where(" and ".join(f"`{c}` is not null" for c in features))
+    out = None
+    for fold, start, end in sorted(tuple(r) for r in folds.select("fold", "test_start", "test_end").collect()):
+        train = known.where(F.col(target).isNotNull() & (F.col("session_index") < start) & (F.col("label_end") < start - embargo))
+        if train.isEmpty():
+            continue
+        model = tree_ranker(train, features, target, **options)
+        test = known.where(F.col("session_index").between(start, end)).withColumn("fold", F.lit(fold))
+        scored = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(test)).drop("features")
+        out = scored if out is None else out.unionByName(scored)
+    return known.limit(0).withColumn("fold", F.lit(0)).withColumn("prediction", F.lit(0.0)) if out is None else out
+
+
+def _fit_mixture(x: np.ndarray, states: int, rounds: int = 200, floor: float = 1e-4, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and variances of a diagonal Gaussian mixture by EM from quantile buckets of the first column."""
+    bucket = np.minimum(np.argsort(np.argsort(x[:, 0], kind="stable")) * states // len(x), states - 1)
+    post, last = np.eye(states)[bucket], -np.inf
+    for _ in range(rounds):
+        mass = post.sum(axis=0) + 1e-9
+        mean = post.T @ x / mass[:, None]
+        variance = np.maximum(post.T @ (x * x) / mass[:, None] - mean**2, 0) + floor
+        weight = mass / mass.sum()
+        post, level = _posterior(x, weight, mean, variance)
+        if level - last < tolerance:
+            break
+        last = level
+    order = np.argsort(mean[:, 0], kind="stable")
+    return weight[order], mean[order], variance[order]
+
+
+def _posterior(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> tuple[np.ndarray, float]:
+    """State probabilities of every row, and the mean log-likelihood."""
+    log = np.log(weight) - 0.5 * (((x[:, None, :] - mean) ** 2 / variance) + np.log(2 * np.pi * variance)).sum(axis=2)
+    top = log.max(axis=1, keepdims=True)
+    total = np.exp(log - top).sum(axis=1, keepdims=True)
+    return np.exp(log - top) / total, float((top + np.log(total)).mean())
+
+
+def mixture_states(rows: DataFrame, keys: list[str], order: str, features: list[str], states: int, train_until: str) -> DataFrame:
+    """Posterior state probabilities of many series from a diagonal Gaussian mixture, states by rising first mean.
+
+    Each series is standardised and fitted on its rows flagged ``train_until``; one group
+    holds one row per session. Too few training rows (5 x states) give NULL probabilities.
+    """
+    return _states(rows, keys, order, features, states, train_until, lambda fit, every: _posterior(every, *_fit_mixture(fit, states))[0])
 
 
 def _forward(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,6 +246,10 @@ def hmm_states(rows: DataFrame, keys: list[str], order: str, features: list[str]
     standardised with the training rows' mean and deviation. Series with fewer than
     5 x states training rows get NULL probabilities.
     """
+    return _states(rows, keys, order, features, states, train_until, lambda fit, every: _forward(every, *_fit_hmm(fit, states))[0])
+
+
+def _states(rows: DataFrame, keys: list[str], order: str, features: list[str], states: int, train_until: str, solve: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys, order).dtypes) + ", probabilities array<double>"
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -162,9 +261,7 @@ def hmm_states(rows: DataFrame, keys: list[str], order: str, features: list[str]
         if fit.sum() >= 5 * states:
             mean, deviation = x[fit].mean(axis=0), x[fit].std(axis=0)
             z = (x - mean) / np.where(deviation > 0, deviation, 1.0)
-            model = _fit_hmm(z[fit], states)
-            at = np.flatnonzero(known)
-            for i, p in zip(at, _forward(z[at], *model)[0], strict=True):
+            for i, p in zip(np.flatnonzero(known), solve(z[fit], z[known]), strict=True):
                 out[i] = p.tolist()
         return frame[[*keys, order]].assign(probabilities=out)
 
@@ -281,11 +378,18 @@ def training_suffix(features: DataFrame, value: str, last_train: int) -> DataFra
 
 
 def regime_report(daily: DataFrame, states: DataFrame, folds: DataFrame, min_days: float) -> DataFrame:
-    """Per fold and state: conditional IC, effective days and a status (ok, thin or missing)."""
+    """Conditional coefficients per method, fold, series and state, with effective days and a status.
+
+    ``daily`` has fold, session_index, series (raw, baseline, augmented, incremental) and ic;
+    ``states`` has method, fold, session_index, probabilities. Status: ok, thin (fewer than
+    ``min_days`` effective days) or missing (a method without states in the fold's measured
+    sessions).
+    """
     from .stats import conditional_ic
 
-    joined = daily.join(states, ["fold", "session_index"]).where("probabilities is not null")
-    found = conditional_ic(joined, "fold")
-    out = folds.select("fold").join(found, "fold", "left")
+    joined = daily.join(states.where("probabilities is not null"), ["fold", "session_index"])
+    found = conditional_ic(joined, "method", "fold", "series")
+    every = states.select("method").distinct().join(F.broadcast(folds.select("fold")))  # methods times folds
+    out = every.join(found, ["method", "fold"], "left")
     status = F.when(F.col("state").isNull(), "missing").when(F.col("effective_days") < min_days, "thin").otherwise("ok")
     return out.withColumn("status", status)

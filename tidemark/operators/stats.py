@@ -116,9 +116,37 @@ def coverage(df: DataFrame, score: str) -> DataFrame:
     return df.agg(F.coalesce(F.try_divide(F.count(score), F.count_if("eligible")), F.lit(0.0)).alias("coverage"))
 
 
-def fold_evidence(daily: DataFrame) -> DataFrame:
-    """One row per fold from its daily coefficients."""
-    return daily.groupBy("fold").agg(F.min("session_index").alias("first_session"), F.max("session_index").alias("last_session"), F.count("*").alias("n_sessions"), F.avg("ic").alias("mean_ic"))
+SERIES = ["raw", "baseline", "augmented"]
+
+
+def daily_series(predictions: DataFrame, raw: str, outcome: str) -> DataFrame:
+    """Rank coefficients per fold and session of the score itself and of both models, on the same rows.
+
+    ``predictions`` has fold, session_index, ``raw``, baseline, augmented and ``outcome``.
+    Result: fold, session_index, n, raw, baseline, augmented, incremental (augmented less baseline).
+    """
+    scored = predictions.where(F.col(outcome).isNotNull()).select("fold", "session_index", F.col(outcome).alias("__y"), F.explode(F.array(*[F.struct(F.lit(s).alias("series"), F.col(raw if s == "raw" else s).alias("score")) for s in SERIES])).alias("s")).select("fold", "session_index", "__y", "s.*")
+    each = rank_ic(scored, "score", "__y", "fold", "session_index", "series")
+    one = lambda s: F.max(F.when(F.col("series") == s, F.col("ic"))).alias(s)
+    wide = each.groupBy("fold", "session_index").agg(F.max("n").alias("n"), *[one(s) for s in SERIES])
+    return wide.withColumn("incremental", F.col("augmented") - F.col("baseline"))
+
+
+def long_series(daily: DataFrame) -> DataFrame:
+    """daily_series as fold, session_index, series, ic."""
+    return daily.unpivot(["fold", "session_index"], [*SERIES, "incremental"], "series", "ic")
+
+
+def fold_evidence(daily: DataFrame, training: DataFrame, folds: DataFrame) -> DataFrame:
+    """One row per measured fold: training bounds and label end, test bounds, rows, measured sessions and mean coefficients.
+
+    ``training`` has the folds' purged training rows (fold, session_index, label_end);
+    ``daily`` comes from daily_series.
+    """
+    fitted = training.groupBy("fold").agg(F.min("session_index").alias("train_start"), F.max("session_index").alias("train_end"), F.max("label_end").alias("last_label_end"), F.count("*").alias("n_train"))
+    means = [F.avg(s).alias(f"mean_{s}_ic") for s in [*SERIES, "incremental"]]
+    measured = daily.groupBy("fold").agg(F.sum("n").alias("n_test"), F.count("*").alias("n_sessions"), *means)
+    return fitted.join(folds.select("fold", "test_start", "test_end"), "fold").join(measured, "fold")
 
 
 def covariance(returns: DataFrame, shrinkage: float) -> DataFrame:

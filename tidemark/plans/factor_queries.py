@@ -171,7 +171,7 @@ IC = FL + ", d AS " + ic_sql("lab", "factor", "label")
 
 
 def daily_ic(spark, d):
-    return stats.rank_ic(labelled(spark, d), "factor", "label", "session_index")
+    return stats.rank_ic(A.stored(labelled(spark, d).select("session_index", "factor", "label")), "factor", "label", "session_index")
 
 
 @query("f1_rank_ic", IC + " SELECT CAST(session_index AS BIGINT) AS session_index, round(ic, 6) + 0.0 AS ic, n FROM d")
@@ -232,43 +232,76 @@ def g6(spark, d):
 
 
 RANKED = GF + f", lr AS (SELECT *, CAST({RANK.format(x='label')} AS DOUBLE) AS target FROM lab)"
-RTRAIN = RANKED + ", tr AS (SELECT fold, lr.* FROM lr JOIN folds ON target IS NOT NULL AND factor IS NOT NULL AND session_index < test_start AND label_end < test_start - 1), fit AS (SELECT fold, count(*) AS n, covar_pop(target, factor) * count(*) / (var_pop(factor) * (count(*) + 5.0)) AS slope, avg(target) AS my, avg(factor) AS mx FROM tr GROUP BY fold)"
+RTRAIN = RANKED + ", tr AS (SELECT fold, lr.* FROM lr JOIN folds ON target IS NOT NULL AND factor IS NOT NULL AND session_index < test_start AND label_end < test_start - 1)"
+PAIR = RTRAIN.replace("factor IS NOT NULL AND session_index", "factor IS NOT NULL AND v IS NOT NULL AND session_index") + (
+    ", mo AS (SELECT fold, count(*) AS n, avg(target) AS my, avg(v) AS m1, avg(factor) AS m2, stddev_pop(v) AS s1, stddev_pop(factor) AS s2, count(*) * covar_pop(target, v) / stddev_pop(v) AS b1,"
+    " count(*) * covar_pop(target, factor) / stddev_pop(factor) AS b2, count(*) * covar_pop(v, factor) / (stddev_pop(v) * stddev_pop(factor)) AS c FROM tr GROUP BY fold)"
+    ", fit AS (SELECT *, b1 / (n + 5.0) / s1 AS base1, ((n + 5.0) * b1 - c * b2) / ((n + 5.0) * (n + 5.0) - c * c) / s1 AS aug1, ((n + 5.0) * b2 - c * b1) / ((n + 5.0) * (n + 5.0) - c * c) / s2 AS aug2 FROM mo)"
+)
 
 
 def targets(spark, d):
-    return labelled(spark, d).withColumn("target", E.rank(F.col("label")))
+    return A.stored(labelled(spark, d).withColumn("target", E.rank(F.col("label"))))
 
 
-def ridge_fit(spark, d):
-    return models.ridge(targets(spark, d).where("label is not null"), the_folds(spark, d), ["factor"], "target", 5.0, 1)
+BASELINE = ["v"]
 
 
-@query("h1_ridge_folds", RTRAIN + " SELECT CAST(fold AS BIGINT) AS fold, n, round(my - slope * mx, 6) AS intercept, round(slope, 6) + 0.0 AS slope FROM fit")
+def pair_rows(p):
+    return p.where("label is not null and v is not null and factor is not null")
+
+
+def ridge_fit(p, f):
+    return models.ridge_pair(pair_rows(p), f, BASELINE, "factor", "target", 5.0, 1)
+
+
+@query("h1_ridge_folds", PAIR + " SELECT CAST(fold AS BIGINT) AS fold, n, round(my - base1 * m1, 6) AS baseline_intercept, round(base1, 6) + 0.0 AS baseline_volume, round(my - aug1 * m1 - aug2 * m2, 6) AS augmented_intercept, round(aug1, 6) + 0.0 AS augmented_volume, round(aug2, 6) + 0.0 AS augmented_factor FROM fit")
 def h1(spark, d):
-    return ridge_fit(spark, d).select("fold", "n", "intercept", F.col("coefficients")[0].alias("slope"))
+    got = ridge_fit(targets(spark, d), the_folds(spark, d))
+    at = lambda c, i: F.col(f"{c}_coefficients")[i]
+    return got.select("fold", "n", "baseline_intercept", at("baseline", 0).alias("baseline_volume"), "augmented_intercept", at("augmented", 0).alias("augmented_volume"), at("augmented", 1).alias("augmented_factor"))
+
+
+PREDICT = PAIR + ", pr AS (SELECT lr.*, fit.fold, my + base1 * (v - m1) AS baseline, my + aug1 * (v - m1) + aug2 * (factor - m2) AS augmented FROM lr JOIN folds ON session_index BETWEEN test_start AND test_end JOIN fit ON fit.fold = folds.fold WHERE factor IS NOT NULL AND v IS NOT NULL)"
 
 
-FOLD_IC = RTRAIN + ", pr AS (SELECT lr.*, fit.fold, my + slope * (factor - mx) AS prediction FROM lr JOIN folds ON session_index BETWEEN test_start AND test_end JOIN fit ON fit.fold = folds.fold WHERE factor IS NOT NULL), d AS " + ic_sql("pr", "prediction", "label").replace("SELECT session_index, ", "SELECT fold, session_index, ").replace("GROUP BY session_index", "GROUP BY fold, session_index")
+def fold_ic_sql(score):
+    return ic_sql("pr", score, "label").replace("SELECT session_index, ", "SELECT fold, session_index, ").replace("GROUP BY session_index", "GROUP BY fold, session_index")
+
+
+FOLD_IC = PREDICT + f", i0 AS {fold_ic_sql('factor')}, i1 AS {fold_ic_sql('baseline')}, i2 AS {fold_ic_sql('augmented')}, d AS (SELECT fold, session_index, i0.n AS n, i0.ic AS raw, i1.ic AS baseline, i2.ic AS augmented, i2.ic - i1.ic AS incremental, i2.ic AS ic FROM i0 JOIN i1 USING (fold, session_index) JOIN i2 USING (fold, session_index))"
+
+
+def fold_series(p, f):
+    """Daily coefficients of the factor, the baseline and the augmented model over the test sessions."""
+    rows = folds.inference_rows(p.where("factor is not null and v is not null"), f)
+    return stats.daily_series(models.predict_pair(rows, ridge_fit(p, f), BASELINE, "factor"), "factor", "label")
 
 
 def fold_ic(spark, d):
-    rows = folds.inference_rows(labelled(spark, d), the_folds(spark, d)).where("factor is not null")
-    return stats.rank_ic(models.predict_linear(rows, ridge_fit(spark, d), ["factor"]), "prediction", "label", "fold", "session_index")
+    return fold_series(targets(spark, d), the_folds(spark, d))
+
+
+IC_COLUMNS = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("raw", "baseline", "augmented", "incremental"))
 
 
-@query("f3_daily_ic_by_fold", FOLD_IC + " SELECT CAST(fold AS BIGINT) AS fold, CAST(session_index AS BIGINT) AS session_index, round(ic, 6) + 0.0 AS ic, n FROM d")
+@query("f3_daily_ic_by_fold", FOLD_IC + f" SELECT CAST(fold AS BIGINT) AS fold, CAST(session_index AS BIGINT) AS session_index, n, {IC_COLUMNS} FROM d")
 def f3(spark, d):
     return fold_ic(spark, d)
 
 
-@query("f14_fold_evidence", FOLD_IC + " SELECT CAST(fold AS BIGINT) AS fold, CAST(min(session_index) AS BIGINT) AS first_session, CAST(max(session_index) AS BIGINT) AS last_session, count(*) AS n_sessions, round(avg(ic), 6) + 0.0 AS mean_ic FROM d GROUP BY fold")
+MEANS = ", ".join(f"round(avg({c}), 6) + 0.0 AS mean_{c}_ic" for c in ("raw", "baseline", "augmented", "incremental"))
+
+
+@query("f14_fold_evidence", FOLD_IC + f", fi AS (SELECT fold, min(session_index) AS train_start, max(session_index) AS train_end, max(label_end) AS last_label_end, count(*) AS n_train FROM tr GROUP BY fold), me AS (SELECT fold, sum(n) AS n_test, count(*) AS n_sessions, {MEANS} FROM d GROUP BY fold) SELECT CAST(fold AS BIGINT) AS fold, CAST(train_start AS BIGINT) AS train_start, CAST(train_end AS BIGINT) AS train_end, CAST(last_label_end AS BIGINT) AS last_label_end, n_train, CAST(test_start AS BIGINT) AS test_start, CAST(test_end AS BIGINT) AS test_end, CAST(n_test AS BIGINT) AS n_test, n_sessions, mean_raw_ic, mean_baseline_ic, mean_augmented_ic, mean_incremental_ic FROM fi JOIN folds USING (fold) JOIN me USING (fold)")
 def f14(spark, d):
-    return stats.fold_evidence(fold_ic(spark, d))
+    p, f = targets(spark, d), the_folds(spark, d)
+    return stats.fold_evidence(fold_series(p, f), folds.train_rows(pair_rows(p), f, 1), f)
 
 
-@query("f7_stability", FOLD_IC + ", e AS (SELECT fold, avg(ic) AS metric FROM d GROUP BY fold) SELECT 'factor' AS name, round(avg(CASE WHEN metric > 0 THEN 1.0 ELSE 0.0 END), 6) AS stability, count(*) AS n_folds, count(*) >= 2 AND avg(CASE WHEN metric > 0 THEN 1.0 ELSE 0.0 END) >= 0.6 AS persistent FROM e")
+@query("f7_stability", FOLD_IC + ", e AS (SELECT fold, avg(incremental) AS metric FROM d GROUP BY fold) SELECT 'factor' AS name, round(avg(CASE WHEN metric > 0 THEN 1.0 ELSE 0.0 END), 6) AS stability, count(*) AS n_folds, count(*) >= 2 AND avg(CASE WHEN metric > 0 THEN 1.0 ELSE 0.0 END) >= 0.6 AS persistent FROM e")
 def f7(spark, d):
-    e = stats.fold_evidence(fold_ic(spark, d)).select(F.lit("factor").alias("name"), F.col("mean_ic").alias("metric"))
+    e = fold_ic(spark, d).groupBy("fold").agg(F.avg("incremental").alias("metric")).withColumn("name", F.lit("factor"))
     return stats.stability(e, "name")
 
 
@@ -311,7 +344,7 @@ def f6(spark, d):
 def f8(spark, d):
     from pyspark.sql import Window
 
-    e = fold_ic(spark, d).groupBy("fold").agg(F.count("*").alias("n"), F.avg("ic").alias("m"))
+    e = fold_ic(spark, d).groupBy("fold").agg(F.count("*").alias("n"), F.avg("augmented").alias("m"))
     return e.select("fold", stats.adjusted_p(F.exp(-F.abs("m") * F.col("n")), F.count("*").over(Window.partitionBy(F.lit(0)))).alias("p"))
 
 
@@ -440,41 +473,39 @@ def h13(spark, d):
 
 @query("h2_elastic_net")
 def h2(spark, d):
-    train = targets(spark, d).where("factor is not null and target is not null and v is not null").select("asset", "session_index", "factor", "v", "target")
-    scaler, model = models.elastic_net(train, ["factor", "v"], "target", 0.001)
-    return spark.createDataFrame([(c, float(w)) for c, w in zip(["factor", "v"], model.coefficients, strict=True)], "feature string, weight double")
+    got = models.elastic_net(pair_rows(targets(spark, d)), the_folds(spark, d), [*BASELINE, "factor"], "target", 0.001, 1)
+    return got.select("fold", "n", "intercept", F.col("coefficients")[0].alias("volume"), F.col("coefficients")[1].alias("factor"))
 
 
 @query("h3_tree_ranker")
 def h3(spark, d):
-    train = targets(spark, d).where("factor is not null and target is not null and v is not null").select("asset", "session_index", "factor", "v", "target")
-    model = models.tree_ranker(train.where("session_index <= 60"), ["factor", "v"], "target")
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=["factor", "v"], outputCol="features").transform(train.where("session_index > 60"))
-    return model.transform(rows).select("asset", "session_index", "prediction")
+    p = targets(spark, d).select("asset", "session_index", "label_end", "factor", "v", "target")
+    return models.tree_ranker_folds(p, the_folds(spark, d), [*BASELINE, "factor"], "target", 1).select("fold", "asset", "session_index", "prediction")
 
 
 def known_market(spark, d):
     return market(spark, d).where("trailing_mean is not null").select("session_index", "market_return", "trailing_mean", "trailing_deviation")
 
 
-@query("h4_mixture_states")
-def h4(spark, d):
-    m = known_market(spark, d)
-    got = models.mixture_states(m.where("session_index <= 60"), m, ["market_return", "trailing_mean"], 2)
-    return got.select("session_index", F.col("probabilities")[0].alias("p0"), F.col("probabilities")[1].alias("p1"))
+FEATURES = ["market_return", "trailing_deviation"]
 
 
-def filtered(spark, d):
-    f = the_folds(spark, d)
-    rows = known_market(spark, d).join(F.broadcast(f)).where("session_index <= test_end").withColumn("train", F.col("session_index") < F.col("test_start") - 1)
-    return models.hmm_states(rows.select("fold", "session_index", "market_return", "trailing_deviation", "train"), ["fold"], "session_index", ["market_return", "trailing_deviation"], 2, "train")
+def fold_market(spark, d):
+    """Each fold's market sessions up to its test's end, with those that may train."""
+    rows = known_market(spark, d).join(F.broadcast(the_folds(spark, d))).where("session_index <= test_end")
+    return rows.select("fold", "session_index", *FEATURES, (F.col("session_index") < F.col("test_start") - 1).alias("train"))
+
+
+@query("h4_mixture_states")
+def h4(spark, d):
+    got = models.mixture_states(fold_market(spark, d), ["fold"], "session_index", FEATURES, 2, "train")
+    return got.select("fold", "session_index", F.col("probabilities")[0].alias("p0"), F.col("probabilities")[1].alias("p1"))
 
 
 @query("h5_hmm_filter")
 def h5(spark, d):
-    return filtered(spark, d).select("fold", "session_index", F.col("probabilities")[0].alias("p0"), F.col("probabilities")[1].alias("p1"))
+    got = models.hmm_states(fold_market(spark, d), ["fold"], "session_index", FEATURES, 2, "train")
+    return got.select("fold", "session_index", F.col("probabilities")[0].alias("p0"), F.col("probabilities")[1].alias("p1"))
 
 
 @query("h6_hmm_fit")
@@ -487,4 +518,7 @@ def h6(spark, d):
 
 @query("h11_regime_report")
 def h11(spark, d):
-    return models.regime_report(fold_ic(spark, d), filtered(spark, d), the_folds(spark, d), 3.0)
+    f, rows = the_folds(spark, d), A.stored(fold_market(spark, d))
+    one = lambda name, solve: solve(rows, ["fold"], "session_index", FEATURES, 2, "train").withColumn("method", F.lit(name))
+    states = one("hmm", models.hmm_states).unionByName(one("gaussian_mixture", models.mixture_states))
+    return models.regime_report(stats.long_series(fold_series(targets(spark, d), f)), states, f, 3.0)
