@@ -166,7 +166,7 @@ def test_pseudo_likelihood_by_hand(spark):
     net = masked_lm.Network(*model["shape"], model["flat"])
     text = "mat dog the the ran on"
     buf, off = arrays.text_buffer(pa.array([text]))
-    bucket, first = masked_lm.buckets(buf, off, model["bits"])
+    bucket, first = masked_lm.buckets(buf, off, len(model["id_of"]).bit_length() - 1)
     ids = model["id_of"][bucket]
     total = 0.0
     for t in range(len(ids)):
@@ -200,9 +200,34 @@ def test_pseudo_likelihood_is_a_distribution_and_learns():
         assert abs((mean(up) - mean(down)) / 2e-2 - g[k]) < 2e-3
 
 
-def test_masked_lm_prefers_its_corpus(spark):
-    got = queries.op6_masked_lm(spark, SF).toPandas()
-    assert len(got) == 200 and (got["log_likelihood"] <= 0).all()
+def test_masked_lm_beats_its_unigram_however_it_is_partitioned(spark):
+    sf = "/root/testdata/sf0.01"
+    got = queries.op6_masked_lm(spark, sf).toPandas()
+    assert len(got) == 1000 and (got["log_likelihood"] <= 0).all()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    counts = masked_lm.bucket_counts(docs)
+    assert len(counts) >= 2 * (counts > 0).sum() and counts.sum() == got["n_words"].sum()
+    share = (counts + 0.5) / (counts + 0.5).sum()
+    unigram = (counts * np.log(share)).sum() / counts.sum()
+    assert got["log_likelihood"].sum() / got["n_words"].sum() > unigram + 0.1
+    other = masked_lm.score(docs.repartition(11)).toPandas()
+    both = got.merge(other, on="doc_id")
+    assert len(both) == 1000 and np.allclose(both["log_likelihood_x"], both["log_likelihood_y"], rtol=1e-4)
+
+
+def test_masked_lm_starts_as_the_unigram_and_shares_sum_to_one():
+    counts = np.arange(64) ** 2
+    net = masked_lm.Network(64, 8, 2, counts=counts)
+    ids = np.arange(64)
+    got = np.exp(net.log_probability(ids, net.context(ids, np.array([0, 64]))))
+    assert np.allclose(got, (counts + 0.5) / (counts + 0.5).sum(), rtol=1e-4)
+
+
+def test_masked_lm_of_odd_rows(spark):
+    docs = table(spark, ODD).withColumn("h", F.lit("x")).withColumn("n_words", F.lit(1)).withColumn("log_likelihood", F.lit(1))
+    got = masked_lm.score(docs).collect()
+    assert len(got) == len(ODD) and all((r["n_words"] == 0) == (r["mean_log_likelihood"] is None) for r in got)
+    assert {r["n_words"] for r in got if r["doc_id"] == 5} == {50_000}
 
 
 def test_scores_do_not_depend_on_batches():

@@ -3,15 +3,19 @@
 Each word of a text is predicted from its ``side`` neighbours on both sides; a document's
 score is the sum of the conditional log-probabilities of all its words.
 
-Words are hashed to 2**bits buckets. Corpus counts of the buckets, over every document,
-decide which have an id of their own (the most frequent) and how the shared last id divides
-among the rest, so the probabilities sum to one over all buckets. The network sums one
-embedding per neighbour and position, applies tanh, and predicts the id in two steps (class
-of the id, then id within the class).
-
-Training is data-parallel in numpy: every task trains on every position of its own
-documents (every ``rate``-th, where one is given) and returns its weights, which are averaged by position count in rounds
-of bounded groups; so what is gathered grows with the input and no text leaves its task.
+Words are hashed to buckets, at least twice as many as the corpus has different words, up to
+2**22. Corpus counts of the buckets, over every document, decide which have an id of their
+own (the most frequent half of the ids); the rest share the other ids by hash, and an id's
+probability divides among its buckets by their counts, so probabilities sum to one over all
+buckets. The network sums one embedding per neighbour and position, applies tanh, and
+predicts the id in two steps (class of the id, then id within the class). It starts as the
+corpus's unigram distribution: output shifts are log counts, output weights are zero.
+
+Training is data-parallel in numpy, one pass over every position of every document in
+``rounds`` parts. A part's documents are spread by a hash of their row over shards of about
+``shard_words`` words, each trained in the order of that hash, so the weights follow from the
+rows and not from how they lie in files. The shards' weights are averaged by position count
+in bounded groups; what is gathered grows with the input and no text leaves its task.
 
 Defined results: a null or empty text has no words and log-probability 0; repeated ids keep
 a row each; an empty table gives an empty one.
@@ -32,6 +36,7 @@ from . import arrays
 from .common import materialize, pick
 
 CLASSES = 32
+MOST_BITS = 22
 
 
 def buckets(buf: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,27 +47,33 @@ def buckets(buf: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np
     return (arrays.span_hash(buf, starts, ends) >> np.uint64(64 - bits)).astype(np.int64), first
 
 
-def bucket_counts(docs: DataFrame, bits: int) -> np.ndarray:
-    """Words of all documents by bucket; tasks count, Spark adds, 2**bits numbers come back."""
+def bucket_counts(docs: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """Words of all documents by bucket; tasks count, Spark adds, at most 2**most_bits numbers come back.
+
+    The number of buckets is the power of two that gives every different word two, within the limit.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << most_bits, np.int64)
         for batch in batches:
             for _, _, buf, off in arrays.slices(batch.column(0)):
-                total += np.bincount(buckets(buf, off, bits)[0], minlength=1 << bits)
+                np.add.at(total, buckets(buf, off, most_bits)[0], 1)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["bucket", "n"])
+        for a in range(0, len(seen), 1 << 16):
+            part = seen[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["bucket", "n"])
 
-    got = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    bits = min(most_bits, max(10, math.ceil(math.log2(max(got.num_rows, 1))) + 1))
     out = np.zeros(1 << bits, np.int64)
-    out[got["bucket"]] = got["n"]
+    np.add.at(out, got.column("bucket").to_numpy() >> (most_bits - bits), got.column("n").to_numpy())
     return out
 
 
 class Network:
     """The window network; weights are one flat float32 vector."""
 
-    def __init__(self, ids: int, width: int, side: int, flat: np.ndarray | None = None, seed: int = 7):
+    def __init__(self, ids: int, width: int, side: int, flat: np.ndarray | None = None, seed: int = 7, counts: np.ndarray | None = None):
         self.ids, self.width, self.side = ids, width, side
         self.per = ids // CLASSES
         shapes = {"embed": (2 * side, ids + 1, width), "shift": (width,), "by_class": (width, CLASSES), "class_shift": (CLASSES,), "by_id": (CLASSES, width, self.per), "id_shift": (CLASSES, self.per)}
@@ -74,6 +85,11 @@ class Network:
         for (name, shape), size in zip(shapes.items(), sizes, strict=True):
             self.parts[name] = flat[at : at + size].reshape(shape)
             at += size
+        if counts is not None:  # the unigram distribution of the ids
+            level = np.log(counts.reshape(CLASSES, self.per) + 0.5)
+            self.parts["by_class"][:] = self.parts["by_id"][:] = 0
+            self.parts["class_shift"][:] = np.log(np.exp(level).sum(axis=1))
+            self.parts["id_shift"][:] = level - self.parts["class_shift"][:, None]
 
     def context(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Neighbours' ids of every position; outside the row the id is ``self.ids``."""
@@ -93,60 +109,76 @@ class Network:
             h += table[ids]
         return np.tanh(h)
 
+    def by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of positions by class, the classes' cuts in it, and the ids within their class in that order."""
+        kind = ids // self.per
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        return order, np.searchsorted(kind[order], np.arange(CLASSES + 1)), (ids % self.per)[order]
+
     def log_probability(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
-        h, p = self.hidden(context), self.parts
-        kind, inner = ids // self.per, ids % self.per
+        p = self.parts
+        order, cut, inner = self.by_class(ids)
+        h = self.hidden(context[:, order])
         logits = h @ p["by_class"] + p["class_shift"]
-        out = logits[np.arange(len(ids)), kind] - _log_sum(logits)
-        order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        found = logits[np.arange(len(ids)), ids[order] // self.per] - _log_sum(logits)
         for c in range(CLASSES):
-            k = order[cut[c] : cut[c + 1]]
-            if len(k):
-                logits = h[k] @ p["by_id"][c] + p["id_shift"][c]
-                out[k] += logits[np.arange(len(k)), inner[k]] - _log_sum(logits)
+            a, b = cut[c], cut[c + 1]
+            if a < b:
+                logits = h[a:b] @ p["by_id"][c] + p["id_shift"][c]
+                found[a:b] += logits[np.arange(b - a), inner[a:b]] - _log_sum(logits)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def gradient(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
         """Mean gradient of the log-probability, flat."""
         g = Network(self.ids, self.width, self.side, np.zeros_like(self.flat))
-        h, p, q = self.hidden(context), self.parts, g.parts
-        n = len(ids)
-        kind, inner = ids // self.per, ids % self.per
+        p, q, n = self.parts, g.parts, len(ids)
+        order, cut, inner = self.by_class(ids)
+        context = context[:, order]
+        h = self.hidden(context)
         slope = -_softmax(h @ p["by_class"] + p["class_shift"])
-        slope[np.arange(n), kind] += 1
+        slope[np.arange(n), ids[order] // self.per] += 1
         q["by_class"] += h.T @ slope
         q["class_shift"] += slope.sum(axis=0)
         back = slope @ p["by_class"].T
-        order = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[order], np.arange(CLASSES + 1))
         for c in range(CLASSES):
-            k = order[cut[c] : cut[c + 1]]
-            if len(k):
-                slope = -_softmax(h[k] @ p["by_id"][c] + p["id_shift"][c])
-                slope[np.arange(len(k)), inner[k]] += 1
-                q["by_id"][c] += h[k].T @ slope
+            a, b = cut[c], cut[c + 1]
+            if a < b:
+                slope = -_softmax(h[a:b] @ p["by_id"][c] + p["id_shift"][c])
+                slope[np.arange(b - a), inner[a:b]] += 1
+                q["by_id"][c] += h[a:b].T @ slope
                 q["id_shift"][c] += slope.sum(axis=0)
-                back[k] += slope @ p["by_id"][c].T
+                back[a:b] += slope @ p["by_id"][c].T
         back *= 1 - h * h
         q["shift"] += back.sum(axis=0)
         for table, at in zip(q["embed"], context, strict=True):
-            np.add.at(table, at, back)
+            order = np.argsort(at.astype(np.int16) if self.ids < 1 << 15 else at, kind="stable")  # short keys sort by radix
+            at = at[order]
+            begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+            table[at[begin]] = np.add.reduceat(back[order], begin, axis=0)
         return g.flat / n
 
 
+def _top(x: np.ndarray) -> np.ndarray:
+    """What to take from each row before exp: one number while that is exact enough, else its maximum."""
+    top = x.max(initial=0)
+    return np.full((len(x), 1), top, x.dtype) if top - x.min(initial=0) < 60 else x.max(axis=1, keepdims=True)
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
-    e = np.exp(x - x.max(axis=1, keepdims=True))
+    e = np.exp(x - _top(x))
     return e / e.sum(axis=1, keepdims=True)
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    top = _top(x)
+    return top[:, 0] + np.log(np.exp(x - top).sum(axis=1))
 
 
-def train_round(docs: DataFrame, id_of: np.ndarray, flat: np.ndarray, shape: tuple[int, int, int], bits: int, rate: int, batch_rows: int = 512, step: float = 0.3, fan: int = 32) -> np.ndarray:
-    """One round: tasks start from ``flat``, train on every ``rate``-th position, and are averaged."""
+def train_round(docs: DataFrame, id_of: np.ndarray, flat: np.ndarray, shape: tuple[int, int, int], shards: int, batch_rows: int = 2048, step: float = 0.2, fan: int = 32) -> np.ndarray:
+    """One round: shards of ``docs`` (text, spread by ``h``) start from ``flat``, train on every position, and are averaged."""
+    bits = len(id_of).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(*shape, flat.copy())
@@ -155,9 +187,10 @@ def train_round(docs: DataFrame, id_of: np.ndarray, flat: np.ndarray, shape: tup
 
         def learn(ids: np.ndarray, context: np.ndarray) -> None:
             nonlocal scale
-            g = net.gradient(ids, context)
-            scale += g * g
-            net.flat += step * g / np.sqrt(scale)
+            for a in range(0, len(ids), batch_rows):
+                g = net.gradient(ids[a : a + batch_rows], context[:, a : a + batch_rows])
+                scale += g * g
+                net.flat += step * g / np.sqrt(scale)
 
         wait: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -166,13 +199,10 @@ def train_round(docs: DataFrame, id_of: np.ndarray, flat: np.ndarray, shape: tup
                 if not len(bucket):
                     continue
                 ids = id_of[bucket]
-                at = np.arange(seen % rate, len(ids), rate)
-                wait.append((ids[at], net.context(ids, first)[:, at]))
+                wait.append((ids, net.context(ids, first)))
                 seen += len(ids)
                 if sum(len(x) for x, _ in wait) >= 8 * batch_rows:
-                    ids, context = np.concatenate([x for x, _ in wait]), np.concatenate([x for _, x in wait], axis=1)
-                    for a in range(0, len(ids), batch_rows):
-                        learn(ids[a : a + batch_rows], context[:, a : a + batch_rows])
+                    learn(np.concatenate([x for x, _ in wait]), np.concatenate([x for _, x in wait], axis=1))
                     wait = []
         if wait:
             learn(np.concatenate([x for x, _ in wait]), np.concatenate([x for _, x in wait], axis=1))
@@ -189,7 +219,8 @@ def train_round(docs: DataFrame, id_of: np.ndarray, flat: np.ndarray, shape: tup
         return pa.Table.from_batches([_weights(rows[0][0], total, mean.astype(np.float32))])
 
     kind = "part long, seen long, weights binary"
-    parts = materialize(docs.select("text").mapInArrow(run, kind))
+    spread = docs.repartition(shards, "h").sortWithinPartitions("h")
+    parts = materialize(spread.select("text").mapInArrow(run, kind))
     n = parts.count()
     while n > fan:
         parts = materialize(parts.groupBy((F.col("part") / fan).cast("long").alias("group")).applyInArrow(average, kind).withColumn("part", (F.col("part") / fan).cast("long")))
@@ -198,19 +229,26 @@ def train_round(docs: DataFrame, id_of: np.ndarray, flat: np.ndarray, shape: tup
     return np.frombuffer(average(rows).column("weights")[0].as_py(), np.float32) if n else flat
 
 
-def fit(docs: DataFrame, ids: int = 1024, width: int = 16, side: int = 2, bits: int = 18, rate: int = 1, rounds: int = 2) -> dict:
-    """Corpus counts and trained network of ``docs`` (text)."""
-    counts = bucket_counts(docs, bits)
+def fit(docs: DataFrame, ids: int = 2048, width: int = 16, side: int = 2, rounds: int = 2, shard_words: int = 1 << 20) -> dict:
+    """Corpus counts and trained network of ``docs`` (text and any other columns, which spread the rows)."""
+    counts = bucket_counts(docs)
     order = np.lexsort((np.arange(len(counts)), -counts))
-    id_of = np.full(len(counts), ids - 1, np.int32)
-    id_of[order[: ids - 1]] = np.arange(ids - 1)
-    rest = np.where(id_of == ids - 1, counts, 0)
-    inside = np.where(id_of == ids - 1, np.log((rest + 0.5) / (rest.sum() + 0.5 * (id_of == ids - 1).sum())), 0.0).astype(np.float32)
+    own = ids // 2
+    id_of = (own + arrays.mix(np.arange(len(counts))) % np.uint64(ids - own)).astype(np.int32)
+    id_of[order[:own]] = np.arange(own)
+    share = counts + 0.5
+    per_id = np.bincount(id_of, share, ids)
+    inside = np.log(share / per_id[id_of]).astype(np.float32)
     shape = (ids, width, side)
-    flat = Network(*shape).flat
-    for _ in range(rounds):
-        flat = train_round(docs, id_of, flat, shape, bits, rate)
-    return {"id_of": id_of, "inside": inside, "flat": flat, "shape": shape, "bits": bits}
+    # ids of one class lie apart in frequency, so classes weigh about the same
+    place = np.arange(ids) % CLASSES * (ids // CLASSES) + np.arange(ids) // CLASSES
+    id_of, per_id = place[id_of].astype(np.int32), per_id[np.argsort(place)]
+    flat = Network(*shape, counts=per_id).flat
+    shards = max(1, math.ceil(int(counts.sum()) / rounds / shard_words))
+    rows = docs.select("text", F.xxhash64(*docs.columns).alias("h"))
+    for r in range(rounds):
+        flat = train_round(rows.where(F.pmod(F.hash("h"), F.lit(rounds)) == r), id_of, flat, shape, shards)
+    return {"id_of": id_of, "inside": inside, "flat": flat, "shape": shape, "counts": counts}
 
 
 def column_scores(column: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +256,7 @@ def column_scores(column: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray
     net = Network(*model["shape"], model["flat"])
     words, total = [], []
     for _, _, buf, off in arrays.slices(column, 1 << 19):
-        bucket, first = buckets(buf, off, model["bits"])
+        bucket, first = buckets(buf, off, len(model["id_of"]).bit_length() - 1)
         ids = model["id_of"][bucket]
         log = net.log_probability(ids, net.context(ids, first)) + model["inside"][bucket] if len(ids) else np.zeros(0)
         run = np.concatenate([[0.0], np.cumsum(log, dtype=np.float64)])
@@ -231,6 +269,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     """Per document: doc_id, n_words, log_likelihood, mean_log_likelihood (null without words)."""
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     model = fit(base, **options)
+    model = {k: v for k, v in model.items() if k != "counts"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
