@@ -229,7 +229,7 @@ def train_round(docs: DataFrame, id_of: np.ndarray, flat: np.ndarray, shape: tup
     return np.frombuffer(average(rows).column("weights")[0].as_py(), np.float32) if n else flat
 
 
-def fit(docs: DataFrame, ids: int = 2048, width: int = 16, side: int = 2, rounds: int = 2, shard_words: int = 1 << 20) -> dict:
+def fit(docs: DataFrame, ids: int = 1024, width: int = 8, side: int = 2, rounds: int = 2, shard_words: int = 1 << 20) -> dict:
     """Corpus counts and trained network of ``docs`` (text and any other columns, which spread the rows)."""
     counts = bucket_counts(docs)
     order = np.lexsort((np.arange(len(counts)), -counts))
