@@ -21,9 +21,7 @@ RANKS = path("byte_bpe_50k.tiktoken")
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path("byte_bpe_50k.json"))
 
 
 def documents(spark):
@@ -31,7 +29,7 @@ def documents(spark):
 
 
 def test_ids_equal_the_tokenizers_library(spark, tokenizer):
-    texts = [t for _, t in documents(spark)] + [t for _, t in ODD[:-2]] + ["a  b \n\n c", " lead", "trail ", "<|endoftext|> it's", "x\u0085y　z", "\x1c\x1d", "🙂é́"]
+    texts = [t for _, t in documents(spark)] + [t for _, t in ODD[:-2]] + ["a  b \n\n c", " lead", "trail ", "<|endoftext|> it's", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n x<|endoftext|", "<|endoftext|", "x\u0085y　z", "\x1c\x1d", "🙂é́"]
     got = encoder(RANKS, PATTERN).ids(texts)
     assert all(g.tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids for g, t in zip(got, texts, strict=True))
 
@@ -155,7 +153,7 @@ def check_packing(rows, got, tokenizer, capacity=1024):
 
 def test_packing_whole_table(spark, tokenizer):
     n, bound = check_packing(documents(spark), queries.op9_bin_completion_packing(spark, SF).collect(), tokenizer)
-    assert n <= bound * 1.03 + 1
+    assert n <= bound + 1
 
 
 def test_packing_odd_rows(spark, tokenizer):
@@ -187,8 +185,10 @@ def best_bins(items, capacity):
 
 def test_bin_completion_is_optimal_on_small_sets():
     rng = np.random.default_rng(2)
-    for _ in range(60):
-        items = sorted(rng.integers(5, 70, rng.integers(1, 10)).tolist(), reverse=True)
+    fixed = [[16, 15, 14, 14, 14, 14, 13, 12, 10, 9, 8, 8]]
+    assert sum(n for _, n in packing.plan(Counter(fixed[0]), 30)) == 5
+    for _ in range(150):
+        items = sorted(rng.integers(5, 70, rng.integers(1, 14)).tolist(), reverse=True)
         patterns = packing.plan(Counter(items), 100)
         assert Counter(s for p, n in patterns for s in p for _ in range(n)) == Counter(items)
         assert sum(n for _, n in patterns) == best_bins(items, 100)

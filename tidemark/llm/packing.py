@@ -9,8 +9,10 @@ task.
 
 Bin completion: take the largest remaining piece, enumerate the undominated fillings of the
 space it leaves, and take the fullest. The incumbent is the better of that and of best fit;
-its emptiest sequences are searched by branch and bound, cutting partial packings whose
-waste already reaches that of the incumbent.
+its emptiest sequences are searched by branch and bound over all undominated fillings,
+cutting partial packings whose waste leaves no room for a sequence less than the incumbent.
+
+Ids are those of the tokenizers library, added tokens in a text included.
 
 Defined results: a null or empty text is the end token alone; repeated ids keep their own
 pieces; an empty table gives an empty one.
@@ -30,17 +32,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, pick
-from .tokens import encoder
+from .tokens import ADDED, encoder
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2, added: tuple[tuple[str, int], ...] = ADDED) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with the checksum of their ids; ``ranks`` is the vocabulary's file."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks, pattern).ids
+        encode = encoder(ranks, pattern, added).ids
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -76,67 +78,82 @@ def _dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return fit(0, list(a))
 
 
-def fillings(room: int, counts: Counter, most: int) -> list[tuple[int, ...]]:
-    """Undominated sets of remaining pieces that fit in ``room``, fullest first, at most ``most`` of them.
+def _feasible(sizes: list[int], counts: Counter, room: int, steps: int) -> list[tuple[int, ...]]:
+    """Sets of pieces (largest first) that fit in ``room`` and that no further piece fits into, in at most ``steps`` steps."""
+    found: list[tuple[int, ...]] = []
+
+    def search(k: int, left: int, taken: list[int]) -> None:
+        nonlocal steps
+        steps -= 1
+        if not any(s <= left and taken.count(s) < counts[s] for s in sizes):
+            found.append(tuple(taken))
+        for j in range(k, len(sizes)):
+            s = sizes[j]
+            if s <= left and taken.count(s) < counts[s] and steps > 0:
+                taken.append(s)
+                search(j, left - s, taken)
+                taken.pop()
+
+    search(0, room, [])
+    return [f for f in found if f]
+
+
+def fillings(room: int, counts: Counter, exact: int = 16, most: int = 8) -> list[tuple[int, ...]]:
+    """Undominated sets of remaining pieces that fit in ``room``, fullest first.
 
-    A perfect filling ends the search: with fewest and largest pieces first, none beats it.
+    All of them while at most ``exact`` pieces remain; of more, the ``most`` fullest found.
     """
     sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
-    found: list[tuple[int, ...]] = []
+    if not sizes:
+        return [()]
+    if sizes[0] == room:
+        return [(room,)]  # every other set fits under it
+    small = sum(n for n in counts.values()) <= exact
+    found = sorted(_feasible(sizes, counts, room, 1 << 20 if small else 16 * most), key=lambda f: (-sum(f), len(f), tuple(-s for s in f)))
+    kept: list[tuple[int, ...]] = []
+    for f in found if small else found[: 4 * most]:
+        if not any(_dominated(g, f) for g in kept):
+            kept.append(f)
+    return (kept if small else kept[:most]) or [()]
+
+
+def fullest(room: int, counts: Counter, steps: int = 256) -> tuple[int, ...]:
+    """A fullest set of remaining pieces that fits in ``room``: one or two pieces that fill it, else the best of ``steps`` tries."""
+    sizes = sorted((s for s, n in counts.items() if n and s <= room), reverse=True)
     have = set(sizes)
     if room in have:
-        return [(room,)]
-    for s in sizes:  # two pieces
-        other = room - s
-        if other > s:
-            continue
-        if other in have and (other != s or counts[s] > 1):
-            return [(s, other)]
-    steps = 0
+        return (room,)
+    for s in sizes:
+        if room - s <= s and room - s in have and (room - s != s or counts[s] > 1):
+            return (s, room - s)
+    best: tuple[int, ...] = ()
 
     def search(k: int, left: int, taken: list[int]) -> bool:
-        nonlocal steps
-        steps += 1
+        nonlocal best, steps
+        steps -= 1
         if left in have and (not taken or left <= taken[-1]) and counts[left] > taken.count(left):
-            found.append((*taken, left))
+            best = (*taken, left)
             return True
-        fits = False
+        if room - left > sum(best):
+            best = tuple(taken)
         for j in range(k, len(sizes)):
             s = sizes[j]
-            if s > left or taken.count(s) >= counts[s]:
-                continue
-            fits = True
-            if steps > 4 * most:
-                break
-            taken.append(s)
-            if search(j, left - s, taken):
-                return True
-            taken.pop()
-        if not fits and taken:
-            found.append(tuple(taken))
+            if s <= left and taken.count(s) < counts[s]:
+                if steps <= 0:
+                    break
+                taken.append(s)
+                if search(j, left - s, taken):
+                    return True
+                taken.pop()
         return False
 
     search(0, room, [])
-    found.sort(key=lambda f: (-sum(f), len(f), tuple(-s for s in f)))
-    kept: list[tuple[int, ...]] = []
-    for f in found[: 4 * most]:
-        if not any(_dominated(g, f) for g in kept):
-            kept.append(f)
-    return kept[:most] or [()]
-
-
-def _best_fit(items: list[int], capacity: int) -> list[tuple[int, ...]]:
-    """Best-fit decreasing: each piece into the fullest sequence with room."""
-    bins: list[list[int]] = []
-    for s in sorted(items, reverse=True):
-        best = min((b for b in bins if sum(b) + s <= capacity), key=lambda b: capacity - sum(b), default=None)
-        bins.append([s]) if best is None else best.append(s)
-    return [tuple(b) for b in bins]
+    return best
 
 
-def _branch(items: list[int], capacity: int, nodes: int) -> list[tuple[int, ...]]:
-    """Branch and bound over the fillings around the largest piece; best-fit is the first incumbent."""
-    best, left = _best_fit(items, capacity), nodes
+def _branch(incumbent: list[tuple[int, ...]], capacity: int, nodes: int) -> list[tuple[int, ...]]:
+    """The incumbent's pieces in fewer sequences, if branch and bound over the fillings around the largest piece finds any."""
+    best, left = list(incumbent), nodes
 
     def search(counts: Counter, total: int, bins: list[tuple[int, ...]]) -> None:
         nonlocal best, left
@@ -145,17 +162,19 @@ def _branch(items: list[int], capacity: int, nodes: int) -> list[tuple[int, ...]
                 best = list(bins)
             return
         left -= 1
-        if left < 0 or len(bins) + math.ceil(total / capacity) >= len(best):
+        # room for waste: what the sequences still allowed may leave empty beyond the pieces to come
+        if left < 0 or (len(best) - 1 - len(bins)) * capacity < total:
             return
         top = max(s for s, n in counts.items() if n)
         counts[top] -= 1
-        for f in fillings(capacity - top, counts, 8):
+        for f in fillings(capacity - top, counts):
             counts.subtract(f)
             search(counts, total - top - sum(f), [*bins, (top, *f)])
             counts.update(f)
         counts[top] += 1
 
-    search(Counter(items), sum(items), [])
+    items = Counter(s for b in incumbent for s in b)
+    search(items, sum(s * n for s, n in items.items()), [])
     return best
 
 
@@ -191,7 +210,7 @@ def _completion_plan(histogram: dict[int, int], capacity: int, searched: int) ->
     while left > searched:
         top = max(s for s, n in counts.items() if n)
         counts[top] -= 1
-        filling = fillings(capacity - top, counts, 64)[0]
+        filling = fullest(capacity - top, counts)
         counts[top] += 1
         pattern = (top, *filling)
         need = Counter(pattern)
@@ -204,20 +223,24 @@ def _completion_plan(histogram: dict[int, int], capacity: int, searched: int) ->
     return out + _best_fit_plan(counts, capacity)
 
 
-def plan(histogram: dict[int, int], capacity: int = 1024, searched: int = 60, nodes: int = 3000) -> Plan:
+def plan(histogram: dict[int, int], capacity: int = 1024, searched: int = 60, nodes: int = 5000) -> Plan:
     """Patterns (piece lengths, how many sequences) that use every piece once.
 
-    The incumbent is the better of best fit and of filling the largest piece first. Its
-    emptiest sequences, of up to ``searched`` pieces together, are packed again by branch
-    and bound over at most ``nodes`` nodes.
+    The incumbent is the better of best fit and of filling the largest piece first, both on
+    the whole histogram. Its emptiest sequences, of up to ``searched`` pieces together, are
+    packed again by branch and bound over at most ``nodes`` nodes; the others' waste is what
+    bounds a better packing, so full sequences need no search. Up to 16 pieces (``fillings``)
+    the search misses nothing but for that limit.
     """
     plans = [_best_fit_plan(histogram, capacity), _completion_plan(histogram, capacity, searched)]
     best = sorted(min(plans, key=lambda p: sum(n for _, n in p)), key=lambda p: (sum(p[0]), p[0]))
-    rest: list[int] = []
+    rest: list[tuple[int, ...]] = []
     kept: Plan = []
+    taken = 0
     for pattern, n in best:
-        again = min(n, max(0, searched - len(rest)) // len(pattern))
-        rest += list(pattern) * again
+        again = min(n, max(0, searched - taken) // len(pattern))
+        rest += [pattern] * again
+        taken += len(pattern) * again
         if n > again:
             kept.append((pattern, n - again))
     return kept + list(Counter(_branch(rest, capacity, nodes)).items())
@@ -237,10 +260,10 @@ def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray
     return {"key": key, "first": first, "sequence": seq, "offset": offset}
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, added: tuple[tuple[str, int], ...] = ADDED) -> DataFrame:
     """Pieces of all documents with their sequence and offset (see the module's head)."""
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    cut = materialize(pieces(base, ranks, pattern, capacity, end_id))
+    cut = materialize(pieces(base, ranks, pattern, capacity, end_id, added))
     chunks = max(1, math.isqrt(cut.count()))
     cut = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
     sizes = materialize(cut.groupBy("length", "chunk").agg(F.count("*").alias("n")))

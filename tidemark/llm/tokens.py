@@ -1,9 +1,9 @@
 """Whole-text encoding with a public byte-level BPE.
 
 The vocabulary is read from its rank file and encoded by tiktoken; the ids are those that
-the tokenizers library gives for the same vocabulary's JSON file without special tokens
-(tests compare them), at a fifth of the time and without an object per text. Special
-tokens' strings in a text are ordinary text.
+the tokenizers library gives for the same vocabulary's JSON file (tests compare them), at a
+fifth of the time and without an object per text. As there, an added token's string in a
+text is that token.
 """
 
 from __future__ import annotations
@@ -15,27 +15,33 @@ from functools import lru_cache
 import numpy as np
 
 
+#: Added tokens of the 50k byte-level vocabulary.
+ADDED = (("<|endoftext|>", 50256),)
+
+
 class Encoder:
     """ids of whole texts and the bytes of every token."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: tuple[tuple[str, int], ...] = ADDED):
         import tiktoken
 
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.token_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
-        for token, rank in ranks.items():
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
+        self.added = {token for token, _ in added}
+        every = ranks | {token.encode(): number for token, number in added}
+        self.token_bytes = np.zeros(max(every.values()) + 1, np.int64)
+        for token, rank in every.items():
             self.token_bytes[rank] = len(token)
 
     def ids(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """Little-endian unsigned 32-bit ids of each text; none for a null or empty one."""
         encode = self.encoding.encode_to_numpy
         none = np.zeros(0, "<u4")
-        return [encode(t, disallowed_special=()).astype("<u4", copy=False) if t else none for t in texts]
+        return [encode(t, allowed_special=self.added, disallowed_special=()).astype("<u4", copy=False) if t else none for t in texts]
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+def encoder(path: str, pattern: str, added: tuple[tuple[str, int], ...] = ADDED) -> Encoder:
     """One encoder per worker process."""
-    return Encoder(path, pattern)
+    return Encoder(path, pattern, added)
