@@ -54,6 +54,16 @@ def test_ann_recall(spark, sf):
     assert hits / total >= 0.9
 
 
+def test_footrule_by_definition():
+    rng = np.random.default_rng(0)
+    full = np.array([rng.permutation(12) for _ in range(40)])
+    order = full[:, :5].astype(np.int16)
+    place = lambda o: [list(o).index(p) if p in o else 5 for p in range(12)]
+    want = [[sum(abs(a - b) for a, b in zip(place(q), place(o))) for o in order] for q in order]
+    got = np.array([permutation_ann.footrules(permutation_ann.inverted(order, 12, 5), q, 5) for q in order])
+    assert (got - got.min(axis=1, keepdims=True) == np.array(want)).all()
+
+
 def test_ann_odd_rows(spark):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=4)], "x") for i in range(300)]
@@ -64,6 +74,9 @@ def test_ann_odd_rows(spark):
     assert set(got["query_id"]) == {0, 100, 200, 1000}
     mine = got[got["query_id"] == 100].sort_values("rank")
     assert mine["vec_id"].tolist() == list(range(1000, 1010)) and (mine["score"] == 0).all()
+    twice = spark.createDataFrame([(100, [0.5] * 4, "x"), *rows[:120]], "vec_id long, embedding array<double>, shard string")
+    both = permutation_ann.search(twice, F.col("vec_id") % 100 == 0).where("query_id = 100").collect()
+    assert [r["rank"] for r in sorted(both, key=lambda r: (r["score"], r["vec_id"]))] == list(range(1, 11)) and all(r["vec_id"] != 100 for r in both)
     few = permutation_ann.search(table_.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 100 == 0).collect()
     assert len(few) == 2
     assert permutation_ann.search(table_.limit(0), F.col("vec_id") % 100 == 0).count() == 0
@@ -125,6 +138,23 @@ def test_interleaved_parts():
     assert media.parts(None) == [] and media.parts("") == []
 
 
+def test_interleaving_of_whole_pages(spark):
+    """Positions are dense, texts and references keep their order, and resolved and missing media stay in place."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html")
+    stored = media.texts_as_media(table(spark, [(1, "pay"), (2, "pay"), (3, "load")]))
+    digests = [r[0] for r in stored.orderBy("doc_id").select("digest").collect()]
+    figure = lambda d, c: f'<figure><img src="media:{d}" alt="a"><figcaption>{c}</figcaption></figure>'
+    mixed = pages.withColumn("html", F.concat(F.lit("<p>head</p>" + figure(digests[0], "one")), "html", F.lit(figure(digests[2], "two") + figure("gone", "three") + "<p>tail")))
+    got = media.resolve(media.sequences(mixed, "page_id"), stored).toPandas().sort_values(["doc_id", "position"])
+    assert media.media_features(stored.coalesce(1)).count() == 2
+    for _, page in got.groupby("doc_id"):
+        assert page["position"].tolist() == list(range(len(page)))
+        assert page["text"].iloc[0] == "head" and page["text"].iloc[-1] == "tail"
+        refs = page[page["digest"].isin([*digests, "gone"])]
+        assert refs["caption"].tolist() == ["one", "two", "three"]
+        assert refs["payload_bytes"].tolist()[:2] == [64, 64] and refs["payload_sha256"].notna().tolist() == [True, True, False]
+
+
 def test_pages_parse_and_miss(spark):
     pages = spark.createDataFrame([(1, '<img src="media:none">'), (2, None), (None, "text"), (1, "<p>x")], "doc_id long, html string")
     got = media.resolve(media.sequences(pages), spark.createDataFrame([], "digest string, media binary")).collect()

@@ -3,7 +3,7 @@
 A document is HTML. Parsing gives its ordered parts: texts and media references, each with
 its position, and a figure's caption beside its image. Media lie in a content-addressed
 table (digest, media); references name a digest, and a join on it resolves them. Features
-are computed once per digest from the stored bytes.
+are computed from the stored bytes, once per digest and task.
 
 The stored form of a byte payload is a grey-scale portable graymap: 64 samples of 8 bits a
 row, after the header. Payloads are padded with zero bytes to a positive multiple of 64, so
@@ -129,12 +129,16 @@ FEATURES = pa.schema([("digest", pa.string()), ("payload_bytes", pa.int64()), ("
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Features of every stored row (digest, media), from the bytes as read."""
+    """Features of the stored rows (digest, media), from the bytes as read; a task leaves repeats of a digest out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen_before: set[str] = set()
         for batch in batches:
             out: list[list] = [[] for _ in FEATURES]
             for digest, blob in zip(batch.column(0), batch.column(1), strict=True):
+                if digest.as_py() in seen_before:
+                    continue
+                seen_before.add(digest.as_py())
                 blob = blob.as_py()
                 width, height, samples = samples_of(blob)
                 seen = np.frombuffer(samples, np.uint8)
@@ -152,8 +156,10 @@ def media_features(media: DataFrame) -> DataFrame:
 def resolve(parsed: DataFrame, media: DataFrame) -> DataFrame:
     """Parts of ``sequences`` with the features of the media they reference.
 
-    Features are made once per digest and written, so the join has two plain sides and a
-    digest that many documents share can be split at run time.
+    A digest's features are made once in each task that holds it, then one row a digest is
+    kept and written: moving the bytes to make them once in all would cost more than reading
+    them. So the join has two plain sides and a digest that many documents share can be split
+    at run time.
     """
     once = media_features(media)
     once = once.groupBy("digest").agg(*[F.first(c).alias(c) for c in once.columns[1:]])
