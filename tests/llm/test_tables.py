@@ -255,6 +255,19 @@ def test_mixing_odd_rows(spark):
     assert kept.columns == docs.columns and Counter(map(tuple, kept.collect())) == Counter(rows)
 
 
+def test_mixing_keeps_sources_without_a_weight(spark):
+    docs = spark.createDataFrame([(i, ["a", "b", None, "c"][i % 4]) for i in range(80)], "doc_id long, source string")
+    weights = spark.createDataFrame([("a", 100), ("b", 0), ("else", 5)], "source string, n long")
+    got = mixing.interleave(docs, block_rows=2, period=20, weights=weights).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter((r[0], r[1]) for r in docs.collect())
+
+
+def test_mixing_of_1200_sources(spark):
+    rows = [(i, f"s{i % 1200}") for i in range(2400)]
+    got = mixing.interleave(spark.createDataFrame(rows, "doc_id long, source string")).collect()
+    assert Counter((r["doc_id"], r["source"]) for r in got) == Counter(rows)
+
+
 def test_strip_repeats_keeps_rows_and_columns(spark):
     from tests.llm.test_dedup import small_rows
 

@@ -14,13 +14,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a temporary one."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, in local mode (tests), a temporary one."""
     sc = spark.sparkContext
     conf = sc.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
     found = sc._jsc.sc().getCheckpointDir()
     if not found.isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
@@ -43,3 +45,17 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns under internal names, so other columns never clash."""
     return df.select(*[F.col(f"`{c}`").alias(a) for a, c in columns.items()])
+
+
+def with_arrival(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with distinct whole numbers that follow its rows' order in the files it is read from.
+
+    Files are ordered by the part and piece numbers that Spark gave them. A table that is not
+    read from files is numbered in the order of its partitions.
+    """
+    if not df.inputFiles():
+        return df.withColumn(name, F.monotonically_increasing_id())
+    part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1)
+    piece = F.regexp_extract("_metadata.file_name", r"-c(\d+)\.", 1)
+    number = lambda c: F.coalesce(c.try_cast("long"), F.lit(0))
+    return df.withColumn(name, F.shiftleft(number(part), 42) + F.shiftleft(number(piece), 34) + F.col("_metadata.row_index"))

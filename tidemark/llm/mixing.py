@@ -61,8 +61,8 @@ def period_slots(shares: DataFrame, period: int) -> DataFrame:
 def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, period: int = 1000, weights: DataFrame | None = None) -> DataFrame:
     """Every document's place: doc_id, source, block, release, deadline, slot, place.
 
-    ``weights`` (source, n) replaces the sources' row counts as the base of the quotas and
-    must name every source. A period has ``period`` slots; with more than half as many
+    ``weights`` (source, n) replaces the sources' row counts as the base of the quotas;
+    a source that it does not name, or names with nothing, counts as one of weight 1. A period has ``period`` slots; with more than half as many
     sources, the next power of two from twice their number.
     """
     base = pick(docs, doc_id=id_col, source=source_col).withColumn("source", F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")))
@@ -75,7 +75,10 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     earlier = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("source", "prefix", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("source", "prefix").orderBy("digest", "doc_id")) - 1
-    given = sizes if weights is None else weights.select(F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")).alias("source"), "n")
+    given = sizes
+    if weights is not None:
+        named = weights.groupBy(F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null")).alias("source")).agg(F.max("n").alias("n"))
+        given = sizes.select("source").join(named, "source", "left").select("source", F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).alias("n"))
     sources = given.count()
     if 2 * sources > period:
         period = 1 << (2 * sources - 1).bit_length()
@@ -100,13 +103,14 @@ def interleave(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """All rows of ``docs``, dealt so that each written file holds runs of consecutive slots in order.
+    """All rows of ``docs`` dealt in slot order: within a written file, and from file to file.
 
     Rows of a repeated id share their first slot; rows without an id come last.
     """
     files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = interleave(docs, id_col, source_col, **options).groupBy("doc_id").agg(F.min("slot").alias("__slot")).withColumnRenamed("doc_id", "__id")
-    # runs of about equal rows, several a file; cut on the ids, before any text moves
-    runs = materialize(materialize(slots).repartitionByRange(8 * files, "__slot").withColumn("__run", F.spark_partition_id()))
-    joined = docs.join(runs.hint("merge"), docs[id_col].cast("long") == runs["__id"], "left")
-    return joined.repartition(files, "__run").sortWithinPartitions(F.asc_nulls_last("__slot"), id_col).select(*docs.columns)
+    slots = interleave(docs, id_col, source_col, **options).where("doc_id is not null").groupBy("doc_id").agg(F.min("slot").alias("__slot")).withColumnRenamed("doc_id", "__id")
+    slots = materialize(slots)
+    joined = docs.join(slots.hint("merge"), docs[id_col].cast("long") == slots["__id"], "left")
+    # ids spread the rows that share a slot or have none
+    order = [F.asc_nulls_last("__slot"), F.xxhash64(F.col(f"`{id_col}`")), F.col(f"`{id_col}`")]
+    return joined.repartitionByRange(files, *order).sortWithinPartitions(*order).select(*docs.columns)

@@ -34,29 +34,29 @@ from pyspark.sql import functions as F
 from .common import materialize, pick
 from .tokens import ADDED, encoder
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("at", pa.int64())])
 
 
 def pieces(docs: DataFrame, ranks: str, pattern: str, capacity: int = 1024, end_id: int = 2, added: tuple[tuple[str, int], ...] = ADDED) -> DataFrame:
-    """Pieces of ``docs`` (doc_id, text) with the checksum of their ids; ``ranks`` is the vocabulary's file."""
+    """Pieces of ``docs`` (doc_id, text, at) with the checksum of their ids; ``ranks`` is the vocabulary's file."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(ranks, pattern, added).ids
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
                 out: list[list] = [[] for _ in PIECES]
-                for i, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                for i, at, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                     ids = memoryview(ids.tobytes() + end)
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        for column, value in zip(out, (i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])), strict=True):
+                        for column, value in zip(out, (i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]), at), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, PIECES, strict=True)], schema=PIECES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text", "at").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, at long")
 
 
 def _dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
@@ -260,25 +260,45 @@ def _places(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray
     return {"key": key, "first": first, "sequence": seq, "offset": offset}
 
 
-def pack(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, added: tuple[tuple[str, int], ...] = ADDED) -> DataFrame:
-    """Pieces of all documents with their sequence and offset (see the module's head)."""
-    base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+def pack(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, added: tuple[tuple[str, int], ...] = ADDED, arrival: str | None = None) -> DataFrame:
+    """Pieces of all documents with their sequence and offset (see the module's head).
+
+    ``arrival`` names a column of distinct whole numbers, the order in which documents should
+    be met: pieces of one length then go to sequences in that order, and a sequence's number
+    is the rank of its earliest piece, so sequences by number follow it.
+    """
+    at = F.lit(None).cast("long") if arrival is None else F.col(f"`{arrival}`").cast("long")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), at.alias("at"))
     cut = materialize(pieces(base, ranks, pattern, capacity, end_id, added))
-    chunks = max(1, math.isqrt(cut.count()))
-    cut = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)).cast("int"))
+    if arrival is None:
+        chunks = max(1, math.isqrt(cut.count()))
+        chunk, order = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(chunks)), ["doc_id", "piece", "ids_crc32"]
+    else:
+        chunk, order = F.shiftright("at", 12), ["at", "piece"]
+    cut = cut.withColumn("chunk", chunk.cast("long"))
     sizes = materialize(cut.groupBy("length", "chunk").agg(F.count("*").alias("n")))
     histogram = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("n")).collect()}
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    order = Window.partitionBy("length", "chunk").orderBy("doc_id", "piece", "ids_crc32")
-    numbered = cut.withColumn("number", F.row_number().over(order) - 1).join(offsets, ["length", "chunk"]).withColumn("number", F.col("number") + F.col("before"))
+    numbered = cut.withColumn("number", F.row_number().over(Window.partitionBy("length", "chunk").orderBy(*order)) - 1)
+    numbered = numbered.join(offsets, ["length", "chunk"]).withColumn("number", F.col("number") + F.col("before"))
     places = _places(plan(histogram, capacity))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             number = f["number"].to_numpy(np.int64)
-            at = np.searchsorted(places["key"], f["length"].to_numpy(np.int64) << 40 | number, "right") - 1
-            yield f.drop(columns="number").assign(sequence_id=places["sequence"][at] + number - places["first"][at], offset=places["offset"][at])
-
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return numbered.select(*columns, "number").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+            k = np.searchsorted(places["key"], f["length"].to_numpy(np.int64) << 40 | number, "right") - 1
+            yield f.drop(columns="number").assign(sequence_id=places["sequence"][k] + number - places["first"][k], offset=places["offset"][k])
+
+    columns, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], "doc_id long, piece int, start long, length long, ids_crc32 long"
+    if arrival is None:
+        return numbered.select(*columns, "number").mapInPandas(place, f"{kinds}, sequence_id long, offset long")
+    # rank of every piece in arrival order, again from chunk counts and ranks within a chunk
+    chunks = sizes.groupBy("chunk").agg(F.sum("n").alias("n"))
+    earlier = Window.partitionBy(F.lit(0)).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # a row per 4096 documents
+    chunks = chunks.select("chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__earlier"))
+    ranked = numbered.withColumn("rank", F.row_number().over(Window.partitionBy("chunk").orderBy(*order)) - 1).join(chunks, "chunk")
+    ranked = ranked.withColumn("rank", (F.col("rank") + F.col("__earlier")).cast("long"))
+    put = materialize(ranked.select(*columns, "rank", "number").mapInPandas(place, f"{kinds}, rank long, sequence_id long, offset long"))
+    first = put.groupBy("sequence_id").agg(F.min("rank").alias("__first"))
+    return put.join(first, "sequence_id").select(*columns, F.col("__first").alias("sequence_id"), "offset")
