@@ -4,7 +4,7 @@ Each word of a text is predicted from its ``side`` neighbours on both sides; a d
 score is the sum of the conditional log-probabilities of all its words.
 
 Words are hashed to buckets, at least twice as many as the corpus has different words, up to
-2**22. Corpus counts of the buckets, over every document, decide which have an id of their
+2**20. Corpus counts of the buckets, over every document, decide which have an id of their
 own (the most frequent half of the ids); the rest share the other ids by hash, and an id's
 probability divides among its buckets by their counts, so probabilities sum to one over all
 buckets. The network sums one embedding per neighbour and position, applies tanh, and
@@ -36,7 +36,7 @@ from . import arrays
 from .common import materialize, pick
 
 CLASSES = 32
-MOST_BITS = 22
+MOST_BITS = 20
 
 
 def buckets(buf: np.ndarray, off: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
     return top[:, 0] + np.log(np.exp(x - top).sum(axis=1))
 
 
-def train_round(docs: DataFrame, id_of: np.ndarray, flat: np.ndarray, shape: tuple[int, int, int], shards: int, batch_rows: int = 2048, step: float = 0.2, fan: int = 32) -> np.ndarray:
+def train_round(docs: DataFrame, id_of: np.ndarray, flat: np.ndarray, shape: tuple[int, int, int], shards: int, batch_rows: int = 4096, step: float = 0.4, fan: int = 32) -> np.ndarray:
     """One round: shards of ``docs`` (text, spread by ``h``) start from ``flat``, train on every position, and are averaged."""
     bits = len(id_of).bit_length() - 1
 
