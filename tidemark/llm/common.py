@@ -28,6 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.get()
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name in the shared folder that nothing has yet."""
+    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -35,7 +40,7 @@ def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     plain scan, so that adaptive execution may split a skewed side.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    path = new_folder(spark)
     if partitions:
         df = df.coalesce(partitions)
     df.write.option("compression", "zstd").parquet(path)

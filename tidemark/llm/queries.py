@@ -8,8 +8,8 @@ from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import masked_lm, media, mixing, oracle, packing, permutation_ann, quality, simhash, substring_dedup, token_spans, toxicity
-from .common import read
+from . import masked_lm, media, mixing, oracle, packing, permutation_ann, quality, simhash, substring_dedup, token_files, token_spans, toxicity
+from .common import new_folder, read
 from .sampling import fold
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -66,8 +66,14 @@ def op10_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.interleave(read(spark, sf_dir, "documents"))
 
 
+def op11_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark)
+    token_files.write(read(spark, sf_dir, "documents"), folder, path("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_crf, op2_substring_dedup, op3_permutation_ann, op4_simhash_near_dedup, op5_token_counts, op6_masked_lm, op7_media_columns, op8_toxicity_string_kernel, op9_bin_completion_packing, op10_pfair_mixing)
+    every = (op1_quality_crf, op2_substring_dedup, op3_permutation_ann, op4_simhash_near_dedup, op5_token_counts, op6_masked_lm, op7_media_columns, op8_toxicity_string_kernel, op9_bin_completion_packing, op10_pfair_mixing, op11_huffman_tokens)
     return {f.__name__: f for f in every}
 
 
