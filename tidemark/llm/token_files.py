@@ -24,6 +24,7 @@ empty one; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,11 +35,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import slices
-from .chunks import Cache, cut, take_runs
+from .chunks import CUT_BYTES, Cache, split, take_runs
 from .common import materialize, pick
 from .huffman import Book, Decoder, code_lengths
 
-WHITE = (9, 10, 11, 12, 13, 32)
 BLOCKS = pa.schema(
     [("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("marks", pa.binary()), ("stream", pa.binary())]
 )
@@ -46,46 +46,62 @@ BLOCK_COLUMNS = "part int, block int, start long, n_tokens long, doc_ids array<l
 
 
 @lru_cache(maxsize=2)
-def white_encoder(path: str) -> Cache:
-    """Chunk ids by the tokenizers library; for vocabularies that drop white space."""
+def piece_encoder(path: str, kind: str) -> Cache:
+    """Piece ids by the tokenizers library; for vocabularies that ``split`` suits."""
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path)
-    return Cache(lambda chunks: [e.ids for e in model.encode_batch_fast(chunks, add_special_tokens=False)])
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    whole = Tokenizer.from_file(path)
+    merges = whole.model
+
+    def encode(pieces: list[str]) -> list[list[int]]:
+        plain = [p.isascii() and p.isalnum() for p in pieces]  # one pre-token in lower case that nothing changes
+        others = iter(whole.encode_batch_fast([p for p, k in zip(pieces, plain, strict=True) if not k], add_special_tokens=False))
+        return [[t.id for t in merges.tokenize(p)] if k else next(others).ids for p, k in zip(pieces, plain, strict=True)]
+
+    return Cache(encode, kind)
+
+
+def id_kind(tokenizer: str) -> str:
+    """The narrowest unsigned little-endian type of a vocabulary's ids."""
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else "<u4"
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian unsigned 32-bit, the end id last) of every document."""
+    """doc_id, n_tokens and ids (``id_kind`` of the vocabulary, the end id last) of every document."""
+    kind = id_kind(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = white_encoder(tokenizer)
+        model = piece_encoder(tokenizer, kind)
         for batch in batches:
-            for lo, hi, _, _ in slices(batch.column(1)):
-                chunks, rows = cut(batch.column(1).slice(lo, hi - lo), WHITE)
-                ids, at = model.rows(chunks, rows)
-                ids = np.insert(ids, at[1:], np.uint32(end_id)).astype("<u4")
+            for lo, hi, _, _ in slices(batch.column(1), CUT_BYTES):
+                ids, at = model.rows(*split(batch.column(1).slice(lo, hi - lo)))
+                ids = np.insert(ids, at[1:], end_id)
                 ends = at + np.arange(len(at))
-                data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids)])
+                data = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((ids.itemsize * ends).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends)), data], ["doc_id", "n_tokens", "ids"])
 
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     return base.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def flat_ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def flat_ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a binary column and its rows' offsets in them."""
     _, offs, data = column.buffers()
     off = np.frombuffer(offs, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return np.frombuffer(data, "<u4")[off[0] // 4 : off[-1] // 4] if data else np.zeros(0, "<u4"), (off - off[0]) // 4
+    off //= np.dtype(kind).itemsize
+    return np.frombuffer(data, kind)[off[0] : off[-1]] if data else np.zeros(0, kind), off - off[0]
 
 
-def count_ids(tokens: DataFrame) -> DataFrame:
+def count_ids(tokens: DataFrame, kind: str) -> DataFrame:
     """(id, n) over all rows of ``ids``; every task sends one row an id it has met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for batch in batches:
-            seen = np.bincount(flat_ids(batch.column(0))[0])
+            seen = np.bincount(flat_ids(batch.column(0), kind)[0])
             if len(seen) > len(total):
                 seen, total = total, seen
             total[: len(seen)] += seen
@@ -105,7 +121,7 @@ def code_book(counts: DataFrame, longest: int) -> np.ndarray:
     return code_lengths(total, max(longest, (max(used, 2) - 1).bit_length()))
 
 
-def blocks(tokens: DataFrame, lengths: np.ndarray, block_tokens: int) -> DataFrame:
+def blocks(tokens: DataFrame, kind: str, lengths: np.ndarray, block_tokens: int) -> DataFrame:
     """Blocks of each partition's documents in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +135,7 @@ def blocks(tokens: DataFrame, lengths: np.ndarray, block_tokens: int) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
 
         for batch in batches:
-            ids, off = flat_ids(batch.column(1))
+            ids, off = flat_ids(batch.column(1), kind)
             for i, lo, hi in zip(batch.column(0).to_pylist(), off[:-1].tolist(), off[1:].tolist(), strict=True):
                 held.append((i, ids[lo:hi]))
                 size += hi - lo
@@ -138,10 +154,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str
     """Write ``docs`` as token files into ``folder``. Codes have at most ``longest`` bits, or as many as the used ids need."""
     spark = docs.sparkSession
     tokens = materialize(encode(docs, tokenizer, end_id, id_col, text_col))
-    lengths = code_book(count_ids(tokens), longest)
+    kind = id_kind(tokenizer)
+    lengths = code_book(count_ids(tokens, kind), longest)
     codes = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(codes, "id long, bits int").coalesce(1).write.parquet(f"{folder}/codes")
-    blocks(tokens, lengths, block_tokens).write.option("compression", "none").parquet(f"{folder}/blocks")
+    blocks(tokens, kind, lengths, block_tokens).write.option("compression", "none").parquet(f"{folder}/blocks")
     sizes = _table(spark, folder, "blocks", BLOCK_COLUMNS).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
     sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")).coalesce(1).write.parquet(f"{folder}/parts")
