@@ -58,3 +58,42 @@ WITH words AS (
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(kept) AS kept_sha256 FROM kept
 """
+
+
+def merkle(heights: tuple[int, int] = (8, 4)) -> str:
+    """Levels written out: at most 8 ** 8 leaves a scope and 8 ** 4 scopes."""
+    framed = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+    rest = " || ".join(framed(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lowered = framed("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    # crc32 of the id's decimal digits, bit by bit
+    step = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, b: {step}), 4294967295)"
+    parts = [
+        f"leaves AS (SELECT doc_id, lang, sha256({rest} || {framed('text')}) AS leaf, CASE WHEN {crc} % 3 = 0 THEN sha256({rest} || {lowered}) END AS tampered FROM documents)",
+        "a0 AS (SELECT doc_id, lang, leaf AS digest, coalesce(tampered, leaf) AS h, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM leaves)",
+    ]
+
+    def levels(name: str, high: int) -> None:
+        for k in range(high):
+            parts.append(f"{name}{k}r AS (SELECT lang, idx // 8 AS run, list(digest ORDER BY idx) AS ds, any_value((n + 7) // 8) AS m FROM {name}{k} WHERE n > 1 GROUP BY lang, idx // 8)")
+            parts.append(f"{name}{k + 1} AS (SELECT lang, run AS idx, sha256(array_to_string(ds, '')) AS digest, m AS n FROM {name}{k}r)")
+
+    def climb(prefix: str, name: str, high: int, at: str, by: str) -> str:
+        for k in range(high):
+            p = f"({at} // {8**k} % 8)"
+            left, right = f"coalesce(array_to_string(r.ds[1:{p}], ''), '')", f"coalesce(array_to_string(r.ds[{p} + 2:], ''), '')"
+            parts.append(f"{prefix}{k + 1} AS (SELECT w.* REPLACE (CASE WHEN r.ds IS NULL THEN h ELSE sha256({left} || h || {right}) END AS h, CASE WHEN r.ds IS NULL THEN proof ELSE proof || {left} || {right} END AS proof) FROM {prefix}{k} w LEFT JOIN {name}{k}r r ON {by} AND r.run = w.{at} // {8 ** (k + 1)})")
+        return f"{prefix}{high}"
+
+    low, high = heights
+    levels("a", low)
+    tops = " UNION ALL ".join(f"SELECT lang, digest FROM a{k} WHERE n = 1" for k in range(low + 1))
+    parts.append(f"subs AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM ({tops}))")
+    parts.append("b0 AS (SELECT 'top' AS lang, place AS idx, subroot AS digest, count(*) OVER () AS n FROM subs)")
+    levels("b", high)
+    parts.append("root AS (" + " UNION ALL ".join(f"SELECT digest AS root FROM b{k} WHERE n = 1" for k in range(high + 1)) + ")")
+    parts.append("w0 AS (SELECT a.doc_id, a.lang, a.idx, a.digest AS leaf, a.h, '' AS proof, s.subroot, s.place FROM a0 a JOIN subs s ON s.lang IS NOT DISTINCT FROM a.lang)")
+    last = climb("w", "a", low, "idx", "r.lang IS NOT DISTINCT FROM w.lang")
+    parts.append(f"v0 AS (SELECT * FROM {last})")
+    last = climb("v", "b", high, "place", "r.lang = 'top'")
+    return "WITH " + ", ".join(parts) + f" SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM {last}, root"

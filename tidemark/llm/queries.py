@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from public_tokenizers import PATTERN, path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import masked_lm, media, mixing, oracle, packing, permutation_ann, quality, simhash, substring_dedup, token_files, token_spans, toxicity
+from . import alignment, masked_lm, media, merkle, mixing, oracle, packing, permutation_ann, quality, simhash, substring_dedup, token_files, token_spans, toxicity
 from .common import new_folder, read
 from .sampling import fold
 
@@ -72,10 +73,26 @@ def op11_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    columns = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(fold("doc_id", 3) == 0, merkle.leaf(*columns, lowered))
+    manifest = merkle.build(docs, merkle.leaf(*columns, F.col("text")), carry={"tampered": tampered})
+    proofs = merkle.prove(manifest).withColumn("claimed", F.coalesce("tampered", "leaf")).withColumn("proof_sha256", F.sha2("proof", 256))
+    root = F.lit(manifest.root).cast("string")
+    folded = merkle.fold(proofs, manifest.n_scopes, "claimed", ["doc_id", "leaf", "subroot", "proof_sha256"])
+    return folded.select("doc_id", "leaf", "subroot", root.alias("root"), "proof_sha256", "folded_root", (F.col("folded_root") == root).alias("verified"))
+
+
+def op13_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_documents(read(spark, sf_dir, "documents"), path(RANKS), PATTERN, path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_crf, op2_substring_dedup, op3_permutation_ann, op4_simhash_near_dedup, op5_token_counts, op6_masked_lm, op7_media_columns, op8_toxicity_string_kernel, op9_bin_completion_packing, op10_pfair_mixing, op11_huffman_tokens)
+    every = (op1_quality_crf, op2_substring_dedup, op3_permutation_ann, op4_simhash_near_dedup, op5_token_counts, op6_masked_lm, op7_media_columns, op8_toxicity_string_kernel, op9_bin_completion_packing, op10_pfair_mixing, op11_huffman_tokens, op12_merkle_manifest, op13_lockstep_alignment)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": oracle.SUBSTRING, "op10_pfair_mixing": oracle.MIXING}
+    return {"op2_substring_dedup": oracle.SUBSTRING, "op10_pfair_mixing": oracle.MIXING, "op12_merkle_manifest": oracle.merkle()}
