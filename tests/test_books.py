@@ -76,17 +76,6 @@ def test_incremental_evidence_of_a_known_and_a_repeated_factor(spark):
     assert np.allclose(series["flip"]["incremental"], 0) and series["flip"]["raw"].mean() < 0 < series["flip"]["baseline"].mean()
 
 
-def test_tree_ranker_learns_only_from_the_past(spark):
-    panel, f = fixture(spark, 40, 6), folds.evaluator_folds(spark, 40, 24, 10, 1, 1)
-    changed = panel.withColumn("y", F.when(F.col("session_index") >= 28, 9.0).otherwise(F.col("y")))
-    fit = lambda p: models.tree_ranker_folds(p, f, ["x", "z"], "y", 1, trees=3).orderBy("session_index", "asset").toPandas()
-    got, other = fit(panel), fit(changed)
-    first = got["fold"] == 0
-    assert first.sum() == 60 and np.allclose(got[first]["prediction"], other[first]["prediction"])
-    assert np.corrcoef(got["prediction"], got["y"])[0, 1] > 0.5
-    assert models.tree_ranker_folds(panel, folds.evaluator_folds(spark, 10, 24, 10, 1, 1), ["x"], "y", 1).count() == 0
-
-
 def two_states(train=100):
     rng = np.random.default_rng(2)
     x = np.where(np.arange(120)[:, None] // 20 % 2, rng.normal(4, 0.5, (120, 2)), rng.normal(0, 1, (120, 2)))

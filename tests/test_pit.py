@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 from pyspark.sql import functions as F
-from tidemark.operators import pit, quality
+from tidemark.operators import pit, quality, sweep
 from tidemark.sources import tables as T
 
 
@@ -57,7 +57,7 @@ def feature(spark):
 def test_event_feature_clocks(feature, clock, days):
     sources, exposures, calendar = feature
     usable = pit.eligible_session(sources, calendar, clock)
-    got = pit.event_sum(usable, exposures, calendar, 30).collect()
+    got = sweep.event_sum(usable, exposures, calendar, 30).collect()
     assert {r["session"].day: r["value"] for r in got} == dict.fromkeys(days, 6.0)
 
 
@@ -65,16 +65,16 @@ def test_withdrawal_and_lag(spark, feature):
     sources, exposures, calendar = feature
     gone = sources.withColumn("value", F.lit(None).cast("double")).withColumn("published_at", F.col("published_at") + F.expr("INTERVAL 1 DAY"))
     both = pit.eligible_session(sources.unionByName(gone), calendar, "published_at")
-    assert {r["session"].day for r in pit.event_sum(both, exposures, calendar, 30).collect()} == {2}
+    assert {r["session"].day for r in sweep.event_sum(both, exposures, calendar, 30).collect()} == {2}
     lagged = pit.eligible_session(sources, calendar, "published_at", 2)
-    assert {r["session"].day for r in pit.event_sum(lagged, exposures, calendar, 30).collect()} == {5, 8}
+    assert {r["session"].day for r in sweep.event_sum(lagged, exposures, calendar, 30).collect()} == {5, 8}
 
 
 def test_zero_weight_ends_an_exposure(spark, feature):
     sources, exposures, calendar = feature
     ended = spark.createDataFrame([("A", "factory", datetime.date(2024, 1, 2), None, datetime.datetime(2024, 1, 4, 20), 0.0)], T.EXPOSURE)
     usable = pit.eligible_session(sources, calendar, "published_at")
-    got = pit.event_sum(usable, exposures.unionByName(ended), calendar, 30).collect()
+    got = sweep.event_sum(usable, exposures.unionByName(ended), calendar, 30).collect()
     assert {r["session"].day for r in got} == {2, 3}
 
 
@@ -133,28 +133,82 @@ def test_bar_checks(spark):
     assert {r["asset"] for r in quality.bad_bars(bars).collect()} == {"B", "C", "D"}
 
 
-def test_versions_at_moments_in_any_order(spark):
-    """Late, early and future-dated versions; clocks before and after the day; against every pair."""
+def random_history(spark, seed):
+    """Late, early and future-dated versions, revised and withdrawn events, decisions before and after their session's day."""
     import random
 
-    rng = random.Random(4)
+    rng = random.Random(seed)
     day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
     clock = lambda n: datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=n)
-    versions = {(rng.choice("ab"), rng.choice("XYZ"), day(rng.randrange(400)), clock(24 * rng.randrange(400) + rng.randrange(24))) for _ in range(150)}
-    versions = [(*v, float(i), None if i % 3 else day(rng.randrange(500))) for i, v in enumerate(sorted(versions))]
-    moments = [(m, rng.choice("abc"), day(rng.randrange(420)), clock(rng.randrange(24 * 420))) for m in range(80)]
-    want = {}
-    for m, k, d, c in moments:
-        for e in "XYZ":
-            seen = [(v[2], v[3], v[4], v[5]) for v in versions if v[:2] == (k, e) and v[2] <= d and v[3] <= c]
-            if seen:
-                want[m, e] = max(seen, key=lambda s: s[:2])[2:]
-    table = spark.createDataFrame(versions, "source_key string, asset string, valid_from date, known_at timestamp, weight double, valid_to date")
-    asked = spark.createDataFrame(moments, "m int, source_key string, d date, c timestamp")
-    got = pit.versions_at(table, asked.withColumn("twice", F.col("m") * 2), ["source_key"], "asset", "d", "c", ["weight", "valid_to"], ("twice",)).collect()
-    assert {(r["m"], r["asset"]): (r["weight"], r["valid_to"]) for r in got} == want and len(got) == len(want)
-    assert all(r["twice"] == 2 * r["m"] for r in got)
-    assert pit.versions_at(table.limit(0), asked, ["source_key"], "asset", "d", "c", ["weight"]).count() == 0
+    dates = sorted(rng.sample(range(300), 40))
+    calendar = [(day(n), clock(24 * n + rng.choice([-10, 2, 21]))) for n in dates]
+    versions = {(rng.choice("ab"), rng.choice("XYZ"), day(rng.randrange(-40, 300)), clock(rng.randrange(-900, 24 * 320))) for _ in range(160)}
+    versions = [(a, k, f, None if i % 3 else f + datetime.timedelta(rng.randrange(90)), t, rng.choice([0.0, 0.5, 1.0, -2.0])) for i, (k, a, f, t) in enumerate(sorted(versions))]
+    events = []
+    for i in range(90):
+        k, o, o_day = rng.choice("ab"), f"e{i % 40}", day((i % 40) * 7 + (i % 3))
+        events.append((k, o + k, day((i % 40) * 7), rng.choice([None, float(i + 1), float(-i)]), clock(24 * ((i % 40) * 7) + rng.randrange(24 * 60)), clock(0)))
+        events[-1] = (*events[-1][:5], events[-1][4] + datetime.timedelta(hours=rng.randrange(50)))
+    events = list({(e[0], e[1], e[4]): e for e in events}.values())
+    frame = lambda r, s: spark.createDataFrame(r, s)
+    cal = pit.number_sessions(frame(calendar, "session date, decision_at timestamp"))
+    sources = frame(events, "source_key string, observation_id string, observed_on date, value double, published_at timestamp, extracted_at timestamp")
+    return calendar, versions, events, cal, sources, frame(versions, T.EXPOSURE)
+
+
+def every_pair(calendar, versions, events, most):
+    """session, asset, source, day, weight, [(id, value)] by trying everything."""
+    out = {}
+    for session, decision in calendar:
+        latest = {}
+        for k, o, day, value, published, extracted in events:
+            first = next((d for d, c in calendar if c >= extracted), None)
+            if first is not None and first <= session and ((k, o) not in latest or latest[k, o][0] < published):
+                latest[k, o] = (published, day, value)
+        for (k, o), (_, day, value) in latest.items():
+            if value is None or not 0 <= (session - day).days <= most:
+                continue
+            for asset in "XYZ":
+                seen = [v for v in versions if v[0] == asset and v[1] == k and v[2] <= day and v[4] <= decision]
+                if seen:
+                    best = max(seen, key=lambda v: (v[2], v[4]))
+                    if best[5] != 0 and (best[3] is None or day <= best[3]):
+                        out.setdefault((session, asset, k, day, best[5]), []).append((o, value))
+    return out
+
+
+@pytest.mark.parametrize("seed, half_life, span", [(1, None, 200), (2, 30.0, 200), (3, 4.0, 3)])
+def test_sweep_equals_every_pair(spark, monkeypatch, seed, half_life, span):
+    """The sums and what they are made of; a short span spreads one session's events over several running sums."""
+    monkeypatch.setattr(sweep, "SPAN", span)
+    calendar, versions, events, cal, sources, exposures = random_history(spark, seed)
+    # a session's decision must not come before the one before
+    calendar = [(s, max(c for _, c in calendar[: i + 1])) for i, (s, c) in enumerate(calendar)]
+    cal = pit.number_sessions(spark.createDataFrame(calendar, "session date, decision_at timestamp"))
+    usable = pit.eligible_session(sources, cal, "extracted_at")
+    want = every_pair(calendar, versions, events, 45)
+    parts = sweep.contributions(usable, exposures, cal, 45).collect()
+    got = {}
+    for r in parts:
+        got.setdefault((r["session"], r["asset"], r["source_key"], r["observed_on"], r["weight"]), []).extend(r["observation_ids"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(o for o, _ in v) for k, v in want.items()} and len(want) > 50
+    sums = {}
+    for (session, asset, _, day, weight), found in want.items():
+        total = sums.setdefault((session, asset), [0.0, 0])
+        scale = 1.0 if half_life is None else 2.0 ** (-(session - day).days / half_life)
+        total[0] += sum(v for _, v in found) * weight * scale
+        total[1] += len(found)
+    got = {(r["session"], r["asset"]): (r["value"], r["n_events"]) for r in sweep.event_sum(usable, exposures, cal, 45, half_life).collect()}
+    assert got.keys() == sums.keys()
+    assert all(abs(got[k][0] - sums[k][0]) < 1e-9 * (1 + abs(sums[k][0])) and got[k][1] == sums[k][1] for k in sums)
+
+
+def test_sweep_of_nothing(spark, feature):
+    sources, exposures, calendar = feature
+    usable = pit.eligible_session(sources, calendar, "published_at")
+    assert sweep.event_sum(usable.limit(0), exposures, calendar, 30, 10.0).count() == 0
+    assert sweep.event_sum(usable, exposures.limit(0), calendar, 30, 10.0).count() == 0
+    assert sweep.contributions(usable, exposures, calendar.limit(0), 30).count() == 0
 
 
 def test_versions_by_session_and_revisions_against_every_pair(spark):

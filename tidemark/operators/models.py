@@ -7,8 +7,6 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,31 +142,6 @@ def elastic_net(rows: DataFrame, folds: DataFrame, features: list[str], target:
     return fold_totals(rows, folds, features, target, embargo).groupBy("fold").applyInPandas(solve, "fold int, n long, intercept double, coefficients array<double>")
 
 
-def tree_ranker(train: DataFrame, features: list[str], target: str, depth: int = 3, trees: int = 10, seed: int = 7):
-    """Boosted trees on the rank target, an approximation of a pairwise tree ranker."""
-    ready = VectorAssembler(inputCols=features, outputCol="features").transform(train)
-    return GBTRegressor(featuresCol="features", labelCol=target, maxDepth=depth, maxIter=trees, seed=seed).fit(ready)
-
-
-def tree_ranker_folds(rows: DataFrame, folds: DataFrame, features: list[str], target: str, embargo: int, **options) -> DataFrame:
-    """Each fold's test rows with the ``prediction`` of a tree ranker fitted on its purged training rows.
-
-    Folds are few and each fit is a distributed job of its own; folds without training rows
-    give none. ``rows`` has session_index and label_end and is best a stored table.
-    """
-    known = rows.where(" and ".join(f"`{c}` is not null" for c in features))
-    out = None
-    for fold, start, end in sorted(tuple(r) for r in folds.select("fold", "test_start", "test_end").collect()):
-        train = known.where(F.col(target).isNotNull() & (F.col("session_index") < start) & (F.col("label_end") < start - embargo))
-        if train.isEmpty():
-            continue
-        model = tree_ranker(train, features, target, **options)
-        test = known.where(F.col("session_index").between(start, end)).withColumn("fold", F.lit(fold))
-        scored = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(test)).drop("features")
-        out = scored if out is None else out.unionByName(scored)
-    return known.limit(0).withColumn("fold", F.lit(0)).withColumn("prediction", F.lit(0.0)) if out is None else out
-
-
 def _fit_mixture(x: np.ndarray, states: int, rounds: int = 200, floor: float = 1e-4, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, means and variances of a diagonal Gaussian mixture by EM from quantile buckets of the first column."""
     bucket = np.minimum(np.argsort(np.argsort(x[:, 0], kind="stable")) * states // len(x), states - 1)

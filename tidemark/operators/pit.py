@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import age_days, decay
+from tidemark.functions.columns import age_days
 
 
 def newest(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:
@@ -33,47 +33,6 @@ def months(at: Column) -> Column:
     return F.year(at) * 12 + F.month(at)
 
 
-def versions_at(versions: DataFrame, moments: DataFrame, keys: list[str], entity: str, day: str, clock: str, payload: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
-    """For every moment and entity the latest version with valid_from <= day and known_at <= clock.
-
-    Latest is by (valid_from, known_at), and one entity's versions must not repeat both.
-    ``moments`` has ``keys`` (shared with ``versions``), the day, the clock and others; of
-    these ``carry`` follow from the rest.
-
-    Time is cut into months. A version whose two dates both lie before a month may win there
-    only if it is the latest of its kind, so one carried row per month stands for all of them;
-    besides, a version appears in each month from the earlier to the later of its dates. So a
-    moment meets a carried row and the versions in motion around it, not a key's whole history,
-    and the joins are on (keys, month).
-    """
-    known = F.col("known_at").cast("timestamp")
-    place = F.unix_date("valid_from").cast("decimal(10,0)") * F.lit(10**18).cast("decimal(19,0)") + F.unix_micros(known).cast("decimal(19,0)")
-    rows = versions.select(*keys, entity, "valid_from", known.alias("known_at"), *payload, place.alias("__place"))
-    rows = rows.where("valid_from is not null and known_at is not null")
-    rows = rows.withColumn("__lo", F.least(months(F.col("valid_from")), months(F.col("known_at")))).withColumn("__hi", F.greatest(months(F.col("valid_from")), months(F.col("known_at"))))
-
-    at = F.least(F.col(day), F.col(clock).cast("date"))
-    wanted = moments.dropDuplicates([c for c in moments.columns if c not in carry]).withColumn("__month", months(at))
-    busy = wanted.select(*keys, "__month").distinct()
-    last = wanted.groupBy(*keys).agg(F.max("__month").alias("__end"))
-
-    moving = rows.withColumn("__month", F.explode(F.sequence("__lo", "__hi")))
-    settled = rows.groupBy(*keys, entity, (F.col("__hi") + 1).alias("__from")).agg(F.max(F.struct("__place", "valid_from", "known_at", *payload)).alias("__v"))
-    order = Window.partitionBy(*keys, entity).orderBy("__from")
-    best = F.max("__v").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    settled = settled.select(*keys, entity, "__from", F.lead("__from").over(order).alias("__next"), best.alias("__v"))
-    settled = settled.join(last, keys)
-    until = F.least(F.coalesce(F.col("__next") - 1, F.col("__end")), F.col("__end"))
-    carried = settled.where(F.col("__from") <= until).withColumn("__month", F.explode(F.sequence("__from", until))).select(*keys, entity, "__month", "__v.*")
-    candidates = moving.select(*carried.columns).unionByName(carried).join(busy, [*keys, "__month"], "left_semi")
-    # spread by entity before the rows multiply; the grouping below keeps this distribution
-    candidates = candidates.repartition(*keys, "__month", entity)
-
-    seen = wanted.join(candidates, [*keys, "__month"]).where((F.col("valid_from") <= F.col(day)) & (F.col("known_at") <= F.col(clock).cast("timestamp")))
-    found = seen.groupBy(*[c for c in wanted.columns if c not in carry], entity)
-    return found.agg(*[F.max_by(c, "__place").alias(c) for c in payload], *[F.first(c).alias(c) for c in carry]).drop("__month")
-
-
 def versions_by_session(versions: DataFrame, calendar: DataFrame, keys: list[str], payload: list[str], ends: str) -> DataFrame:
     """Per session and key the latest version in force at its decision: keys, session, session_index, payload.
 
@@ -125,20 +84,8 @@ def known_values(observations: DataFrame, members: DataFrame, decisions: DataFra
     return observations.join(inside, "asset").where("session <= decision_date and available_at <= decision_time")
 
 
-def exposures_at(exposures: DataFrame, moments: DataFrame, keys: list[str], day: str, clock: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Exposure versions in force for each moment: latest by (valid_from, available_at); zero and ended ones go.
-
-    ``moments`` carries ``keys`` (at least source_key), the effective day and the clock. Keys
-    of one exposure version (with both dates) must not repeat. Columns to ``carry`` follow from
-    the others.
-    """
-    wanted = moments.select(*dict.fromkeys([*keys, day, clock, *carry]))
-    chosen = versions_at(exposures.withColumnRenamed("available_at", "known_at"), wanted, ["source_key"], "asset", day, clock, ["weight", "valid_to"], carry)
-    return chosen.where((F.col("weight") != 0) & (F.col("valid_to").isNull() | (F.col(day) <= F.col("valid_to"))))
-
-
 def exposures_by_session(exposures: DataFrame, calendar: DataFrame) -> DataFrame:
-    """exposures_at for every session's own day and decision."""
+    """Per session, source and asset the exposure in force on its day and known at its decision; zero and ended ones go."""
     known = exposures.withColumnRenamed("available_at", "known_at")
     return versions_by_session(known, calendar, ["source_key", "asset"], ["weight", "valid_to"], "valid_to").where("weight <> 0")
 
@@ -182,13 +129,12 @@ def clock_of(mode: str) -> Column:
     return F.when(F.lit(mode) == "as_run", F.col("extracted_at")).otherwise(F.col("published_at"))
 
 
-def latest_revisions(sources: DataFrame, calendar: DataFrame, max_age_days: int | None = None) -> DataFrame:
-    """Per session and observation the latest eligible revision; a withdrawn one (NULL value) suppresses it.
+def revision_runs(sources: DataFrame, calendar: DataFrame, max_age_days: int | None = None) -> DataFrame:
+    """Sessions __from to __until in which each real revision is its observation's latest; a withdrawn one (NULL value) ends the one before.
 
     ``sources`` has source_key, observation_id, eligible_index, published_at, value and
     columns that follow them. A revision rules from its session to the one before a later
-    published one becomes eligible, so each becomes an interval of sessions and meets only
-    those. With ``max_age_days`` the interval also ends that long after observed_on (which no
+    published one becomes eligible. With ``max_age_days`` it also ends that long after observed_on (which no
     revision changes).
     """
     keys = ["source_key", "observation_id"]
@@ -198,7 +144,7 @@ def latest_revisions(sources: DataFrame, calendar: DataFrame, max_age_days: int
     order = Window.partitionBy(*keys).orderBy("eligible_index")
     ruling = F.max("__v").over(order.rowsBetween(Window.unboundedPreceding, 0))
     runs = starts.select(*keys, "eligible_index", F.lead("eligible_index").over(order).alias("__next"), ruling.alias("__v"))
-    sessions = calendar.select("session", "session_index", "decision_at")
+    sessions = calendar.select("session", "session_index")
     ends = sessions.agg(F.max("session_index").alias("__sessions"))
     runs = runs.select(*keys, F.col("eligible_index").alias("__from"), "__next", "__v.*").where("value is not null").join(F.broadcast(ends))
     until = F.coalesce(F.col("__next") - 1, F.col("__sessions"))
@@ -207,8 +153,14 @@ def latest_revisions(sources: DataFrame, calendar: DataFrame, max_age_days: int
         aged = runs.withColumn("__day", F.date_add("observed_on", max_age_days)).join(F.broadcast(sessions.agg(F.max("session").alias("__final"))))
         runs = aged.withColumn("__day", F.least("__day", "__final")).join(by_day, "__day").drop("__day", "__final")
         until = F.least(until, F.col("__index"))
-    live = runs.where(F.col("__from") <= until).withColumn("session_index", F.explode(F.sequence("__from", until)))
-    return live.join(F.broadcast(sessions), "session_index").drop("__from", "__next", "__sessions", "__real", "__index")
+    return runs.withColumn("__until", until).where("__from <= __until").drop("__next", "__sessions", "__real", "__index")
+
+
+def latest_revisions(sources: DataFrame, calendar: DataFrame, max_age_days: int | None = None) -> DataFrame:
+    """Per session and observation the latest eligible revision: ``revision_runs`` spread over their sessions."""
+    sessions = calendar.select("session", "session_index", "decision_at")
+    live = revision_runs(sources, calendar, max_age_days).withColumn("session_index", F.explode(F.sequence("__from", "__until")))
+    return live.join(F.broadcast(sessions), "session_index").drop("__from", "__until")
 
 
 def last_sessions(sessions: DataFrame) -> DataFrame:
@@ -224,26 +176,6 @@ def active(sources: DataFrame, max_age_days: int) -> DataFrame:
     return sources.withColumn("age", age_days(F.col("session"), F.col("observed_on"))).where(F.col("age").between(0, max_age_days))
 
 
-def event_sum(sources: DataFrame, exposures: DataFrame, calendar: DataFrame, max_age_days: int, half_life_days: float | None = None) -> DataFrame:
-    """Sum over active events of value x exposure on the observed day x decay, per session and asset."""
-    live = active(latest_revisions(sources, calendar, max_age_days), max_age_days)
-    # events of one source and day share their exposures and their age, so they are summed before they are mapped
-    part = F.sum(F.col("value") * decay(F.col("age"), half_life_days))
-    daily = live.groupBy("session", "decision_at", "source_key", "observed_on").agg(part.alias("value"), F.count("*").alias("n"))
-    mapped = exposures_at(exposures, daily, ["session", "source_key", "observed_on"], "observed_on", "decision_at", ("value", "n"))
-    return mapped.groupBy("session", "asset").agg(F.sum(F.col("value") * F.col("weight")).alias("value"), F.sum("n").alias("n_events"))
-
-
-def mapped_events(live: DataFrame, exposures: DataFrame) -> DataFrame:
-    """Active events with the exposures in force on their observed day, known at the decision.
-
-    Versions are resolved once per (session, source, observed day), not per event.
-    """
-    keys = ["session", "source_key", "observed_on"]
-    versions = exposures_at(exposures, live, keys, "observed_on", "decision_at").select(*keys, "asset", "weight")
-    return live.join(versions, keys)
-
-
 def latest_proxy(sources: DataFrame, exposures: DataFrame, calendar: DataFrame, max_age_days: int) -> DataFrame:
     """Newest period of every source, mapped by the session's exposures; all mapped sources must be active."""
     newest_period = newest(latest_revisions(sources, calendar, max_age_days), ["session_index", "source_key"], F.desc("observed_on"), F.desc("observation_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as X
 from tidemark.functions import factors as E
-from tidemark.operators import folds, models, pit, stats
+from tidemark.operators import folds, models, pit, ranker, stats
 
 from . import adapters as A
 from .registry import query
@@ -480,7 +480,7 @@ def h2(spark, d):
 @query("h3_tree_ranker")
 def h3(spark, d):
     p = targets(spark, d).select("asset", "session_index", "label_end", "factor", "v", "target")
-    return models.tree_ranker_folds(p, the_folds(spark, d), [*BASELINE, "factor"], "target", 1).select("fold", "asset", "session_index", "prediction")
+    return ranker.rank_folds(p, the_folds(spark, d), [*BASELINE, "factor"], "target", 1, ranker.Settings(trees=30, rate=0.1)).select("fold", "asset", "session_index", "prediction")
 
 
 def known_market(spark, d):

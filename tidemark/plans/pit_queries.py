@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as X
-from tidemark.operators import pit, quality
+from tidemark.operators import pit, quality, sweep
 from tidemark.sources import tables as T
 
 from . import adapters as A
@@ -479,7 +479,8 @@ EVENT = A.with_sql("src", "cal", "expo") + ", " + ELIG + ", live AS (SELECT *, d
 
 @query("c9_event_sum", EVENT + " SELECT CAST(session AS VARCHAR) AS session, asset, round(sum(value * weight * pow(2.0, -age / 60.0)), 6) + 0.0 AS value, count(*) AS n_events FROM mapped GROUP BY 1, 2")
 def c9(spark, d):
-    return pit.event_sum(small_sources(spark, d), A.exposures(spark, d), A.calendar(spark, d), 95, 60.0)
+    cal = A.calendar(spark, d)
+    return sweep.event_sum(pit.eligible_session(A.sources(spark, d), cal, "extracted_at"), A.exposures(spark, d), cal, 95, 60.0)
 
 
 @query("c10_latest_proxy", A.with_sql("src", "cal", "expo") + ", " + ELIG + ", per AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_index, source_key ORDER BY observed_on DESC, observation_id DESC) AS q FROM rev) WHERE q = 1), live AS (SELECT * FROM per WHERE date_diff('day', observed_on, session) BETWEEN 0 AND 40), m AS (SELECT session, decision_at, source_key FROM cal, (SELECT DISTINCT source_key FROM expo)), x AS (SELECT m.session, m.source_key, e.asset, e.weight, e.valid_to, row_number() OVER (PARTITION BY m.session, m.source_key, asset ORDER BY valid_from DESC, available_at DESC, weight DESC) AS k FROM " + EXPO_AT.format(moments="m", day="session", clock="decision_at") + "), cur AS (SELECT * FROM x WHERE k = 1 AND weight <> 0 AND (valid_to IS NULL OR session <= valid_to)) SELECT CAST(c.session AS VARCHAR) AS session, asset, round(sum(l.value * c.weight), 6) + 0.0 AS value, count(l.value) AS n_actual, count(*) AS n_expected FROM cur c LEFT JOIN live l ON l.session = c.session AND l.source_key = c.source_key GROUP BY 1, 2 HAVING count(l.value) = count(*)")
@@ -495,10 +496,10 @@ def c11(spark, d):
 
 @query("c12_contribution_lineage", EVENT + " SELECT CAST(session AS VARCHAR) AS session, asset, sha256(string_agg(source_key || ':' || observation_id, ',' ORDER BY source_key || ':' || observation_id)) AS lineage FROM mapped GROUP BY 1, 2")
 def c12(spark, d):
-    live = pit.active(pit.latest_revisions(small_sources(spark, d), A.calendar(spark, d), 95), 95)
-    mapped = pit.mapped_events(live, A.exposures(spark, d))
-    parts = F.array_sort(F.collect_list(F.concat_ws(":", "source_key", "observation_id")))
-    return mapped.groupBy("session", "asset").agg(F.sha2(F.array_join(parts, ","), 256).alias("lineage"))
+    cal = A.calendar(spark, d)
+    found = sweep.contributions(pit.eligible_session(A.sources(spark, d), cal, "extracted_at"), A.exposures(spark, d), cal, 95)
+    ids = F.transform("observation_ids", lambda i: F.concat_ws(":", "source_key", i))
+    return found.groupBy("session", "asset").agg(F.sha2(F.array_join(F.array_sort(F.flatten(F.collect_list(ids))), ","), 256).alias("lineage"))
 
 
 @query("c13_exposure_expansion", A.with_sql("expo", "src") + ", dec AS (SELECT DATE '1998-06-15' AS dd, TIMESTAMP '1998-06-15 12:00:00' AS dt), v AS (SELECT e.* FROM expo e, dec WHERE valid_from <= dd AND (valid_to IS NULL OR dd <= valid_to) AND available_at <= dt AND asset IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) SELECT v.asset, count(*) AS n, round(sum(s.value * v.weight), 4) + 0.0 AS total, CAST(max(greatest(s.published_at, v.available_at)) AS VARCHAR) AS known_at FROM src s JOIN v USING (source_key), dec WHERE s.published_at <= dt AND s.value IS NOT NULL GROUP BY 1")
