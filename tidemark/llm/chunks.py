@@ -99,9 +99,16 @@ def cut(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
 
 def take_runs(off: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the runs off[w]:off[w+1] for every w of ``which``, one after another, and the offsets of the result."""
-    size = np.diff(off)[which]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    return np.arange(ends[-1]) + np.repeat(off[which] - ends[:-1], size), ends
+    return spread_runs(off[which], np.diff(off)[which])
+
+
+def spread_runs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions start, start+1, .. of every run of ``size``, one run after another, and the runs' offsets in them."""
+    ends = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=ends[1:])
+    at = np.arange(ends[-1])
+    at += np.repeat(start - ends[:-1], size)
+    return at, ends
 
 
 class Cache:
@@ -110,18 +117,22 @@ class Cache:
     def __init__(self, encode: Callable[[list[str]], list[Sequence[int]]], kind: str = "<u4", most: int = 1 << 20):
         self.encode, self.kind, self.most, self.known = encode, np.dtype(kind), most, {}
 
-    def rows(self, chunks: pa.DictionaryArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a batch, and per row the index of its first one."""
-        known, pack = self.known, struct.Struct
-        texts = chunks.dictionary.to_pylist()
+    def flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the chunks, and the chunks' offsets in them."""
+        known, pack, mark = self.known, struct.Struct, self.kind.char
         new = [c for c in texts if c not in known]
-        mark = self.kind.char
         for lo in range(0, len(new), 1 << 14):
             part = new[lo : lo + (1 << 14)]
             known.update(zip(part, [pack(f"<{len(ids)}{mark}").pack(*ids) for ids in self.encode(part)], strict=True))
         found = [known[c] for c in texts]
         if len(known) > self.most:
             known.clear()
-        off = np.concatenate([[0], np.cumsum([len(f) for f in found], dtype=np.int64)]) // self.kind.itemsize
-        at, ends = take_runs(off, chunks.indices.to_numpy(zero_copy_only=False).astype(np.int64))
-        return np.frombuffer(b"".join(found), self.kind)[at], ends[rows]
+        off = np.zeros(len(found) + 1, np.int64)
+        np.cumsum([len(f) for f in found], out=off[1:])
+        return np.frombuffer(b"".join(found), self.kind), off // self.kind.itemsize
+
+    def rows(self, chunks: pa.DictionaryArray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a batch, and per row the index of its first one."""
+        flat, off = self.flat(chunks.dictionary.to_pylist())
+        at, ends = take_runs(off, chunks.indices.to_numpy(zero_copy_only=False))
+        return flat[at], ends[rows]
