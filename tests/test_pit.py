@@ -244,3 +244,50 @@ def test_versions_by_session_and_revisions_against_every_pair(spark):
                     want[i, o] = max(seen, key=lambda r: r[3])[4]
         got = pit.latest_revisions(table, calendar, most).collect()
         assert {(r["session_index"], r["observation_id"]): r["value"] for r in got} == want and len(got) == len(want)
+
+
+def test_bars_meet_their_session(spark):
+    """Sessions over midnight, over several days, nested and back to back, against a search."""
+    import random
+
+    rng = random.Random(3)
+    clock = lambda n: datetime.datetime(2020, 1, 1) + datetime.timedelta(minutes=n)
+    sessions = [("X", n, clock(s), clock(s + rng.choice([300, 600, 1500, 4000]))) for n, s in enumerate(sorted(rng.sample(range(0, 20000, 10), 40)))] + [("Y", 99, clock(1400), clock(1500))]
+    bars = [("Y" if i % 9 == 0 else "X", f"a{i}", clock(o), clock(o + 30)) for i, o in enumerate(rng.choices(range(-500, 26000), k=400))] + [("Z", "none", clock(5), clock(6)), ("X", "null", None, None)]
+    got = pit.bars_in_sessions(spark.createDataFrame(bars, "exchange string, asset string, open_at timestamp, end_at timestamp"), spark.createDataFrame(sessions, "exchange string, session int, open_at timestamp, close_at timestamp")).collect()
+    want = {}
+    for x, a, o, e in bars:
+        last = max((s for s in sessions if s[0] == x and o is not None and s[2] <= o), key=lambda s: s[2], default=None)
+        want[a] = last[1] if last and e <= last[3] else None
+    assert {r["asset"]: r["session"] for r in got} == want and len(got) == len(bars)
+    assert sum(v is not None for v in want.values()) > 100
+
+
+def test_mapping_at_many_decisions(spark):
+    """Rows and totals at every decision against a double loop."""
+    import random
+
+    rng = random.Random(6)
+    day = lambda n: datetime.date(2020, 1, 1) + datetime.timedelta(n)
+    clock = lambda n: datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=n)
+    decisions = [(day(n), clock(24 * n + 12)) for n in (0, 7, 8, 30, 55, 90)]
+    exposures = [(rng.choice("ABC"), rng.choice("st"), day(rng.randrange(-5, 95)), None if i % 3 else day(rng.randrange(100)), clock(rng.randrange(-100, 24 * 95)), rng.choice([0.5, -1.0, 2.0])) for i in range(40)]
+    observations = [(rng.choice("stu"), i, None if i % 11 == 0 else float(i), clock(rng.randrange(-100, 24 * 95))) for i in range(50)]
+    members, rows, totals = ["A", "B"], [], {}
+    for dd, dt in decisions:
+        for a, k, f, t, m, w in exposures:
+            if a in members and f <= dd and (t is None or dd <= t) and m <= dt:
+                for s, i, v, p in observations:
+                    if s == k and p <= dt:
+                        rows.append((dd, a, i, None if v is None else v * w, max(p, m)))
+                        if v is not None:
+                            n, total, last = totals.get((dd, a), (0, 0.0, p))
+                            totals[dd, a] = (n + 1, total + v * w, max(last, p, m))
+    e = spark.createDataFrame(exposures, T.EXPOSURE)
+    o = spark.createDataFrame(observations, "source_key string, observation_id int, value double, published_at timestamp")
+    m, d = spark.createDataFrame([(x,) for x in members + ["A"]], "asset string"), spark.createDataFrame(decisions, "decision_date date, decision_time timestamp")
+    key = lambda r: tuple(map(str, r))
+    got = [tuple(r) for r in pit.expand_exposures(o, e, m, d).select("decision_date", "asset", "observation_id", "asset_value", "known_at").collect()]
+    assert sorted(got, key=key) == sorted(rows, key=key) and len(rows) > 100
+    got = {(r["decision_date"], r["asset"]): (r["n"], r["total"], r["known_at"]) for r in pit.mapped_totals(o, e, m, d).collect()}
+    assert got.keys() == totals.keys() and all(got[k][0] == totals[k][0] and abs(got[k][1] - totals[k][1]) < 1e-9 and got[k][2] == totals[k][2] for k in got)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,14 +187,73 @@ def latest_proxy(sources: DataFrame, exposures: DataFrame, calendar: DataFrame,
     return joined.groupBy("session", "asset").agg(F.sum(F.col("value") * F.col("weight")).alias("value"), F.count("value").alias("n_actual"), F.count("*").alias("n_expected")).where("n_actual = n_expected")
 
 
+def decision_runs(exposures: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Exposures with the decisions (numbers __first to __last) at which they are valid and known.
+
+    ``decisions`` (decision_date, decision_time) is numbered by ``number_decisions``: dates and times rise together.
+    """
+    known = first_session(exposures.where("valid_from is not null and available_at is not null"), decisions, "decision_time", "available_at", "__by_clock")
+    known = first_session(known, decisions, "decision_date", "valid_from", "__by_day")
+    # the day after its last is past every decision for an exposure that never ends
+    ends = known.withColumn("__after", F.coalesce(F.date_add("valid_to", 1), F.lit(datetime.date(9999, 12, 31))))
+    ends = first_session(ends, decisions, "decision_date", "__after", "__end")
+    out = ends.withColumn("__first", F.greatest("__by_clock", "__by_day")).withColumn("__last", F.col("__end") - 1)
+    return out.where("__first <= __last").drop("__by_clock", "__by_day", "__after", "__end")
+
+
+def number_decisions(decisions: DataFrame) -> DataFrame:
+    """Decisions with ``decision`` from 1 in time; a few rows by nature."""
+    return decisions.withColumn("decision", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("decision_time", "decision_date")))
+
+
 def expand_exposures(observations: DataFrame, exposures: DataFrame, members: DataFrame, decisions: DataFrame) -> DataFrame:
-    """External observations mapped to assets at each decision: value x weight, known when both sides are."""
-    valid = exposures.join(F.broadcast(decisions)).where("valid_from <= decision_date and (valid_to is null or decision_date <= valid_to) and available_at <= decision_time")
-    valid = valid.join(members.select("asset").distinct(), "asset", "left_semi").withColumnRenamed("available_at", "mapped_at")
-    out = observations.join(valid, "source_key").where("published_at <= decision_time")
+    """External observations mapped to assets at each of many decisions: value x weight, known when both sides are.
+
+    Both sides become intervals of decisions and meet by source_key once; a pair is then spread over the decisions it
+    serves, so rows are those of the result.
+    """
+    numbered = number_decisions(decisions)
+    valid = decision_runs(exposures.join(members.select("asset").distinct(), "asset", "left_semi"), numbered).withColumnRenamed("available_at", "mapped_at")
+    seen = first_session(observations, numbered, "decision_time", "published_at", "__seen")
+    pairs = seen.join(valid, "source_key").withColumn("__first", F.greatest("__first", "__seen")).where("__first <= __last")
+    out = pairs.withColumn("decision", F.explode(F.sequence("__first", "__last"))).drop("__first", "__last", "__seen").join(F.broadcast(numbered), "decision")
     return out.withColumn("asset_value", F.col("value") * F.col("weight")).withColumn("known_at", F.greatest("published_at", "mapped_at"))
 
 
+def mapped_totals(observations: DataFrame, exposures: DataFrame, members: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Per decision and asset what ``expand_exposures`` adds up to: n, total (of asset_value) and the last known_at.
+
+    Either side is added up before they meet. Observations are carried along each source's decisions, exposures along
+    those of each (source, asset): counts and weights as running sums of differences, the last mapping clock as a running
+    maximum of exposures that never end beside that of the others, decision by decision. The two carries meet by (decision, source).
+    """
+    numbered = number_decisions(decisions)
+    final = F.broadcast(numbered.agg(F.max("decision").alias("__final")))
+    spread = lambda df: df.join(final).withColumn("decision", F.explode(F.sequence("at", F.least(F.coalesce(F.col("next") - 1, "__final"), "__final")))).drop("at", "next", "__final")
+
+    seen = first_session(observations.where("value is not null"), numbered, "decision_time", "published_at", "at").join(final).where("at <= __final").drop("__final")
+    seen = seen.groupBy("source_key", "at").agg(F.count("*").alias("n"), F.sum("value").alias("v"), F.max("published_at").alias("p"))
+    order = Window.partitionBy("source_key").orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    carried = spread(seen.select("source_key", "at", F.lead("at").over(order).alias("next"), F.sum("n").over(upto).alias("n"), F.sum("v").over(upto).alias("v"), F.max("p").over(upto).alias("published_at")))
+
+    keys = ["source_key", "asset"]
+    valid = decision_runs(exposures.join(members.select("asset").distinct(), "asset", "left_semi"), numbered).where("weight is not null").join(final)
+    endless = F.when(F.col("__last") == F.col("__final"), F.col("available_at"))
+    edge = lambda at, sign, clock: F.struct(at.alias("at"), F.lit(sign).alias("n"), (sign * F.col("weight")).alias("w"), clock.alias("m"))
+    steps = valid.select(*keys, F.explode(F.array(edge(F.col("__first"), 1, endless), edge(F.col("__last") + 1, -1, F.lit(None).cast(valid.schema["available_at"].dataType)))).alias("e"), "__final").where("e.at <= __final")
+    steps = steps.groupBy(*keys, "e.at").agg(F.sum("e.n").alias("n"), F.sum("e.w").alias("w"), F.max("e.m").alias("m"))
+    order = Window.partitionBy(*keys).orderBy("at")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    weights = spread(steps.select(*keys, "at", F.lead("at").over(order).alias("next"), F.sum("n").over(upto).alias("links"), F.sum("w").over(upto).alias("weight"), F.max("m").over(upto).alias("m")).where("links > 0"))
+    ended = valid.where("__last < __final").select(*keys, "available_at", F.explode(F.sequence("__first", "__last")).alias("decision")).groupBy(*keys, "decision").agg(F.max("available_at").alias("ended"))
+    weights = weights.join(ended, [*keys, "decision"], "left")
+
+    both = weights.join(carried, ["source_key", "decision"])
+    totals = both.groupBy("decision", "asset").agg(F.sum(F.col("n") * F.col("links")).alias("n"), F.sum(F.col("v") * F.col("weight")).alias("total"), F.max(F.greatest("published_at", "m", "ended")).alias("known_at"))
+    return totals.join(F.broadcast(numbered), "decision")
+
+
 def derived_feature(rows: DataFrame, formula: Column, lag_days: int) -> DataFrame:
     """A row-level feature over a map of named values, usable ``lag_days`` after publication."""
     return rows.withColumn("feature_value", formula).withColumn("usable_at", F.col("published_at") + F.make_dt_interval(F.lit(lag_days)))
@@ -246,14 +307,17 @@ def next_session(calendar: DataFrame, *columns: str) -> DataFrame:
 def bars_in_sessions(bars: DataFrame, calendar: DataFrame) -> DataFrame:
     """Each bar's session: the last that opened by the bar's open and closes after its end; else NULL.
 
-    Union of both sides and a running maximum per exchange replaces a range join.
+    Sessions rule from their open to the next one's, and are listed under every day on which one of their bars
+    can open; a bar meets those of its own day by an equality, of which at most one rules. Only the calendar (a row a
+    session) is ordered per exchange; bars are never, and do not move where the calendar is small enough to be sent to them.
     """
-    opens = calendar.select("exchange", F.col("open_at").alias("at"), F.struct(F.col("open_at"), F.col("close_at"), F.col("session")).alias("s"), F.lit(0).alias("kind"))
-    marks = bars.withColumn("__bar", F.struct(*bars.columns)).select("exchange", F.col("open_at").alias("at"), F.lit(None).cast(opens.schema["s"].dataType).alias("s"), F.lit(1).alias("kind"), "__bar")
-    both = marks.unionByName(opens, allowMissingColumns=True)
-    last = F.last("s", ignorenulls=True).over(Window.partitionBy("exchange").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("s", last).where("kind = 1")
-    return found.select("__bar.*", F.when(F.col("__bar.end_at") <= F.col("s.close_at"), F.col("s.session")).alias("session"))
+    ruling = next_session(calendar, "open_at").withColumn("__stop", F.least(F.coalesce("next_open_at", "close_at"), "close_at"))
+    days = F.explode(F.sequence(F.to_date("open_at"), F.to_date("__stop")))
+    index = ruling.where("open_at < __stop").select("exchange", F.col("open_at").alias("__open"), F.col("__stop"), F.col("close_at").alias("__close"), F.col("session").alias("__session"), days.alias("__day"))
+    b, s = bars.withColumn("__day", F.to_date("open_at")).alias("b"), index.alias("s")
+    on = (F.col("b.exchange") == F.col("s.exchange")) & (F.col("b.__day") == F.col("s.__day")) & (F.col("b.open_at") >= F.col("s.__open")) & (F.col("b.open_at") < F.col("s.__stop"))
+    found = b.join(s, on, "left")
+    return found.select(*[F.col(f"b.`{c}`") for c in bars.columns], F.when(F.col("b.end_at") <= F.col("s.__close"), F.col("s.__session")).alias("session"))
 
 
 def prior_state(returns: DataFrame, states: DataFrame) -> DataFrame:

@@ -253,6 +253,11 @@ def b10(spark, d):
     return counted(quality.overlapping(session_bars(spark, d), ["exchange", "asset"], "open_at", "end_at"), "exchange", "asset")
 
 
+@query("b10_bars_outside_sessions", A.with_sql("days") + ", " + XCAL + ", " + XBARS + " SELECT b.exchange, asset, count(*) AS n FROM xbars b WHERE NOT EXISTS (SELECT 1 FROM xcal c WHERE c.exchange = b.exchange AND c.open_at <= b.open_at AND b.end_at <= c.close_at) GROUP BY 1, 2")
+def b10_outside(spark, d):
+    return counted(pit.bars_in_sessions(session_bars(spark, d), exchange_calendar(spark, d)).where("session is null"), "exchange", "asset")
+
+
 @query("b11_bar_holes", "WITH " + XBARS + ", i AS (SELECT *, lead(open_at) OVER (PARTITION BY exchange, asset ORDER BY open_at) AS nx FROM xbars WHERE open_at >= TIMESTAMP '2024-01-05' AND open_at < TIMESTAMP '2024-01-12') SELECT exchange, asset, count(*) AS n FROM i WHERE nx IS NOT NULL AND nx <> end_at GROUP BY 1, 2")
 def b11(spark, d):
     b = session_bars(spark, d)
@@ -502,13 +507,28 @@ def c12(spark, d):
     return found.groupBy("session", "asset").agg(F.sha2(F.array_join(F.array_sort(F.flatten(F.collect_list(ids))), ","), 256).alias("lineage"))
 
 
-@query("c13_exposure_expansion", A.with_sql("expo", "src") + ", dec AS (SELECT DATE '1998-06-15' AS dd, TIMESTAMP '1998-06-15 12:00:00' AS dt), v AS (SELECT e.* FROM expo e, dec WHERE valid_from <= dd AND (valid_to IS NULL OR dd <= valid_to) AND available_at <= dt AND asset IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)) SELECT v.asset, count(*) AS n, round(sum(s.value * v.weight), 4) + 0.0 AS total, CAST(max(greatest(s.published_at, v.available_at)) AS VARCHAR) AS known_at FROM src s JOIN v USING (source_key), dec WHERE s.published_at <= dt AND s.value IS NOT NULL GROUP BY 1")
+YEARS = "dec AS (SELECT session AS dd, decision_at AS dt FROM cal WHERE month(session) IN (6, 12))"
+
+
+def year_decisions(spark, d):
+    return A.calendar(spark, d).where("month(session) in (6, 12)").select(F.col("session").alias("decision_date"), F.col("decision_at").alias("decision_time"))
+
+
+@query("c13_exposure_expansion", A.with_sql("expo", "src", "cal") + f", {YEARS}, v AS (SELECT dd, dt, e.* FROM expo e JOIN dec ON valid_from <= dd AND (valid_to IS NULL OR dd <= valid_to) AND available_at <= dt WHERE asset IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)), o AS (SELECT dd, s.source_key, count(*) AS n, sum(s.value) AS v, max(s.published_at) AS p FROM src s JOIN dec ON s.published_at <= dt WHERE s.value IS NOT NULL GROUP BY 1, 2) SELECT CAST(dd AS VARCHAR) AS decision_date, v.asset, CAST(sum(o.n) AS BIGINT) AS n, round(sum(o.v * v.weight), 4) + 0.0 AS total, CAST(max(greatest(o.p, v.available_at)) AS VARCHAR) AS known_at FROM v JOIN o USING (dd, source_key) GROUP BY 1, 2")
 def c13(spark, d):
-    dec = spark.range(1).selectExpr("date'1998-06-15' AS decision_date", "timestamp_ntz'1998-06-15 12:00:00' AS decision_time")
     members = A.read(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("asset"))
-    src = A.sources(spark, d).where("value is not null")
-    got = pit.expand_exposures(src, A.exposures(spark, d), members, dec)
-    return got.groupBy("asset").agg(F.count("*").alias("n"), F.round(F.sum("asset_value"), 4).alias("total"), F.max("known_at").alias("known_at"))
+    got = pit.mapped_totals(A.sources(spark, d), A.exposures(spark, d), members, year_decisions(spark, d))
+    return got.select("decision_date", "asset", "n", F.round("total", 4).alias("total"), "known_at")
+
+
+@query("c13_expanded_rows", A.with_sql("expo", "src", "cal") + f", {YEARS} SELECT CAST(dd AS VARCHAR) AS decision_date, s.source_key, count(*) AS n, round(sum(s.value * e.weight), 4) + 0.0 AS total, count(DISTINCT e.asset) AS n_assets FROM expo e JOIN dec ON e.valid_from <= dd AND (e.valid_to IS NULL OR dd <= e.valid_to) AND e.available_at <= dt JOIN src s ON s.source_key = e.source_key AND s.published_at <= dt AND date_diff('day', s.published_at, dt) < 10 AND s.value IS NOT NULL WHERE e.asset IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1, 2")
+def c13_rows(spark, d):
+    """Each observation is offered to the decisions of ten days; the decisions are those of c13."""
+    members = A.read(spark, d, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("asset"))
+    dec = year_decisions(spark, d)
+    fresh = A.sources(spark, d).where("value is not null").join(F.broadcast(dec.select(F.col("decision_time").alias("dt"))), F.expr("published_at <= dt and datediff(dt, published_at) < 10"), "left_semi")
+    got = pit.expand_exposures(fresh, A.exposures(spark, d), members, dec).where("datediff(decision_time, published_at) < 10")
+    return got.groupBy("decision_date", "source_key").agg(F.count("*").alias("n"), F.round(F.sum("asset_value"), 4).alias("total"), F.countDistinct("asset").alias("n_assets"))
 
 
 def raw_rows(spark, d):
