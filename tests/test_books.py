@@ -76,45 +76,6 @@ def test_incremental_evidence_of_a_known_and_a_repeated_factor(spark):
     assert np.allclose(series["flip"]["incremental"], 0) and series["flip"]["raw"].mean() < 0 < series["flip"]["baseline"].mean()
 
 
-def two_states(train=100):
-    rng = np.random.default_rng(2)
-    x = np.where(np.arange(120)[:, None] // 20 % 2, rng.normal(4, 0.5, (120, 2)), rng.normal(0, 1, (120, 2)))
-    return [("s", t, float(v[0]), float(v[1]), t < train) for t, v in enumerate(x)]
-
-
-TWO = "series string, t int, x double, y double, train boolean"
-
-
-def test_mixture_states_per_series(spark):
-    rows = two_states() + [("short", t, 0.1 * t, 0.0, True) for t in range(5)]
-    got = models.mixture_states(spark.createDataFrame(rows, TWO), ["series"], "t", ["x", "y"], 2, "train").orderBy("series", "t").collect()
-    assert all(r["probabilities"] is None for r in got if r["series"] == "short")
-    long = [r for r in got if r["series"] == "s"]
-    assert all((r["probabilities"][1] > 0.9) == (r["t"] // 20 % 2 == 1) for r in long)
-    # no session's probability looks at another's: a mixture fitted on the same rows is a function of the row
-    x = np.array([r[2:4] for r in two_states()])
-    z = (x - x[:100].mean(axis=0)) / x[:100].std(axis=0)
-    weight, mean, variance = models._fit_mixture(z[:100], 2)
-    dense = weight * np.exp(-0.5 * ((z[:, None] - mean) ** 2 / variance).sum(axis=2)) / np.sqrt((2 * np.pi * variance).prod(axis=1))
-    assert np.allclose([r["probabilities"] for r in long], dense / dense.sum(axis=1, keepdims=True))
-
-
-def test_hmm_parameters_find_the_states(spark):
-    got = models.hmm_parameters(spark.createDataFrame(two_states(120), TWO), ["series"], "t", ["x", "y"], 2).orderBy("state").collect()
-    assert np.allclose(got[0]["mean"], [0, 0], atol=0.4) and np.allclose(got[1]["mean"], [4, 4], atol=0.3)
-    assert np.allclose(got[0]["deviation"], [1, 1], atol=0.3) and np.allclose(got[1]["deviation"], [0.5, 0.5], atol=0.2)
-
-
-def test_regime_report_statuses(spark):
-    daily = [(0, t, s, 0.1 * t) for t in range(4) for s in ("raw", "incremental")] + [(1, 9, "raw", 0.5)]
-    states = [("hmm", 0, t, [0.25, 0.75]) for t in range(4)] + [("hmm", 1, 9, [1.0, 0.0]), ("mix", 0, 0, None)]
-    f = spark.createDataFrame([(0, 1), (1, 2)], "fold int, test_start int")
-    got = models.regime_report(spark.createDataFrame(daily, "fold int, session_index int, series string, ic double"), spark.createDataFrame(states, "method string, fold int, session_index int, probabilities array<double>"), f, 3.0)
-    got = {(r["method"], r["fold"], r["series"], r["state"]): r for r in got.collect()}
-    assert got["hmm", 0, "raw", 1]["status"] == "ok" and abs(got["hmm", 0, "raw", 1]["ic"] - 0.15) < 1e-12 and abs(got["hmm", 0, "raw", 0]["effective_days"] - 4) < 1e-12
-    assert got["hmm", 1, "raw", 0]["status"] == "thin" and got["mix", 0, None, None]["status"] == "missing" and got["mix", 1, None, None]["status"] == "missing"
-
-
 def test_online_filter_equals_the_batch_filter(spark, tmp_path):
     from tidemark.streaming import books
 
@@ -145,18 +106,6 @@ def test_filtered_states(spark):
         assert np.allclose(r["probabilities"], p)
 
 
-def test_hmm_states_are_causal(spark):
-    rng = np.random.default_rng(0)
-    x = np.concatenate([rng.normal(0, 1, 40), rng.normal(5, 1, 40)])
-    rows = [("s", t, float(v), t < 60) for t, v in enumerate(x)]
-    schema = "series string, t int, x double, train boolean"
-    run = lambda r: models.hmm_states(spark.createDataFrame(r, schema), ["series"], "t", ["x"], 2, "train").orderBy("t").collect()
-    a, b = run(rows), run(rows[:70] + [("s", t, -50.0, False) for t in range(70, 80)])
-    assert all(abs(sum(r["probabilities"]) - 1) < 1e-9 for r in a)
-    assert [r["probabilities"] for r in a[:70]] == [r["probabilities"] for r in b[:70]]
-    assert a[10]["probabilities"][0] > 0.9 and a[55]["probabilities"][1] > 0.9
-
-
 def test_minimum_variance(spark):
     cov = np.diag([0.04, 0.01, 0.02])
     rows = [("w", f"s{i}", f"s{j}", float(cov[i, j])) for i in range(3) for j in range(3)]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -142,126 +141,6 @@ def elastic_net(rows: DataFrame, folds: DataFrame, features: list[str], target:
     return fold_totals(rows, folds, features, target, embargo).groupBy("fold").applyInPandas(solve, "fold int, n long, intercept double, coefficients array<double>")
 
 
-def _fit_mixture(x: np.ndarray, states: int, rounds: int = 200, floor: float = 1e-4, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, means and variances of a diagonal Gaussian mixture by EM from quantile buckets of the first column."""
-    bucket = np.minimum(np.argsort(np.argsort(x[:, 0], kind="stable")) * states // len(x), states - 1)
-    post, last = np.eye(states)[bucket], -np.inf
-    for _ in range(rounds):
-        mass = post.sum(axis=0) + 1e-9
-        mean = post.T @ x / mass[:, None]
-        variance = np.maximum(post.T @ (x * x) / mass[:, None] - mean**2, 0) + floor
-        weight = mass / mass.sum()
-        post, level = _posterior(x, weight, mean, variance)
-        if level - last < tolerance:
-            break
-        last = level
-    order = np.argsort(mean[:, 0], kind="stable")
-    return weight[order], mean[order], variance[order]
-
-
-def _posterior(x: np.ndarray, weight: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> tuple[np.ndarray, float]:
-    """State probabilities of every row, and the mean log-likelihood."""
-    log = np.log(weight) - 0.5 * (((x[:, None, :] - mean) ** 2 / variance) + np.log(2 * np.pi * variance)).sum(axis=2)
-    top = log.max(axis=1, keepdims=True)
-    total = np.exp(log - top).sum(axis=1, keepdims=True)
-    return np.exp(log - top) / total, float((top + np.log(total)).mean())
-
-
-def mixture_states(rows: DataFrame, keys: list[str], order: str, features: list[str], states: int, train_until: str) -> DataFrame:
-    """Posterior state probabilities of many series from a diagonal Gaussian mixture, states by rising first mean.
-
-    Each series is standardised and fitted on its rows flagged ``train_until``; one group
-    holds one row per session. Too few training rows (5 x states) give NULL probabilities.
-    """
-    return _states(rows, keys, order, features, states, train_until, lambda fit, every: _posterior(every, *_fit_mixture(fit, states))[0])
-
-
-def _forward(x: np.ndarray, start: np.ndarray, move: np.ndarray, mean: np.ndarray, variance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Filtered state probabilities, per-step likelihood scale and shifted emissions."""
-    log = -0.5 * (((x[:, None, :] - mean) ** 2 / variance) + np.log(2 * np.pi * variance)).sum(axis=2)
-    emit = np.exp(log - log.max(axis=1, keepdims=True))
-    out, scale, p = np.empty_like(emit), np.empty(len(x)), start
-    for t in range(len(x)):
-        a = emit[t] * (p if t == 0 else p @ move)
-        scale[t] = a.sum()
-        p = out[t] = a / scale[t]
-    return out, scale, emit
-
-
-def _fit_hmm(x: np.ndarray, states: int, rounds: int = 25) -> tuple[np.ndarray, ...]:
-    """Diagonal Gaussian hidden Markov model by Baum-Welch from quantile buckets of the first column."""
-    bucket = np.minimum(np.argsort(np.argsort(x[:, 0], kind="stable")) * states // len(x), states - 1)
-    mean = np.array([x[bucket == k].mean(axis=0) for k in range(states)])
-    variance = np.array([x[bucket == k].var(axis=0) for k in range(states)]) + 1e-6
-    start, move = np.full(states, 1 / states), np.full((states, states), 0.1 / max(states - 1, 1))
-    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    for _ in range(rounds):
-        forward, scale, emit = _forward(x, start, move, mean, variance)
-        back, pairs = np.ones_like(forward), np.zeros_like(move)
-        for t in range(len(x) - 2, -1, -1):
-            right = emit[t + 1] * back[t + 1] / scale[t + 1]
-            pairs += np.outer(forward[t], right) * move
-            back[t] = move @ right
-        post = forward * back
-        post /= post.sum(axis=1, keepdims=True)
-        weight = post.sum(axis=0) + 1e-9
-        start, move = post[0], (pairs + 1e-6) / (pairs + 1e-6).sum(axis=1, keepdims=True)
-        mean = post.T @ x / weight[:, None]
-        variance = np.stack([post[:, k] @ (x - mean[k]) ** 2 / weight[k] for k in range(states)]) + 1e-6
-    order = np.argsort(mean[:, 0])
-    return start[order], move[np.ix_(order, order)], mean[order], variance[order]
-
-
-def hmm_states(rows: DataFrame, keys: list[str], order: str, features: list[str], states: int, train_until: str) -> DataFrame:
-    """Causally filtered state probabilities of many series: fit on rows flagged ``train_until``, filter all.
-
-    One group per series and fold; a group holds one row per session. Columns are
-    standardised with the training rows' mean and deviation. Series with fewer than
-    5 x states training rows get NULL probabilities.
-    """
-    return _states(rows, keys, order, features, states, train_until, lambda fit, every: _forward(every, *_fit_hmm(fit, states))[0])
-
-
-def _states(rows: DataFrame, keys: list[str], order: str, features: list[str], states: int, train_until: str, solve: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys, order).dtypes) + ", probabilities array<double>"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        x, on = frame[features].to_numpy(float), frame[train_until].to_numpy(bool)
-        known = np.isfinite(x).all(axis=1)
-        out: list = [None] * len(frame)
-        fit = on & known
-        if fit.sum() >= 5 * states:
-            mean, deviation = x[fit].mean(axis=0), x[fit].std(axis=0)
-            z = (x - mean) / np.where(deviation > 0, deviation, 1.0)
-            for i, p in zip(np.flatnonzero(known), solve(z[fit], z[known]), strict=True):
-                out[i] = p.tolist()
-        return frame[[*keys, order]].assign(probabilities=out)
-
-    return rows.groupBy(*keys).applyInPandas(run, schema)
-
-
-def hmm_parameters(rows: DataFrame, keys: list[str], order: str, features: list[str], states: int) -> DataFrame:
-    """Fitted start, mean and deviation of every state of many series, states by rising first mean.
-
-    Rows with a missing feature are left out; series with fewer than 5 x states rows give none.
-    """
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys).dtypes) + ", state int, start double, mean array<double>, deviation array<double>"
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values(order, kind="stable")[features].to_numpy(float)
-        x = x[np.isfinite(x).all(axis=1)]
-        out = []
-        if len(x) >= 5 * states:
-            centre, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
-            start, _, mean, variance = _fit_hmm((x - centre) / scale, states)
-            for k in range(states):
-                out.append((*frame[keys].iloc[0], k, float(start[k]), (mean[k] * scale + centre).tolist(), (np.sqrt(variance[k]) * scale).tolist()))
-        return pd.DataFrame(out, columns=[*keys, "state", "start", "mean", "deviation"])
-
-    return rows.groupBy(*keys).applyInPandas(run, schema)
-
-
 def bucket_model(rows: DataFrame, value: str, states: int, *by: str) -> DataFrame:
     """Baseline state model: mean of each rank bucket, and the sample variance of all values."""
     over = Window.partitionBy(*by)
@@ -348,21 +227,3 @@ def training_suffix(features: DataFrame, value: str, last_train: int) -> DataFra
     upto = features.where(F.col("session_index") <= last_train)
     gap = F.max(F.when(F.col(value).isNull(), F.col("session_index"))).over(Window.partitionBy(F.lit(0)))
     return upto.withColumn("__gap", F.coalesce(gap, F.lit(-1))).where(F.col("session_index") > F.col("__gap")).drop("__gap")
-
-
-def regime_report(daily: DataFrame, states: DataFrame, folds: DataFrame, min_days: float) -> DataFrame:
-    """Conditional coefficients per method, fold, series and state, with effective days and a status.
-
-    ``daily`` has fold, session_index, series (raw, baseline, augmented, incremental) and ic;
-    ``states`` has method, fold, session_index, probabilities. Status: ok, thin (fewer than
-    ``min_days`` effective days) or missing (a method without states in the fold's measured
-    sessions).
-    """
-    from .stats import conditional_ic
-
-    joined = daily.join(states.where("probabilities is not null"), ["fold", "session_index"])
-    found = conditional_ic(joined, "method", "fold", "series")
-    every = states.select("method").distinct().join(F.broadcast(folds.select("fold")))  # methods times folds
-    out = every.join(found, ["method", "fold"], "left")
-    status = F.when(F.col("state").isNull(), "missing").when(F.col("effective_days") < min_days, "thin").otherwise("ok")
-    return out.withColumn("status", status)

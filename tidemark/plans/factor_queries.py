@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as X
 from tidemark.functions import factors as E
-from tidemark.operators import folds, models, pit, ranker, stats
+from tidemark.operators import folds, models, pit, ranker, regimes, stats
 
 from . import adapters as A
 from .registry import query
@@ -483,42 +483,36 @@ def h3(spark, d):
     return ranker.rank_folds(p, the_folds(spark, d), [*BASELINE, "factor"], "target", 1, ranker.Settings(trees=30, rate=0.1)).select("fold", "asset", "session_index", "prediction")
 
 
-def known_market(spark, d):
-    return market(spark, d).where("trailing_mean is not null").select("session_index", "market_return", "trailing_mean", "trailing_deviation")
-
-
 FEATURES = ["market_return", "trailing_deviation"]
 
 
-def fold_market(spark, d):
-    """Each fold's market sessions up to its test's end, with those that may train."""
-    rows = known_market(spark, d).join(F.broadcast(the_folds(spark, d))).where("session_index <= test_end")
-    return rows.select("fold", "session_index", *FEATURES, (F.col("session_index") < F.col("test_start") - 1).alias("train"))
+def market_folds(spark, d):
+    """Market features of every session, and the folds with their last training session (labels reach two sessions on)."""
+    return A.stored(market(spark, d).select("session_index", *FEATURES)), regimes.with_train_end(the_folds(spark, d), 2, 1)
 
 
 @query("h4_mixture_states")
 def h4(spark, d):
-    got = models.mixture_states(fold_market(spark, d), ["fold"], "session_index", FEATURES, 2, "train")
+    got = regimes.fold_states(*market_folds(spark, d), FEATURES, 2, "gaussian_mixture")
     return got.select("fold", "session_index", F.col("probabilities")[0].alias("p0"), F.col("probabilities")[1].alias("p1"))
 
 
 @query("h5_hmm_filter")
 def h5(spark, d):
-    got = models.hmm_states(fold_market(spark, d), ["fold"], "session_index", FEATURES, 2, "train")
+    got = regimes.fold_states(*market_folds(spark, d), FEATURES, 2, "hmm")
     return got.select("fold", "session_index", F.col("probabilities")[0].alias("p0"), F.col("probabilities")[1].alias("p1"))
 
 
 @query("h6_hmm_fit")
 def h6(spark, d):
-    f = the_folds(spark, d)
-    rows = known_market(spark, d).join(F.broadcast(f)).where("session_index < test_start - 1")
-    got = models.hmm_parameters(rows.select("fold", "session_index", "market_return", "trailing_deviation"), ["fold"], "session_index", ["market_return", "trailing_deviation"], 2)
-    return got.select("fold", "state", "start", F.col("mean")[0].alias("mean_return"), F.col("deviation")[0].alias("deviation"))
+    got = regimes.fold_parameters(*market_folds(spark, d), FEATURES, 2)
+    return got.select("fold", "state", "start", "stay", F.col("mean")[0].alias("mean_return"), F.col("deviation")[0].alias("deviation"), "converged", "iterations")
 
 
 @query("h11_regime_report")
 def h11(spark, d):
-    f, rows = the_folds(spark, d), A.stored(fold_market(spark, d))
-    one = lambda name, solve: solve(rows, ["fold"], "session_index", FEATURES, 2, "train").withColumn("method", F.lit(name))
-    states = one("hmm", models.hmm_states).unionByName(one("gaussian_mixture", models.mixture_states))
-    return models.regime_report(stats.long_series(fold_series(targets(spark, d), f)), states, f, 3.0)
+    features, spans = market_folds(spark, d)
+    daily = A.stored(stats.long_series(fold_series(targets(spark, d), spans.drop("train_end"))).where("ic is not null"))
+    reports = A.stored(regimes.fold_reports(features, spans, daily.select("fold", "session_index"), FEATURES, 2))
+    found = regimes.walk_forward(reports, daily).withColumn("c", F.explode_outer("conditional"))
+    return found.select("method", "fold", "status", "diagnostic", "train_first", "train_last", "n_train", F.size("missing_sessions").alias("n_missing"), "converged", "iterations", "iteration_limit_reached", "c.*")
