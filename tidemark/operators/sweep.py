@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import stored
+
 from .pit import first_session, months, revision_runs
 
 #: Half-lives that share one running sum.
@@ -22,12 +24,12 @@ SPAN = 200
 def event_runs(sources: DataFrame, calendar: DataFrame, max_age_days: int) -> DataFrame:
     """Sessions ``first`` to ``last`` in which each revision is the latest one, real, and 0 to ``max_age_days`` old.
 
-    ``sources`` is that of ``pit.latest_revisions``.
+    ``sources`` is that of ``pit.latest_revisions``. Written once, as its days, their ends and its steps are all needed.
     """
     runs = revision_runs(sources, calendar, max_age_days)
     seen = first_session(runs, calendar, "session", "observed_on", "__seen")
     out = seen.select("source_key", "observation_id", "observed_on", "value", F.greatest("__from", "__seen").alias("first"), F.col("__until").alias("last"))
-    return out.where("first <= last")
+    return stored(out.where("first <= last"))
 
 
 def weight_runs(exposures: DataFrame, days: DataFrame, calendar: DataFrame) -> DataFrame:
@@ -44,18 +46,16 @@ def weight_runs(exposures: DataFrame, days: DataFrame, calendar: DataFrame) -> D
     keys = ["source_key", "asset"]
     known = exposures.where("valid_from is not null and available_at is not null").select(*keys, "valid_from", F.col("available_at").cast("timestamp").alias("known"), "weight", "valid_to")
     known = first_session(known.repartition(*keys), calendar, "decision_at", "known", "at")
-    last = known.groupBy(*keys, "valid_from", "at").agg(F.max(F.struct("known", "weight", "valid_to")).alias("v")).select(*keys, "valid_from", "at", "v.*")
     # a version's second month is that of the session it is first known at; later than all sessions it never rules
-    dates = calendar.select(F.col("session_index").alias("at"), months(F.col("session")).alias("since"))
-    last = last.join(F.broadcast(dates), "at").withColumn("lo", F.least(months(F.col("valid_from")), "since")).withColumn("hi", F.greatest(months(F.col("valid_from")), "since")).drop("since")
-    version = F.struct("valid_from", "at", "weight", "valid_to").alias("v")
-
-    moving = last.select(*keys, F.explode(F.sequence("lo", "hi")).alias("month"), version)
-    settled = last.groupBy(*keys, (F.col("hi") + 1).alias("since")).agg(F.max(version).alias("v"))
-    order = Window.partitionBy(*keys).orderBy("since")
-    settled = settled.select(*keys, "since", F.lead("since").over(order).alias("next"), F.max("v").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("v"))
+    dates = calendar.select(F.col("session_index").alias("at"), months(F.col("session")).alias("seen"))
+    version = F.struct("valid_from", "known", "at", "weight", "valid_to").alias("v")
+    known = known.join(F.broadcast(dates), "at").select(*keys, version, F.least(months(F.col("valid_from")), "seen").alias("lo"), F.greatest(months(F.col("valid_from")), "seen").alias("hi"))
+
+    moving = known.select(*keys, F.explode(F.sequence("lo", "hi")).alias("month"), "v")
+    order = Window.partitionBy(*keys).orderBy("hi")
+    settled = known.select(*keys, (F.col("hi") + 1).alias("since"), F.lead("hi").over(order).alias("next"), F.max("v").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("v"))
     final = days.agg(F.max(months(F.col("observed_on"))).alias("final"))
-    settled = settled.join(F.broadcast(final)).withColumn("until", F.least(F.coalesce(F.col("next") - 1, "final"), "final"))
+    settled = settled.join(F.broadcast(final)).withColumn("until", F.least(F.coalesce("next", "final"), "final"))
     carried = settled.where("since <= until").select(*keys, F.explode(F.sequence("since", "until")).alias("month"), "v")
 
     # days of one source and month ride in an array, so candidates meet them by an equality
@@ -85,13 +85,14 @@ def event_sum(sources: DataFrame, exposures: DataFrame, calendar: DataFrame, max
     bucket = F.lit(0).cast("long") if half_life_days is None else F.floor(day("observed_on") / (SPAN * half_life_days))
     scale = F.lit(1.0) if half_life_days is None else F.pow(F.lit(2.0), day("observed_on") / half_life_days - bucket * SPAN)
     steps = steps.withColumn("bucket", bucket).withColumn("dv", F.col("dv") * scale)
-    # a weight that rules to the end of a day's events needs no difference of its own there: theirs sum to nothing
-    open_end = F.col("last") == F.col("hi")
-    both = weights.join(steps, ["source_key", "observed_on"]).where(open_end | (F.col("at") <= F.col("last")))
-    row = lambda at, sign: F.struct(at.alias("at"), (sign * F.col("weight") * F.col("dv")).alias("c"), (sign * F.col("dn")).alias("n"))
-    begun = row(F.greatest("at", "first"), 1)
-    diffs = both.select("asset", "bucket", F.explode(F.when(open_end, F.array(begun)).otherwise(F.array(begun, row(F.col("last") + 1, -1)))).alias("d"))
-    diffs = diffs.groupBy("asset", "bucket", "d.at").agg(F.sum("d.c").alias("c"), F.sum("d.n").alias("n"))
+    # a weight begins and ends as a difference too (not where it rules to the end of its day's events, which sum to nothing
+    # there); a pair of differences counts from the later of the two
+    turn = lambda at, sign: F.struct(at.alias("at"), (sign * F.col("weight")).alias("dw"), F.lit(sign).alias("sign"))
+    begun, ended = turn(F.col("first"), 1), turn(F.col("last") + 1, -1)
+    turns = weights.select("source_key", "observed_on", "asset", F.explode(F.when(F.col("last") == F.col("hi"), F.array(begun)).otherwise(F.array(begun, ended))).alias("w"))
+    both = turns.join(steps.withColumnRenamed("at", "step"), ["source_key", "observed_on"])
+    diffs = both.select("asset", "bucket", F.greatest("w.at", "step").alias("at"), (F.col("w.dw") * F.col("dv")).alias("c"), (F.col("w.sign") * F.col("dn")).alias("n"))
+    diffs = diffs.groupBy("asset", "bucket", "at").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
     order = Window.partitionBy("asset", "bucket").orderBy("at")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)

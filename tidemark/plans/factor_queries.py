@@ -480,7 +480,7 @@ def h2(spark, d):
 @query("h3_tree_ranker")
 def h3(spark, d):
     p = targets(spark, d).select("asset", "session_index", "label_end", "factor", "v", "target")
-    return ranker.rank_folds(p, the_folds(spark, d), [*BASELINE, "factor"], "target", 1, ranker.Settings(trees=30, rate=0.1)).select("fold", "asset", "session_index", "prediction")
+    return ranker.rank_folds(p, the_folds(spark, d), [*BASELINE, "factor"], "target", 1, ranker.Settings(trees=10, rate=0.3)).select("fold", "asset", "session_index", "prediction")
 
 
 FEATURES = ["market_return", "trailing_deviation"]
