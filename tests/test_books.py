@@ -106,6 +106,26 @@ def test_filtered_states(spark):
         assert np.allclose(r["probabilities"], p)
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 64, 4096])
+def test_long_series_are_filtered_in_runs(spark, chunk):
+    """Runs of any length give the sequential filter, over gaps in the session numbers and far-off values."""
+    rng = np.random.default_rng(4)
+    at = np.sort(rng.choice(900, 300, replace=False))
+    values = {"a": rng.normal(size=300) * 3, "b": np.where(rng.random(300) < 0.05, 400.0, rng.normal(size=300)), "c": rng.normal(size=1)}
+    rows = [(s, int(t), float(v)) for s, x in values.items() for t, v in zip(at, x)]
+    series = spark.createDataFrame(rows, "series string, session_index int, value double").repartition(5)
+    got = {(r["series"], r["session_index"]): r["probabilities"] for r in models.filter_states(series, [0.0, 3.0, -1.0], [1.0, 2.0, 0.5], 0.9, "series", chunk=chunk).collect()}
+    assert len(got) == len(rows)
+    move = np.full((3, 3), 0.05) + 0.85 * np.eye(3)
+    for s, x in values.items():
+        p = np.full(3, 1 / 3)
+        for t, v in zip(at, x):
+            log = np.log(p @ move) - (v - np.array([0.0, 3.0, -1.0])) ** 2 / (2 * np.array([1.0, 2.0, 0.5])) - 0.5 * np.log([1.0, 2.0, 0.5])
+            p = np.exp(log - log.max())
+            p /= p.sum()
+            assert np.abs(p - got[s, int(t)]).max() < 1e-12
+
+
 def test_minimum_variance(spark):
     cov = np.diag([0.04, 0.01, 0.02])
     rows = [("w", f"s{i}", f"s{j}", float(cov[i, j])) for i in range(3) for j in range(3)]

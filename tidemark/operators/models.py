@@ -151,25 +151,56 @@ def bucket_model(rows: DataFrame, value: str, states: int, *by: str) -> DataFram
     return known.withColumn("state", bucket).withColumn("__v", spread).groupBy(*by, "state").agg(F.avg(value).alias("mean"), F.max("__v").alias("variance"), F.count("*").alias("n"))
 
 
-def filter_states(series: DataFrame, means: list[float], variances: list[float], stay: float, *by: str) -> DataFrame:
-    """Filtered probabilities along each series with a sticky transition; one group holds a series' sessions."""
+def filter_states(series: DataFrame, means: list[float], variances: list[float], stay: float, *by: str, chunk: int = 4096) -> DataFrame:
+    """Filtered probabilities along each series with a sticky transition, from equal ones before the first session.
+
+    A step is a product with transition x emissions, so steps are associative: a series is cut into
+    runs of ``chunk`` session numbers, every run but the last becomes one states x states matrix (scaled to a greatest entry of 1), a
+    series' matrices give the probabilities that each run begins with, and runs are then filtered side by side.
+    """
     k = len(means)
     move = np.full((k, k), (1 - stay) / max(k - 1, 1))
     np.fill_diagonal(move, stay)
     mean, variance = np.array(means), np.array(variances)
-    schema = ", ".join(f"`{c}` {t}" for c, t in series.select(*by, "session_index").dtypes) + ", probabilities array<double>"
+    rows = series.select(*by, "session_index", "value").withColumn("__run", F.floor(F.col("session_index") / chunk).cast("long"))
+    keys = ", ".join(f"`{c}` {t}" for c, t in series.select(*by).dtypes)
+    index = dict(series.dtypes)["session_index"]
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def emissions(x: np.ndarray) -> np.ndarray:
+        log = -((x[:, None] - mean) ** 2) / (2 * variance) - 0.5 * np.log(variance)
+        return np.exp(log - log.max(axis=1, keepdims=True))
+
+    def product(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("session_index", kind="stable")
+        whole = np.eye(k)
+        for emit in emissions(frame["value"].to_numpy(float)):
+            whole = (whole @ move) * emit
+            whole /= whole.max()
+        return frame[[*by, "__run"]].head(1).assign(matrix=[whole.ravel().tolist()])
+
+    def begin(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, p, out = frame.sort_values("__run"), np.full(k, 1 / k), []
+        for matrix in frame["matrix"]:
+            out.append(p.tolist())
+            if matrix is not None:
+                p = p @ np.array(matrix).reshape(k, k)
+                p /= p.sum()
+        return frame[[*by, "__run"]].assign(first=out)
+
+    def steps(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("session_index", kind="stable")
-        x = frame["value"].to_numpy(float)
-        emit = np.exp(-((x[:, None] - mean) ** 2) / (2 * variance)) / np.sqrt(variance)
-        p, out = np.full(k, 1 / k), np.empty((len(x), k))
-        for t in range(len(x)):
-            p = (p @ move) * emit[t] + 1e-300
+        emit, p = emissions(frame["value"].to_numpy(float)), np.array(frame["first"].iloc[0])
+        out = np.empty_like(emit)
+        for t in range(len(emit)):
+            p = (p @ move) * emit[t]
             p = out[t] = p / p.sum()
         return frame[[*by, "session_index"]].assign(probabilities=out.tolist())
 
-    return series.select(*by, "session_index", "value").groupBy(*by).applyInPandas(run, schema)
+    runs = rows.groupBy(*by, "__run").agg(F.lit(1).alias("one")).drop("one")
+    last = runs.groupBy(*by).agg(F.max("__run").alias("__last"))
+    matrices = rows.join(last, [*by]).where("__run < __last").drop("__last").groupBy(*by, "__run").applyInPandas(product, f"{keys}, __run long, matrix array<double>")
+    firsts = runs.join(matrices, [*by, "__run"], "left").groupBy(*by).applyInPandas(begin, f"{keys}, __run long, first array<double>")
+    return rows.join(firsts, [*by, "__run"]).groupBy(*by, "__run").applyInPandas(steps, f"{keys}, session_index {index}, probabilities array<double>")
 
 
 def centroid_states(rows: DataFrame, value: str, states: int, *by: str) -> DataFrame:

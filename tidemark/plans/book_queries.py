@@ -497,6 +497,15 @@ def s1(spark, d):
     return counted(got, "book_id")
 
 
+@query("s1_ingestion_verdicts", "SELECT user_id % 10 AS book_id, verdict, count(*) AS n FROM events, (VALUES ('accepted'), ('replayed'), ('changed')) v(verdict) WHERE verdict <> 'changed' OR event_id % 5 = 0 GROUP BY 1, 2")
+def s1_verdicts(spark, d):
+    """Every event comes again a minute later, and every fifth once more with another payload."""
+    e = stream(spark, d).withColumn("book_id", F.col("user_id") % 10).withColumn("copy", F.explode(F.when(F.col("event_id") % 5 == 0, F.array(*map(F.lit, (0, 1, 2)))).otherwise(F.array(F.lit(0), F.lit(1)))))
+    e = e.withColumn("at", F.col("at") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("copy"))).withColumn("body", F.when(F.col("copy") == 2, "other").otherwise(F.col("props")))
+    got = books.drain(books.ingested(e, "at", "10 minutes", 30 * 86400, ["event_type", "value", "body"]), A.scratch(spark), rocksdb=True)
+    return counted(got, "book_id", "verdict")
+
+
 @query("s2_signal_admission", "WITH ing AS (SELECT epoch_us(ts) - epoch_us(ts - to_minutes(CAST(trunc(value) AS INTEGER) % 90 - 5)) AS age FROM events) SELECT CASE WHEN age < 0 THEN 'future' WHEN age > 3600000000 THEN 'stale' ELSE 'ok' END AS verdict, count(*) AS n FROM ing GROUP BY 1")
 def s2(spark, d):
     late = F.col("value").cast("int") % 90 - 5
@@ -504,10 +513,10 @@ def s2(spark, d):
     return counted(books.drain(books.admit_signals(s, 3600), A.scratch(spark)), "verdict")
 
 
-@query("s3_daily_windows", "WITH w AS (SELECT user_id % 10 AS book_id, CAST(ts AS DATE) AS day, count(*) AS n_bars FROM events GROUP BY 1, 2) SELECT book_id, CAST(day AS VARCHAR) AS day, n_bars FROM w WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")
+@query("s3_daily_windows", "WITH a AS (SELECT user_id % 10 AS book_id, CAST(ts AS DATE) AS day, user_id, count(*) AS n FROM events GROUP BY 1, 2, 3) SELECT book_id, CAST(day AS VARCHAR) AS day, CAST(sum(n) AS BIGINT) AS n_bars, count(*) AS n_assets, count(*) FILTER (n > 1) AS n_repeated FROM a WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2")
 def s3(spark, d):
     b = stream(spark, d).select((F.col("user_id") % 10).alias("book_id"), F.col("user_id").alias("asset"), "at")
-    return books.drain(books.daily_windows(b, "at", "1 hour"), A.scratch(spark)).select("book_id", "day", "n_bars")
+    return books.drain(books.daily_windows(b, "at", "1 hour"), A.scratch(spark))
 
 
 @query("s4_running_positions", f"WITH {FILLS} SELECT book_id, CAST(sum(quantity) AS BIGINT) AS quantity, round(1000000 - sum(quantity * price + commission), 4) AS cash, count(*) AS n_fills FROM fills GROUP BY 1")

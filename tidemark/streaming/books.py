@@ -12,18 +12,99 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 
 def distinct_events(events: DataFrame, clock: str, delay: str) -> DataFrame:
-    """First arrival of each (book_id, event_id) within the watermark.
+    """First arrival of each (book_id, event_id) within the watermark, whatever its payload.
 
-    A changed payload under one id is dropped here; ``tidemark.operators.ledger.reused_ids``
-    inside foreachBatch reports it.
+    ``ingested`` tells a replay from a changed payload.
     """
     return events.withWatermark(clock, delay).dropDuplicatesWithinWatermark(["book_id", "event_id"])
 
 
+#: The state store that map states and timers need.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class Ingestion(StatefulProcessor):
+    """Map state of one part of a book: event id -> payload hash and clock, until ``keep_ms`` after that clock."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "event_id long", "hash long, clock long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wake(self, at: int) -> None:
+        """One timer a part: the earliest end of what it holds."""
+        set_to = self.timer.get()[0] if self.timer.exists() else None
+        if set_to is None or at < set_to:
+            if set_to is not None:
+                self.handle.deleteTimer(set_to)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["clock", "hash"], kind="stable")  # one batch's events of one part of a book
+        verdicts, met, new = [], {}, []
+        for event, payload, clock in frame[["event_id", "hash", "clock"]].itertuples(index=False):
+            if event not in met:
+                known = self.seen.getValue((int(event),))
+                met[event] = None if known is None else known[0]
+            fresh = met[event] is None
+            if fresh:
+                met[event] = payload
+                new.append(int(clock))
+                self.seen.updateValue((int(event),), (int(payload), int(clock)))
+            verdicts.append("accepted" if fresh else "replayed" if met[event] == payload else "changed")
+        if new:
+            self._wake(min(new) + self.keep_ms)
+        yield pd.DataFrame({"book_id": key[0], "event_id": frame["event_id"].to_numpy(), "clock": frame["clock"].to_numpy(), "hash": frame["hash"].to_numpy(), "verdict": verdicts})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        entries = list(self.seen.iterator())
+        for event, (_, clock) in entries:
+            if clock + self.keep_ms <= now:
+                self.seen.removeKey(event)
+        self.timer.clear()
+        left = [clock for _, (_, clock) in entries if clock + self.keep_ms > now]
+        if left:
+            self._wake(min(left) + self.keep_ms)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def ingested(events: DataFrame, clock: str, delay: str, keep_seconds: int, payload: list[str], parts: int = 64) -> DataFrame:
+    """Every event's verdict: accepted (first of its id in the book), replayed (same payload again) or changed (another payload).
+
+    Gives book_id, event_id, the clock in milliseconds, the payload's hash and the verdict; what is not accepted
+    belongs in a reject sink (``drain_accepted``). An id is remembered until the watermark passes its clock by
+    ``keep_seconds``; a later event of that id is new again. Within a batch the earliest clock comes first. State is keyed by (book, hash of the
+    id modulo ``parts``), so a busy book spreads over tasks. Start it with the setting ROCKSDB (``drain`` with ``rocksdb``).
+    """
+    rows = events.withWatermark(clock, delay).select("book_id", "event_id", F.xxhash64(*payload).alias("hash"), F.unix_millis(clock).alias("clock"), F.pmod(F.xxhash64("event_id"), F.lit(parts)).alias("part"), clock)
+    schema = "book_id long, event_id long, clock long, hash long, verdict string"
+    return rows.groupBy("book_id", "part").transformWithStateInPandas(statefulProcessor=Ingestion(1000 * keep_seconds), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def drain_accepted(verdicts: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Run ``ingested`` over what is available; accepted and changed events, the latter from the reject sink ``folder``/rejects."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.where("verdict = 'changed'").write.mode("overwrite").parquet(f"{folder}/rejects/batch={number}")
+
+    accepted = drain(verdicts, folder, each=put, rocksdb=True).where("verdict = 'accepted'")
+    return accepted, verdicts.sparkSession.read.schema(verdicts.schema).parquet(f"{folder}/rejects").select(*verdicts.columns)
+
+
 def admit_signals(signals: DataFrame, most_age_seconds: int) -> DataFrame:
     """Signals with a verdict: ok, future or stale, from their age at ingestion."""
     age = F.unix_micros("ingested_at") - F.unix_micros("available_at")
@@ -32,10 +113,21 @@ def admit_signals(signals: DataFrame, most_age_seconds: int) -> DataFrame:
 
 
 def daily_windows(bars: DataFrame, clock: str, delay: str) -> DataFrame:
-    """One row per book and UTC day once the watermark has passed it: bars and distinct assets."""
-    day = F.window(clock, "1 day")
-    out = bars.withWatermark(clock, delay).groupBy("book_id", day).agg(F.count("*").alias("n_bars"), F.approx_count_distinct("asset", 0.01).alias("n_assets"))
-    return out.select("book_id", F.to_date("window.start").alias("day"), "n_bars", "n_assets")
+    """One row per book and UTC day once the watermark has passed it: n_bars, n_assets and repeated assets, all exact.
+
+    Bars are counted per asset first (state: a row per asset of an open day, dealt by it), and the closed
+    counts are added up per book; ``n_repeated`` assets had more than one bar.
+    """
+    per_asset = bars.withWatermark(clock, delay).groupBy("book_id", "asset", F.window(clock, "1 day").alias("day")).agg(F.count("*").alias("n"))
+    at = F.window(F.window_time("day"), "1 day")
+    out = per_asset.groupBy("book_id", at.alias("day")).agg(F.sum("n").alias("n_bars"), F.count("*").alias("n_assets"), F.count_if(F.col("n") > 1).alias("n_repeated"))
+    return out.select("book_id", F.to_date("day.start").alias("day"), "n_bars", "n_assets", "n_repeated")
+
+
+def complete_days(windows: DataFrame, expected: DataFrame) -> DataFrame:
+    """Daily windows with a verdict: complete, incomplete (fewer assets than the book's ``expected`` n_expected) or repeated (an asset twice)."""
+    verdict = F.when(F.col("n_repeated") > 0, "repeated").when(F.col("n_assets") < F.coalesce("n_expected", F.lit(0)), "incomplete").otherwise("complete")
+    return windows.join(expected.select("book_id", "n_expected"), "book_id", "left").withColumn("verdict", verdict)
 
 
 def running_positions(fills: DataFrame, initial: float) -> DataFrame:
@@ -91,8 +183,8 @@ def online_filter(returns: DataFrame, means: list[float], variance: float, stay:
     return returns.select("book_id", "step", "value").groupBy("book_id").applyInPandasWithState(run, "book_id long, step long, probabilities array<double>", "p array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def drain(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Run a stream over what is available now into a Parquet folder and read the result.
+def drain(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None, rocksdb: bool = False) -> DataFrame:
+    """Run a stream over what is available now into a Parquet folder and read the result; ``rocksdb`` for map states and timers.
 
     A batch has a folder of its own that it overwrites, so one that is run again after a
     failure counts once. In complete mode the last batch is the result.
@@ -103,7 +195,14 @@ def drain(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[
             each(batch, number)
         batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    conf, before = stream.sparkSession.conf, stream.sparkSession.conf.get(ROCKSDB[0], None)
+    if rocksdb:
+        conf.set(*ROCKSDB)  # read when the query starts
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    finally:
+        if rocksdb:
+            conf.unset(ROCKSDB[0]) if before is None else conf.set(ROCKSDB[0], before)
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
 
