@@ -136,6 +136,50 @@ def test_interleaved_parts():
     got = media.parts(html)
     assert [(p["position"], p["kind"], p["text"], p["digest"], p["caption"]) for p in got] == [(0, "text", "A & b", None, None), (1, "media", None, "d1", "One"), (2, "text", "tail", None, None), (3, "media", None, "d2", "two")]
     assert media.parts(None) == [] and media.parts("") == []
+    said = lambda html: [(p["text"], p["digest"], p["caption"]) for p in media.parts(html)]
+    image = '<img src="media:a">'
+    assert said(f"<figure>{image}<figcaption>cap</figure><p>text</p><p>more</p>") == [(None, "a", "cap"), ("text", None, None), ("more", None, None)]
+    assert said("<figure><p>in</p><figcaption>lone <b>cap</b></figcaption></figure><p>after") == [("in", None, None), ("lone cap", None, None), ("after", None, None)]
+    assert said(f"{image}<p>x</p><figcaption>stray</figcaption>") == [(None, "a", None), ("x", None, None), ("stray", None, None)]
+    assert said(f"<figure>{image}<figcaption>cap<p>two</p> three") == [(None, "a", "cap two three")]
+    assert said(f"<figure><figcaption>first</figcaption>{image}{image}<figure>{image}</figure></figure></figure>z") == [(None, "a", "first"), (None, "a", "first"), (None, "a", None), ("z", None, None)]
+    assert said('<figure><img src="media:a" alt="kept"><figcaption> </figcaption></figure>') == [(None, "a", "kept")]
+
+
+def test_pages_keep_every_visible_word(spark):
+    """Whole pages: positions are dense, and texts and captions hold every word outside tags, scripts and styles."""
+    import re
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.words, self.hidden = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("script", "style", "template")
+
+        def handle_endtag(self, tag):
+            self.hidden = max(0, self.hidden - (tag in ("script", "style", "template")))
+
+        def handle_data(self, data):
+            self.words += [] if self.hidden else re.findall(r"\w+", data)
+
+    got = queries.pages_interleaved(spark, SF).toPandas().sort_values(["page_id", "position"])
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert len(pages) >= 50 and set(got["page_id"]) <= set(pages) and not got["resolved"].any()
+    mine = {i: g for i, g in got.groupby("page_id")}
+    for i, page in pages.items():
+        parser = Words()
+        parser.feed(page or "")
+        parser.close()
+        g = mine.get(i)
+        found = [] if g is None else [w for t in g["text"].dropna() for w in re.findall(r"\w+", t)]
+        captions = [] if g is None else [w for c in g.loc[g["kind"] == "media", "caption"].dropna() for w in re.findall(r"\w+", c)]
+        assert not Counter("".join(parser.words)) - Counter("".join(found + captions)), i
+        if g is not None:
+            assert g["position"].tolist() == list(range(len(g)))
+            assert g["reference"].notna().tolist() == (g["kind"] == "media").tolist()
 
 
 def test_interleaving_of_whole_pages(spark):

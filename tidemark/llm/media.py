@@ -11,7 +11,8 @@ the form is lossless.
 
 Defined results: a null text is an empty payload; equal payloads have equal digests and
 features; a reference whose digest is not in the table keeps its place with null features;
-repeated ids keep their own rows; null or empty HTML has no parts.
+repeated ids keep their own rows; null or empty HTML has no parts. A caption ends with its
+figure or the page if its own end is missing; a caption without media, or outside any figure, is text.
 """
 
 from __future__ import annotations
@@ -35,18 +36,39 @@ _HIDDEN = {"script", "style", "template"}
 
 
 class _Parts(HTMLParser):
+    """Texts and media in order. Open figures are a stack; a figure's caption goes to the media it holds when it ends."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.text: list[str] = []
-        self.caption: list[str] | None = None
         self.hidden = 0
-        self.figure: list[int] = []
+        self.figures: list[dict] = []
 
     def flush(self) -> None:
-        if said := " ".join("".join(self.text).split()):
+        said, self.text = " ".join("".join(self.text).split()), []
+        if not said:
+            return
+        if self.figures and self.figures[-1]["open"]:
+            self.figures[-1]["caption"].append(said)
+        else:
             self.parts.append({"position": len(self.parts), "kind": "text", "text": said, "digest": None, "caption": None})
-        self.text = []
+
+    def end_caption(self) -> None:
+        self.flush()
+        if self.figures:
+            self.figures[-1]["open"] = False
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        figure = self.figures.pop()
+        said = " ".join(figure["caption"])
+        if said and figure["media"]:
+            for k in figure["media"]:
+                self.parts[k]["caption"] = said
+        elif said:  # nothing to caption: it is text
+            self.text.append(said)
+            self.flush()
 
     def handle_starttag(self, tag, attrs):
         if tag in _HIDDEN:
@@ -56,40 +78,42 @@ class _Parts(HTMLParser):
             if source:
                 self.flush()
                 self.parts.append({"position": len(self.parts), "kind": "media", "text": None, "digest": source.removeprefix(SCHEME), "caption": dict(attrs).get("alt")})
-                self.figure.append(len(self.parts) - 1)
-        elif tag == "figcaption":
-            self.flush()
-            self.caption = []
+                if self.figures:
+                    self.figures[-1]["media"].append(len(self.parts) - 1)
         elif tag in _BLOCKS:
             self.flush()
             if tag == "figure":
-                self.figure = []
+                self.figures.append({"media": [], "caption": [], "open": False})
+            elif tag == "figcaption" and self.figures:
+                self.figures[-1]["open"] = True
 
     def handle_endtag(self, tag):
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            said = " ".join("".join(self.caption).split())
-            for k in self.figure:
-                self.parts[k]["caption"] = said
-            self.caption = None
+        elif tag == "figcaption":
+            self.end_caption()
+        elif tag == "figure" and self.figures:
+            self.end_figure()
         elif tag in _BLOCKS:
             self.flush()
-            if tag == "figure":
-                self.figure = []
 
     def handle_data(self, data):
         if not self.hidden:
-            (self.text if self.caption is None else self.caption).append(data)
+            self.text.append(data)
+
+    def finish(self) -> list[dict]:
+        self.close()
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        return self.parts
 
 
 def parts(html: str | None) -> list[dict]:
     """Ordered texts and media references of one HTML document."""
     parser = _Parts()
     parser.feed(html or "")
-    parser.close()
-    parser.flush()
-    return parser.parts
+    return parser.finish()
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:

@@ -54,6 +54,14 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("doc_id", n_bytes.alias("n_bytes"), "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def pages_interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of every page, in order; references name no stored media here and keep their place."""
+    parts = media.sequences(read(spark, sf_dir, "pages"), "page_id")
+    stored = spark.createDataFrame([], "digest string, media binary")
+    found = media.resolve(parts, stored)
+    return found.select(F.col("doc_id").alias("page_id"), "position", "kind", "text", F.col("digest").alias("reference"), "caption", F.col("media_bytes").isNotNull().alias("resolved"))
+
+
 def op8_toxicity_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold("doc_id", 4) != 2)
     return _scored(scores, 4, 2, 0.3)
@@ -90,7 +98,7 @@ def op13_lockstep_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_crf, op2_substring_dedup, op3_permutation_ann, op4_simhash_near_dedup, op5_token_counts, op6_masked_lm, op7_media_columns, op8_toxicity_string_kernel, op9_bin_completion_packing, op10_pfair_mixing, op11_huffman_tokens, op12_merkle_manifest, op13_lockstep_alignment)
+    every = (op1_quality_crf, op2_substring_dedup, op3_permutation_ann, op4_simhash_near_dedup, op5_token_counts, op6_masked_lm, op7_media_columns, op8_toxicity_string_kernel, op9_bin_completion_packing, op10_pfair_mixing, op11_huffman_tokens, op12_merkle_manifest, op13_lockstep_alignment, pages_interleaved)
     return {f.__name__: f for f in every}
 
 
