@@ -128,10 +128,38 @@ def test_long_series_are_filtered_in_runs(spark, chunk):
 
 def test_minimum_variance(spark):
     cov = np.diag([0.04, 0.01, 0.02])
-    rows = [("w", f"s{i}", f"s{j}", float(cov[i, j])) for i in range(3) for j in range(3)]
-    got = allocation.minimum_variance(spark.createDataFrame(rows, "window string, sleeve_a string, sleeve_b string, covariance double"), 1.0, 4000, "window")
-    w = np.array([r["weight"] for r in got.orderBy("sleeve").collect()])
-    assert np.allclose(w, (1 / np.diag(cov)) / (1 / np.diag(cov)).sum(), atol=1e-3) and abs(w.sum() - 1) < 1e-6
+    rows = [(w, f"s{i}", f"s{j}", float(cov[i, j])) for w, n in (("w", 3), ("short", 1)) for i in range(n) for j in range(n)]
+    got = allocation.minimum_variance(spark.createDataFrame(rows, "window string, sleeve_a string, sleeve_b string, covariance double"), 0.9, "window").orderBy("sleeve").collect()
+    w = np.array([r["weight"] for r in got if r["window"] == "w"])
+    assert np.allclose(w, (1 / np.diag(cov)) / (1 / np.diag(cov)).sum(), atol=1e-12) and all(r["residual"] < 1e-9 for r in got if r["window"] == "w")
+    assert [r["weight"] for r in got if r["window"] == "short"] == [None]
+
+
+def test_minimum_variance_equals_enumeration():
+    """Every choice of lower, upper and free weights, over random, singular and tied covariances."""
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        n = int(rng.integers(2, 6))
+        x = rng.normal(size=(n if trial % 3 else max(1, n - 2), n)) * rng.choice([0.01, 1.0, 30.0])
+        c = x.T @ x + (0 if trial % 4 else 1) * np.eye(n)
+        cap = float(rng.choice([1.0, 0.6, 1 / n + 0.05, 1 / n]))
+        best = np.inf
+        for kinds in product((0, 1, 2), repeat=n):
+            kinds = np.array(kinds)
+            w = np.where(kinds == 1, cap, 0.0)
+            free = kinds == 2
+            m = int(free.sum())
+            if m:
+                k = np.zeros((m + 1, m + 1))
+                k[:m, :m], k[:m, m], k[m, :m] = 2 * c[np.ix_(free, free)], -1, 1
+                w[free] = np.linalg.lstsq(k, np.append(-2 * c[np.ix_(free, ~free)] @ w[~free], 1 - w.sum()), rcond=1e-13)[0][:m]
+            if abs(w.sum() - 1) < 1e-9 and w.min() > -1e-12 and w.max() < cap + 1e-12:
+                best = min(best, w @ c @ w)
+        w, residual = allocation.capped_minimum(c, cap)
+        assert residual < 1e-9 and abs(w.sum() - 1) < 1e-9 and w.min() >= -1e-12 and w.max() <= cap + 1e-12
+        assert w @ c @ w <= best + 1e-9 * (1 + best), (trial, n, cap)
 
 
 def test_inverse_volatility_caps(spark):

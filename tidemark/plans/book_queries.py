@@ -188,7 +188,7 @@ def i7(spark, d):
     left = trained.select("window", "day", F.col("sleeve").alias("sleeve_a"), F.col("ret").alias("a"))
     right = trained.select("window", "day", F.col("sleeve").alias("sleeve_b"), F.col("ret").alias("b"))
     cov = left.join(right, ["window", "day"]).groupBy("window", "sleeve_a", "sleeve_b").agg(F.covar_samp("a", "b").alias("covariance"))
-    return allocation.minimum_variance(cov.where("covariance is not null"), 0.4, 500, "window")
+    return allocation.minimum_variance(cov.where("covariance is not null"), 0.4, "window")
 
 
 ORDERS = SHORTS + ", tg AS (SELECT day, asset, CASE WHEN asset % 4 = 0 THEN -0.001 ELSE 0.002 END AS weight FROM bars WHERE asset % 5 <> 0), j AS (SELECT day, asset, coalesce(p.quantity, 0) AS held, coalesce(t.weight, 0) * 1000000 / close AS want, close, borrow_available FROM tg t FULL JOIN pos p USING (day, asset) JOIN bars USING (day, asset)), ords AS (SELECT day, asset, close, CASE WHEN want < least(held, 0) AND NOT borrow_available THEN -greatest(held, 0) ELSE want - held END AS q FROM j), o AS (SELECT day, asset, q AS order_quantity, close * CASE WHEN q > 0 THEN 1 - 5 / 10000.0 ELSE 1 + 5 / 10000.0 END AS limit_price FROM ords WHERE abs(q) >= 1e-12)"
