@@ -124,3 +124,36 @@ def test_half_life_and_stability(spark):
     folds = spark.createDataFrame([("f", m) for m in (0.1, 0.2, -0.1)], "name string, metric double")
     assert stats.stability(folds, "name").first()["persistent"] is True
     assert datetime.date(2020, 1, 2).year == 2020
+
+
+@pytest.mark.parametrize("partitions", [1, 13])
+def test_ranks_by_ranges_equal_the_window(spark, partitions):
+    """Ties over most of a session, missing values and sessions, signed zeros, and a session over many ranges."""
+    import random
+
+    from tidemark.operators import ranks
+
+    rng = random.Random(1)
+    pick = lambda: rng.choice([None, 1.0, 1.0, 1.0, -0.0, 0.0, float(rng.randrange(40)), rng.random()])
+    rows = [(rng.choice([1, 1, 1, 2, None]), i, pick()) for i in range(2000)] + [(3, 9001, 5.0), (4, 9002, None)]
+    df = spark.createDataFrame(rows, "session_index int, asset int, x double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["asset"]: r["rank"] for r in ranks.ranked(df, "x", "session_index").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {r["asset"]: r["y"] for r in df.withColumn("y", E.rank(F.col("x"))).collect()}
+    assert got.keys() == want.keys() and all(got[k] == want[k] or abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert ranks.ranked(df.limit(0), "x", "session_index").count() == 0
+
+
+def test_one_session_is_split(spark):
+    """Half a million assets of one session reach several range tasks, and the ranks are exact."""
+    from tidemark.operators import ranks
+
+    n = 500_000
+    df = spark.range(n).select(F.lit(1).alias("session_index"), "id", ((F.col("id") * 7919) % n).cast("double").alias("x"))
+    out = ranks.ranked(df, "x", "session_index")
+    assert out.where(F.abs(F.col("rank") - F.col("x") / (n - 1)) > 1e-12).count() == 0
+    assert df.repartitionByRange("session_index", "x").select(F.spark_partition_id().alias("p")).groupBy("p").count().where("count > 0").count() > 1

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as X
 from tidemark.functions import factors as E
-from tidemark.operators import folds, models, pit, ranker, regimes, stats
+from tidemark.operators import folds, models, pit, ranker, ranks, regimes, stats
 
 from . import adapters as A
 from .registry import query
@@ -79,6 +79,12 @@ def e1(spark, d):
     return out(masked(spark, d), E.rank(F.col("v")).alias("r"))
 
 
+@query("e1_rank_by_ranges", MASKED + f" SELECT {KEYS}, round(CAST({RANK.format(x='v')} AS DOUBLE), 6) AS r FROM m")
+def e1_ranges(spark, d):
+    m = A.stored(masked(spark, d).select("session", "session_index", "asset", "v"))
+    return ranks.ranked(m, "v", "session_index", name="r").select("session", "asset", F.round("r", 6).alias("r"))
+
+
 @query("e2_zscore", MASKED + f" SELECT {KEYS}, round((v - avg(v) OVER s) / CASE WHEN stddev_pop(v) OVER s > 0 THEN stddev_pop(v) OVER s ELSE 1 END, 6) + 0.0 AS z FROM m WINDOW s AS (PARTITION BY session_index)")
 def e2(spark, d):
     return out(masked(spark, d), E.zscore(F.col("v")).alias("z"))
