@@ -54,11 +54,12 @@ def a3(spark, d):
     return T.sessions(spark, written(spark, c)).select("session", "session_index")
 
 
-@query("a4_required_columns", "SELECT unnest(['available_at', 'field', 'source_row_id', 'value']) AS missing WHERE (SELECT count(*) FROM lineitem) > 0")
+@query("a4_required_columns", "WITH have AS (SELECT column_name FROM (DESCRIBE SELECT l_shipdate AS session, l_suppkey AS asset FROM lineitem)) SELECT r AS missing, (SELECT count(*) FROM lineitem) AS n_rows FROM (SELECT unnest(['session', 'asset', 'field', 'value', 'available_at', 'source_row_id']) AS r) WHERE r NOT IN (SELECT column_name FROM have)")
 def a4(spark, d):
+    """The columns that the table lacks, and how many of its rows that concerns."""
     c = A.read(spark, d, "lineitem").select(A.month().alias("session"), F.col("l_suppkey").cast("string").alias("asset"))
     gone = T.missing_columns(c, T.OBSERVATIONS)
-    return c.limit(1).select(F.explode(F.array(*map(F.lit, gone))).alias("missing"))
+    return c.agg(F.count("*").alias("n_rows")).select(F.explode(F.array(*map(F.lit, gone))).alias("missing"), "n_rows")
 
 
 @query("a5_bars_csv", A.with_sql("bars") + " SELECT CAST(asset AS VARCHAR) AS asset, count(*) AS n, max(high) > 0 AS positive FROM bars WHERE day BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY 1")
@@ -346,7 +347,15 @@ def b22(spark, d):
     return quality.signalless(sleeves, s, A.event_days(spark, d), 5)
 
 
-@query("b23_refused_urls", "SELECT page_id FROM pages WHERE url NOT LIKE 'https://%' OR url LIKE '%#%'")
+URL_HOST = "lower(regexp_extract(url, '^[a-z]+://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
+
+
+@query(
+    "b23_refused_urls",
+    f"SELECT page_id FROM pages WHERE url IS NULL OR strlen(url) > 4096 OR regexp_matches(url, '[^!-~]|\\\\|#|%[01][0-9A-Fa-f]|%7[Ff]') OR NOT regexp_matches(url, '^https://[^/?#@:]+(:443)?([/?]|$)') "
+    f"OR NOT regexp_full_match({URL_HOST}, '[a-z0-9]([a-z0-9.-]*[a-z0-9])?') OR NOT contains({URL_HOST}, '.') OR contains({URL_HOST}, '..') OR regexp_full_match({URL_HOST}, 'localhost|metadata\\.google\\.internal|.*\\.(localhost|local|internal)') "
+    "OR len(list_filter(string_split(split_part(url, '?', 2), '&'), lambda p: regexp_matches(lower(url_decode(split_part(p, '=', 1))), 'token|secret|password|api.?key|authorization|signature|credential'))) > 0",
+)
 def b23(spark, d):
     return quality.refused_urls(A.read(spark, d, "pages")).select("page_id")
 
