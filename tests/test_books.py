@@ -211,3 +211,27 @@ def test_every_query_has_stable_columns(spark):
     assert entry.entry(spark).count() > 0
     for name in ("c1_as_of_vintage", "e6_nested_factor", "i2_target_weights", "s4_running_positions"):
         assert found[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_filter_states_sends_no_keys_to_the_driver(spark):
+    """Short series are one pass over the rows: no join, so nothing that grows with the series is broadcast."""
+    rows = [(s, t, float(s + t)) for s in range(50) for t in range(3)]
+    got = models.filter_states(spark.createDataFrame(rows, "series long, session_index int, value double"), [0.0, 3.0], [1.0, 1.0], 0.9, "series")
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == len(rows)
+
+
+def test_filter_states_over_batches(spark):
+    """Runs that cross batches go on from the state of the batch before, with and without a run's first row."""
+    rng = np.random.default_rng(5)
+    rows = [(s, t, float(v)) for s in "ab" for t, v in enumerate(rng.normal(size=40))]
+    series = spark.createDataFrame(rows, "series string, session_index int, value double")
+    want = {r[:2]: r[2] for r in models.filter_states(series, [0.0, 3.0], [1.0, 1.0], 0.9, "series").collect()}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for chunk in (7, 4096):
+            got = {r[:2]: r[2] for r in models.filter_states(series, [0.0, 3.0], [1.0, 1.0], 0.9, "series", chunk=chunk).collect()}
+            assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import softmax
+from tidemark.sources.tables import stored
 
 
 def gram_sums(rows: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -157,12 +159,15 @@ def filter_states(series: DataFrame, means: list[float], variances: list[float],
     A step is a product with transition x emissions, so steps are associative: a series is cut into
     runs of ``chunk`` session numbers, every run but the last becomes one states x states matrix (scaled to a greatest entry of 1), a
     series' matrices give the probabilities that each run begins with, and runs are then filtered side by side.
+    The rows are written once. A task steps the runs of a batch together and keeps one state between batches; where no series
+    has two runs, nothing but that pass over the rows is done.
     """
     k = len(means)
     move = np.full((k, k), (1 - stay) / max(k - 1, 1))
     np.fill_diagonal(move, stay)
     mean, variance = np.array(means), np.array(variances)
-    rows = series.select(*by, "session_index", "value").withColumn("__run", F.floor(F.col("session_index") / chunk).cast("long"))
+    run = F.floor(F.col("session_index") / chunk).cast("long")
+    rows = stored(series.where("session_index is not null").select(*by, "session_index", "value", run.alias("__run")))
     keys = ", ".join(f"`{c}` {t}" for c, t in series.select(*by).dtypes)
     index = dict(series.dtypes)["session_index"]
 
@@ -187,20 +192,42 @@ def filter_states(series: DataFrame, means: list[float], variances: list[float],
                 p /= p.sum()
         return frame[[*by, "__run"]].assign(first=out)
 
-    def steps(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("session_index", kind="stable")
-        emit, p = emissions(frame["value"].to_numpy(float)), np.array(frame["first"].iloc[0])
-        out = np.empty_like(emit)
-        for t in range(len(emit)):
-            p = (p @ move) * emit[t]
-            p = out[t] = p / p.sum()
-        return frame[[*by, "session_index"]].assign(probabilities=out.tolist())
-
-    runs = rows.groupBy(*by, "__run").agg(F.lit(1).alias("one")).drop("one")
-    last = runs.groupBy(*by).agg(F.max("__run").alias("__last"))
-    matrices = rows.join(last, [*by]).where("__run < __last").drop("__last").groupBy(*by, "__run").applyInPandas(product, f"{keys}, __run long, matrix array<double>")
-    firsts = runs.join(matrices, [*by, "__run"], "left").groupBy(*by).applyInPandas(begin, f"{keys}, __run long, first array<double>")
-    return rows.join(firsts, [*by, "__run"]).groupBy(*by, "__run").applyInPandas(steps, f"{keys}, session_index {index}, probabilities array<double>")
+    def steps(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = np.full(k, 1 / k)
+        for frame in frames:
+            if not len(frame):
+                continue
+            nth, first = frame["__n"].to_numpy(), frame["first"]
+            start = np.union1d(0, np.flatnonzero(nth == 1))
+            state = np.full((len(start), k), 1 / k)
+            if nth[0] != 1:
+                state[0] = p  # the run goes on from the batch before
+            size = np.diff(np.append(start, len(frame)))
+            given = first.iloc[start].notna().to_numpy()
+            if given.any():
+                state[given] = np.stack(first.iloc[start[given]].to_list())
+            at, left = start + given, size - given
+            out = emissions(frame["value"].to_numpy(float))
+            order = np.argsort(-left, kind="stable")
+            for t in range(left.max()):
+                live = order[: np.searchsorted(-left[order], -t)]
+                q = (state[live] @ move) * out[at[live] + t]
+                state[live] = out[at[live] + t] = q / q.sum(axis=1, keepdims=True)
+            p = state[-1].copy()
+            yield frame[[*by, "session_index"]].assign(probabilities=out.tolist())[first.isna().to_numpy()]
+
+    marked = rows.withColumn("first", F.lit(None).cast("array<double>"))
+    ends = rows.agg(F.min("__run").alias("lo"), F.max("__run").alias("hi")).first()
+    if ends["lo"] != ends["hi"]:
+        runs = stored(rows.groupBy(*by, "__run").agg(F.count("*").alias("__rows")))
+        last = runs.groupBy(*by).agg(F.max("__run").alias("__last"))
+        matrices = rows.join(last.hint("merge"), [*by]).where("__run < __last").drop("__last").groupBy(*by, "__run").applyInPandas(product, f"{keys}, __run long, matrix array<double>")
+        firsts = runs.drop("__rows").join(matrices.hint("merge"), [*by, "__run"], "left").groupBy(*by).applyInPandas(begin, f"{keys}, __run long, first array<double>")
+        # what a run begins with is a row before its own
+        marked = marked.unionByName(firsts, allowMissingColumns=True)
+    order = Window.partitionBy(*by, "__run").orderBy(F.asc_nulls_first("session_index"))
+    marked = marked.withColumn("__n", F.row_number().over(order)).select(*by, "session_index", "value", "first", "__n")
+    return marked.mapInPandas(steps, f"{keys}, session_index {index}, probabilities array<double>")
 
 
 def centroid_states(rows: DataFrame, value: str, states: int, *by: str) -> DataFrame:
