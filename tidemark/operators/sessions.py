@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import divide
+
 from .pit import next_session
 
 
@@ -14,6 +16,7 @@ def round_trips(books: DataFrame, calendar: DataFrame, bars: DataFrame) -> DataF
     Entry is close - m minutes, exit next open + k minutes. Every trade has the same
     notional (starting capital, capped and levered, net of entry cost): results do not
     compound. Trades without one of the bars are absent; ``missing_round_trips`` has them.
+    A trade whose entry price is zero has no quantity: its results are NULL.
     """
     rate = F.col("cost_bps") / 10_000
     sign = F.when(F.col("side") == "long", 1).otherwise(-1)
@@ -22,18 +25,18 @@ def round_trips(books: DataFrame, calendar: DataFrame, bars: DataFrame) -> DataF
     opens = bars.select("exchange", "asset", F.col("open_at").alias("entry_at"), F.col("open").alias("entry_price"), F.col("kind").alias("entry_kind"))
     exits = bars.where("kind = 'intraday'").select("exchange", "asset", F.col("open_at").alias("exit_at"), F.col("open").alias("exit_price"))
     out = trips.join(opens, ["exchange", "asset", "entry_at", "entry_kind"]).join(exits, ["exchange", "asset", "exit_at"])
-    out = out.withColumn("notional", notional).withColumn("quantity", sign * F.col("notional") / F.col("entry_price"))
+    out = out.withColumn("notional", notional).withColumn("quantity", divide(sign * F.col("notional"), F.col("entry_price")))
     out = out.withColumn("gross_pnl", F.col("quantity") * (F.col("exit_price") - F.col("entry_price")))
     out = out.withColumn("costs", rate * (F.col("notional") + F.abs("quantity") * F.col("exit_price")))
     out = out.withColumn("net_pnl", F.col("gross_pnl") - F.col("costs"))
-    return out.withColumn("trade_return", F.col("net_pnl") / F.col("notional"))
+    return out.withColumn("trade_return", divide(F.col("net_pnl"), F.col("notional")))
 
 
 def planned(books: DataFrame, calendar: DataFrame) -> DataFrame:
     """Entry and exit instants of every book and session that has a next session."""
     minutes = lambda c: F.make_dt_interval(F.lit(0), F.lit(0), F.col(c))
     days = next_session(calendar, "open_at").where("next_open_at is not null")
-    trips = F.broadcast(books).join(days, "exchange")
+    trips = books.join(F.broadcast(days), "exchange")  # the calendar is small, books grow
     trips = trips.withColumn("entry_at", F.col("close_at") - minutes("entry_minutes_before_close")).withColumn("exit_at", F.col("next_open_at") + minutes("exit_minutes_after_next_open"))
     return trips.withColumn("entry_kind", F.when(F.col("entry_minutes_before_close") == 0, "auction").otherwise("intraday"))
 
