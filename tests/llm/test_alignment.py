@@ -137,3 +137,14 @@ def test_links_of_large_groups(monkeypatch, limit):
     for (a0, a1, b0, b1), d in zip(groups.T, doc):
         true.update(int(d * 35 + x * 7 + y) for x in a[a0:a1] for y in b[b0:b1])
     assert dict(zip(key.tolist(), times.tolist())) == true and (np.diff(key) > 0).all()
+
+
+def test_long_word_has_its_tokens():
+    """A word of more than 65,535 tokens is encoded whole, not left out."""
+    import pyarrow as pa
+
+    model = alignment.encoders(*FILES)
+    text = "1;7.2,9!4?" * 14000
+    a, a_rows, b, b_rows = model.rows(*alignment.cut(pa.array([text, "a b"])))
+    assert a_rows[1] > 65535 and not (b == alignment.BROKEN).any() and len(a_rows) == len(b_rows) == 3
+    assert model.a_size[a[: a_rows[1]]].sum() == model.b_size[b[: b_rows[1]]].sum() == len(text) + 1

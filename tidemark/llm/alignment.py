@@ -73,20 +73,20 @@ class Pair:
             out = []
             for chunk, right in zip(chunks, b.encode([c[1:] for c in chunks], num_threads=1), strict=True):
                 left, right, raw = a.encode_ordinary(chunk), right or space, chunk.encode()
-                good = whole(raw, left, a_bytes) and whole(raw, right, b_bytes) and len(left) < BROKEN
-                out.append([len(left), *left, *right] if good else [1, BROKEN, BROKEN])
+                good = whole(raw, left, a_bytes) and whole(raw, right, b_bytes)
+                out.append([len(left) & 0xFFFF, len(left) >> 16, *left, *right] if good else [1, 0, BROKEN, BROKEN])
             return out
 
-        #: Number of A ids, the A ids and the B ids of a chunk.
+        #: Number of A ids (low and high 16 bits), the A ids and the B ids of a chunk.
         self.cache = Cache(encode, "<u2", 1 << 18)
 
     def rows(self, chunks: pa.DictionaryArray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
         """A ids of a batch, per row the index of its first one, and the same of B."""
         flat, off = self.cache.flat(chunks.dictionary.to_pylist())
-        n = flat[off[:-1]].astype(np.int64)
+        n = flat[off[:-1]].astype(np.int64) + (flat[off[:-1] + 1].astype(np.int64) << 16)
         index = chunks.indices.to_numpy(zero_copy_only=False)
         out = []
-        for start, size in ((off[:-1] + 1, n), (off[:-1] + 1 + n, np.diff(off) - 1 - n)):
+        for start, size in ((off[:-1] + 2, n), (off[:-1] + 2 + n, np.diff(off) - 2 - n)):
             at, ends = spread_runs(start[index], size[index])
             out += [flat[at], ends[rows]]
         return tuple(out)
