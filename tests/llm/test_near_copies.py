@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from tests.llm.test_dedup import table
 from tidemark.llm import near_copies
@@ -61,3 +62,35 @@ def test_stage_finds_pairs_that_simhash_misses(spark):
     kept = corpus_pipeline.near_duplicates(spark, table(spark, [*rows, (None, rows[6][1])]), "")
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in exact_groups(rows) if i == c} | {None}
     assert near_copies.near_groups(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("size", [4, 9, 200])
+def test_similar_texts_share_a_block_of_the_wide_simhash(size):
+    """Pairs of Jaccard 0.8 meet on blocks of SimHash bits and pass the radius on its first words; a text's repeats count once."""
+    rng = np.random.default_rng(size)
+    bits, blocks = near_copies.block_sizes(2000)
+    pairs = 2000
+    held = rng.integers(0, 1 << 64, (pairs, size + size // 4), np.uint64)
+    begin = lambda n: np.arange(pairs + 1) * n
+    a = near_copies.wide_hashes(held[:, :size].ravel(), begin(size), 8)
+    b = near_copies.wide_hashes(held.ravel(), begin(held.shape[1]), 8)
+    assert (near_copies.wide_hashes(np.repeat(held, 2, axis=1).ravel(), begin(2 * held.shape[1]), 8) == b).all()
+    meet = (near_copies.block_keys(a, bits, blocks) == near_copies.block_keys(b, bits, blocks)).any(axis=1)
+    near = np.bitwise_count(a[:, :2] ^ b[:, :2]).sum(axis=1, dtype=int) <= 38
+    assert (meet & near).mean() > 0.99
+
+
+def test_crowds_of_several_components(spark):
+    """Rows with many candidates of too little similarity: the checked tree is not enough, their texts are walked."""
+    rnd = random.Random(8)
+    base = [f"w{k}" for k in range(100)]
+    rows = []
+    for i in range(70):
+        new = list(base)
+        for p in rnd.sample(range(100), rnd.choice([1, 2, 3, 4, 5])):
+            new[p] = f"new{i}x{p}"
+        rows.append((i, " ".join(new)))
+    want = exact_groups(rows)
+    assert 1 < len({c for _, c in want}) < 70
+    for radius in (38, 60):
+        assert {tuple(r) for r in near_copies.near_groups(table(spark, rows), radius=radius).collect()} == want

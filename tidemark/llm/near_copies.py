@@ -1,16 +1,20 @@
-"""Near-duplicate components at Jaccard similarity 0.8 on five-word shingles.
-
-At that similarity two 64-bit SimHashes differ by about ten bits, too many for pigeonhole
-keys. Rows meet on bands of shingle minima instead: a pair at similarity s shares none of
-``bands`` bands of ``per_band`` minima with probability (1 - s**per_band)**bands, 0.0002 at
-0.8. Within a bucket, pairs whose SimHashes differ by ``radius`` bits at most are candidates,
-and every candidate is checked by the exact Jaccard similarity of its texts.
-
-Work is on distinct shingle multisets, so exact copies cost one row. Buckets of up to 24
-rows give all their candidates. In a larger one a breadth-first walk compares texts at hand
-and links each to the similar one it was reached from: n - 1 links at most. Buckets of more
-than ``bucket_rows`` are cut into chunks, and every pair of chunks is walked by a task of its
-own; no bucket is dropped or capped.
+"""Near-duplicate components at Jaccard similarity 0.8 on five-word shingles, by SimHash blocks.
+
+At that similarity about 15 % of the bits of two SimHashes differ, too many for blocks that a
+pair must share. So a text has a wide SimHash, of ``words`` words of 64 bits (each over
+its distinct shingles, whose XXH64 is mixed anew), and a block is a random choice of its
+bits, long enough that a bucket holds about 512 texts by chance. A pair whose bits
+differ with probability q shares none of n blocks of b bits with probability (1 - (1 - q)**b)**n.
+There are as many blocks as make that 0.0002 at q = 0.1875, the most at Jaccard 0.8 (sets of four and
+five shingles; from some ten shingles on q is 0.151). Within a bucket, pairs whose first two
+words differ by ``radius`` bits at most are candidates, and every candidate is checked by the
+exact Jaccard similarity of its texts.
+
+Work is on distinct shingle multisets, so exact copies cost one row. In a bucket, rows with
+up to four candidates give all of them. The others form crowds: a breadth-first walk gives a tree of
+candidates, of which a row's four nearest over all buckets are checked first, and every crowd that the checked
+links leave in several components is walked whole by its texts, which gives n - 1 links at most. Buckets of more than ``bucket_rows`` are cut into
+chunks, and every pair of chunks is searched by itself; no bucket is dropped or capped.
 
 Defined results: texts without words are copies of each other; texts of fewer than five
 words have their whole word sequence as only shingle; repeated ids keep a row each and go or
@@ -19,32 +23,56 @@ stay together; rows without an id stay and link nothing.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, pick
 from .components import components
 from .simhash import _bits, shingle_hashes
 
-#: Rows of a bucket whose pairs are all made.
-SMALL = 24
+#: Candidates of a row in its bucket up to which it gives all of them.
+SMALL = 4
+
+#: Most probable share of differing bits at Jaccard 0.8, and the share of such pairs that may meet in no block.
+DIFFERS, MISSED = 0.1875, 0.0002
+
+
+def block_sizes(n: int, bucket: int = 512) -> tuple[int, int]:
+    """Bits of a block and number of blocks for ``n`` texts."""
+    bits = min(max(10, math.ceil(math.log2(max(n, 1) / bucket))), 20)
+    return bits, math.ceil(math.log(MISSED) / math.log1p(-((1 - DIFFERS) ** bits)))
+
+
+def wide_hashes(hashes: np.ndarray, begin: np.ndarray, words: int, seed: int = 42) -> np.ndarray:
+    """SimHashes (row, word) over each row's distinct shingles."""
+    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
+    hashes, first = hashes[new], np.searchsorted(row[new], np.arange(len(begin)))
+    out = np.zeros((len(begin) - 1, words), np.uint64)
+    flip, one, two = np.random.default_rng(seed).integers(0, 1 << 64, (3, words), np.uint64)
+    for k in range(words):
+        mixed = (hashes ^ flip[k]) * (one[k] | np.uint64(1))
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * (two[k] | np.uint64(1))
+        out[:, k] = _bits(mixed ^ (mixed >> np.uint64(29)), first)
+    return out
 
 
-def band_keys(hashes: np.ndarray, begin: np.ndarray, bands: int, per_band: int, seed: int = 42) -> np.ndarray:
-    """Keys (row, band) of the rows' shingle minima; rows without shingles are left out."""
-    first = begin[:-1][np.diff(begin) > 0]
+def block_keys(wide: np.ndarray, bits: int, blocks: int, seed: int = 42) -> np.ndarray:
+    """Keys (row, block): the chosen bits of each block."""
     rng = np.random.default_rng(seed)
-    flip, odd = rng.integers(0, 1 << 64, (2, bands * per_band), np.uint64)
-    odd |= np.uint64(1)
-    out = np.zeros((len(first), bands), np.uint64)
-    for k in range(bands * per_band if len(first) else 0):
-        least = np.minimum.reduceat((hashes ^ flip[k]) * odd[k], first)
-        out[:, k // per_band] = out[:, k // per_band] * np.uint64(0x9E3779B97F4A7C15) + (least ^ (least >> np.uint64(29)))
+    every = np.unpackbits(wide.view(np.uint8), axis=1)
+    out = np.zeros((len(wide), blocks), np.int32)
+    for k in range(blocks):
+        out[:, k] = every[:, rng.choice(64 * wide.shape[1], bits, replace=False)] @ (1 << np.arange(bits, dtype=np.int32))
     return out
 
 
@@ -57,69 +85,102 @@ def digests(hashes: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def _marks(docs: DataFrame, shingle: int, bands: int, per_band: int) -> DataFrame:
-    """(doc_id, node, fp, keys) of ``docs`` (doc_id, text)."""
+def _marks(docs: DataFrame, shingle: int, words: int, bits: int, blocks: int) -> DataFrame:
+    """(doc_id, node, one, two, keys) of ``docs`` (doc_id, text); rows without words have no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for hashes, begin in shingle_hashes(batch.column(1), shingle):
-                n = len(begin) - 1
-                keys = band_keys(hashes, begin, bands, per_band)
-                offsets = np.concatenate([[0], np.cumsum((np.diff(begin) > 0) * bands)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(digests(hashes, begin).view(np.int64)), pa.array(_bits(hashes, begin).view(np.int64)), lists], names=["doc_id", "node", "fp", "keys"])
+                n, full = len(begin) - 1, np.diff(begin) > 0
+                wide = wide_hashes(hashes, begin, words)
+                keys = block_keys(wide[full], bits, blocks)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * blocks)]).astype(np.int32)), pa.array(keys.ravel()))
+                first = [pa.array(np.ascontiguousarray(wide[:, k]).view(np.int64)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(digests(hashes, begin).view(np.int64)), *first, lists], names=["doc_id", "node", "one", "two", "keys"])
                 at += n
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, fp long, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, one long, two long, keys array<int>")
+
 
+def _differ(fp: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Differing bits of two-word fingerprints and those of ``at`` (the last axis holds the words)."""
+    return np.bitwise_count(fp ^ at).sum(axis=-1, dtype=np.int64)
 
-def _walk(sets: list[np.ndarray], fp: np.ndarray, radius: int, similarity: float) -> tuple[list[int], list[int]]:
-    """Links (member, the similar one it was reached from) that join all similar sets."""
-    size = np.array([len(x) for x in sets])
-    begin = np.concatenate([[0], np.cumsum(size)])
-    names, code = np.unique(np.concatenate(sets), return_inverse=True)
-    free = np.arange(1, len(sets))
-    queue, u, v = [0], [], []
+
+def _walk(fp: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, similarity: float = 0.0) -> tuple[list[int], list[int], np.ndarray]:
+    """Links (member, the row it was reached from) that join all rows within ``radius`` and, given ``sets``, similar enough; and each row's first."""
+    if sets is not None:
+        size = np.array([len(x) for x in sets])
+        begin = np.concatenate([[0], np.cumsum(size)])
+        names, code = np.unique(np.concatenate(sets), return_inverse=True)
+    free, root = np.arange(1, len(fp)), 0
+    queue, u, v, label = [0], [], [], np.zeros(len(fp), np.int64)
     while len(free):
         x = queue.pop() if queue else -1
         if x < 0:
-            x, free = int(free[0]), free[1:]
-        near = free[np.bitwise_count(fp[free] ^ fp[x]) <= radius]
-        if len(near):
+            root = x = int(free[0])
+            free, label[x] = free[1:], root
+        got = free[_differ(fp[free], fp[x]) <= radius]
+        if sets is not None and len(got):
             has = np.zeros(len(names), bool)
             has[code[begin[x] : begin[x + 1]]] = True
-            part = size[near]
+            part = size[got]
             first = np.cumsum(part) - part
-            both = np.add.reduceat(has[code[np.repeat(begin[near] - first, part) + np.arange(part.sum())]], first, dtype=np.int64)
-            got = near[both >= similarity * (part + size[x] - both)]
+            both = np.add.reduceat(has[code[np.repeat(begin[got] - first, part) + np.arange(part.sum())]], first, dtype=np.int64)
+            got = got[both >= similarity * (part + size[x] - both)]
+        if len(got):
             free = free[~np.isin(free, got)]
+            label[got] = root
             u += got.tolist()
             v += [x] * len(got)
             queue += got.tolist()
-    return u, v
+    return u, v, label
 
 
 def _search(radius: int):
-    """Candidates of each (band, key) run of rows sorted by it; runs may cross batches."""
+    """Candidates (u, v, bits; -1 where all are wanted) and crowds (u, crowd) of each (block, key, cell) run of rows sorted by it; runs may cross batches."""
+
+    def bucket(node: np.ndarray, fp: np.ndarray) -> tuple[list[np.ndarray], ...]:
+        step = max(1, (1 << 20) // len(node))
+        slabs = range(0, len(node), step)
+        close = [_differ(fp[a : a + step, None], fp[None]) <= radius for a in slabs]
+        busy = np.concatenate([c.sum(axis=1) for c in close]) > SMALL + 1  # a row is close to itself
+        u, v = [], []
+        for a, c in zip(slabs, close, strict=True):
+            i, j = np.nonzero(c)
+            i += a
+            keep = (i > j) & ~(busy[i] & busy[j])
+            u.append(node[i[keep]])
+            v.append(node[j[keep]])
+        bits, crowd = [np.full(len(x), -1) for x in u], [np.zeros(len(x), np.int64) for x in u]
+        at = np.flatnonzero(busy)
+        if len(at):
+            a, b, label = _walk(fp[at], radius)
+            names = np.zeros(len(at), np.int64)
+            for x in np.unique(label):
+                held = label == x
+                # equal crowds of several buckets have one number
+                names[held] = int.from_bytes(hashlib.blake2b(np.sort(node[at][held]).tobytes(), digest_size=8).digest(), "little", signed=True) | 1
+            u += [node[at[a]], node[at]]
+            v += [node[at[b]], node[at]]
+            bits += [_differ(fp[at[a]], fp[at[b]]), np.full(len(at), -1)]
+            crowd += [np.zeros(len(a), np.int64), names]
+        return u, v, bits, crowd
 
     def links(frame: pd.DataFrame) -> pd.DataFrame:
-        node, fp = frame["node"].to_numpy(np.int64), frame["fp"].to_numpy(np.int64).view(np.uint64)
-        ids = frame[["band", "key"]].to_numpy()
+        node, fp = frame["node"].to_numpy(np.int64), frame[["one", "two"]].to_numpy(np.int64).view(np.uint64)
+        ids = frame[["block", "key", "cell"]].to_numpy()
         new = np.append(True, (ids[1:] != ids[:-1]).any(axis=1)) if len(ids) else np.zeros(0, bool)
         begin = np.append(np.flatnonzero(new), len(ids))
-        size = np.diff(begin)
-        group = np.repeat(np.arange(len(size)), size)
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d in range(1, min(SMALL, len(group))):
-            a = np.flatnonzero(group[:-d] == group[d:])
-            if not len(a):
-                break
-            a = a[np.bitwise_count(fp[a] ^ fp[a + d]) <= radius]
-            u.append(node[a + d])
-            v.append(node[a])
-        u, v = np.concatenate(u), np.concatenate(v)
-        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v)}).drop_duplicates()
+        out = [], [], [], []
+        for k in np.flatnonzero(np.diff(begin) > 1).tolist():
+            found = bucket(node[begin[k] : begin[k + 1]], fp[begin[k] : begin[k + 1]])
+            for held, more in zip(out, found, strict=True):
+                held += more
+        none = [np.zeros(0, np.int64)]
+        u, v, bits, crowd = (np.concatenate(none + x) for x in out)
+        return pd.DataFrame({"u": np.maximum(u, v), "v": np.minimum(u, v), "bits": bits, "crowd": crowd}).drop_duplicates()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -127,8 +188,7 @@ def _search(radius: int):
             if not len(frame):
                 continue
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            last = frame.iloc[-1]
-            open_ = ((frame["band"] == last["band"]) & (frame["key"] == last["key"])).to_numpy()
+            open_ = (frame[["block", "key", "cell"]] == frame[["block", "key", "cell"]].iloc[-1]).all(axis=1).to_numpy()
             rest = frame[open_].reset_index(drop=True)
             yield links(frame[~open_].reset_index(drop=True))
         if rest is not None:
@@ -172,40 +232,54 @@ def node_texts(needed: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int, bucket_rows: int) -> DataFrame:
-    """Links (u, v) between similar ``nodes`` (node, least, fp, keys) that join all those that share a band."""
-    rows = nodes.select("node", "fp", F.posexplode("keys").alias("band", "key"))
-    busy = materialize(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    rows = materialize(rows.join(busy, ["band", "key"]))
-    few = rows.where(F.col("n") <= SMALL).repartition("band", "key").sortWithinPartitions("band", "key", "node")
-    pairs = materialize(few.select("band", "key", "node", "fp").mapInPandas(_search(radius), "u long, v long").distinct())
-    many = rows.where(F.col("n") > SMALL)
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(many.select("node")).distinct()
-    texts = node_texts(materialize(wanted.join(nodes.select("node", "least"), "node")), docs, shingle)
-    one, two = texts.toDF("u", "one"), texts.toDF("v", "two")
-    checked = pairs.join(one, "u").join(two, "v").select("u", "v", "one", "two").mapInArrow(_similar(similarity, shingle), "u long, v long")
+    """Links (u, v) between similar ``nodes`` (node, least, one, two, keys) that join all those that share a block."""
+    rows = nodes.select("node", "one", "two", F.posexplode("keys").alias("block", "key"))
+    large = materialize(rows.groupBy("block", "key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows))
     cells = (
-        many.withColumn("chunks", F.ceil(F.col("n") / bucket_rows).cast("int"))
+        rows.join(large, ["block", "key"], "left")
+        .withColumn("chunks", F.coalesce(F.ceil(F.col("n") / bucket_rows).cast("int"), F.lit(1)))
         .withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         # the task of the pair of chunks (a, b), a <= b, has number a * chunks + b
         .withColumn("cell", (F.least("part", "other") * F.col("chunks") + F.greatest("part", "other")).cast("int"))
-        .select("band", "key", "cell", "node", "fp")
+        .select("block", "key", "cell", "node", "one", "two")
     )
+    dealt = cells.repartition("block", "key", "cell").sortWithinPartitions("block", "key", "cell")
+    found = materialize(dealt.mapInPandas(_search(radius), "u long, v long, bits long, crowd long"))
+    once = found.where("crowd = 0").groupBy("u", "v").agg(F.min("bits").alias("bits"))
+    near = F.row_number().over(Window.partitionBy("u").orderBy("bits", "v"))
+    pairs = materialize(once.withColumn("near", near).where((F.col("bits") < 0) | (F.col("near") <= SMALL)).select("u", "v"))
+
+    def held(wanted: DataFrame) -> DataFrame:
+        return node_texts(materialize(wanted.distinct().join(nodes.select("node", "least"), "node")), docs, shingle)
+
+    texts = held(pairs.select(F.explode(F.array("u", "v")).alias("node")))
+    one, two = texts.toDF("u", "one"), texts.toDF("v", "two")
+    checked = materialize(pairs.join(one, "u").join(two, "v").select("u", "v", "one", "two").mapInArrow(_similar(similarity, shingle), "u long, v long"))
+    crowds = materialize(found.where("crowd <> 0").select("crowd", F.col("u").alias("node")).distinct())
+    if crowds.isEmpty():
+        return checked
+    named = crowds.join(components(checked), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = named.groupBy("crowd").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    left = materialize(crowds.join(split.select("crowd"), "crowd"))
+    if left.isEmpty():
+        return checked
 
     def walk(run: pd.DataFrame) -> pd.DataFrame:
         run = run.sort_values("node")
-        node = run["node"].to_numpy(np.int64)
-        u, v = _walk(list(_sets(pa.array(run["text"], pa.string()), shingle)), run["fp"].to_numpy(np.int64).view(np.uint64), radius, similarity)
+        node, fp = run["node"].to_numpy(np.int64), run[["one", "two"]].to_numpy(np.int64).view(np.uint64)
+        u, v, _ = _walk(fp, radius, list(_sets(pa.array(run["text"], pa.string()), shingle)), similarity)
         return pd.DataFrame({"u": node[u], "v": node[v]}, dtype=np.int64)
 
-    return checked.unionByName(cells.join(texts, "node").groupBy("band", "key", "cell").applyInPandas(walk, "u long, v long"))
+    whole = left.join(nodes.select("node", "one", "two"), "node").join(held(left.select("node")), "node")
+    return checked.unionByName(whole.groupBy("crowd").applyInPandas(walk, "u long, v long"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 22, bands: int = 16, per_band: int = 4, bucket_rows: int = 512) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 38, words: int = 8, bucket_rows: int = 2048) -> DataFrame:
     """(doc_id, component_id) of every row with an id."""
     base = pick(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long")).where("doc_id is not null")
-    marked = materialize(_marks(base, shingle, bands, per_band))
-    nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    marked = materialize(_marks(base, shingle, words, *block_sizes(base.count())))
+    nodes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("one", "two", "keys")]))
     found = components(similar_links(nodes, base, shingle, similarity, radius, bucket_rows))
     named = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")))
