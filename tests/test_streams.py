@@ -2,6 +2,8 @@
 
 import datetime
 
+import numpy as np
+import pandas as pd
 import pytest
 from tidemark.streaming import books
 
@@ -65,3 +67,55 @@ def test_parts_do_not_show(spark, tmp_path, parts):
     stream = spark.readStream.schema(EVENT).parquet(str(tmp_path / "in"))
     got = books.drain(books.ingested(stream, "at", "1 day", 86400, ["body"], parts), str(tmp_path / "out"), rocksdb=True).collect()
     assert len(got) == 200 and sum(r["verdict"] == "accepted" for r in got) == 80
+
+
+def test_a_call_reads_and_writes_each_bucket_once():
+    """State calls of a batch do not grow with its events."""
+
+    class State(dict):
+        calls = 0
+
+        def getValue(self, key):
+            self.calls += 1
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            self.calls += 1
+            self[key] = value
+
+        def removeKey(self, key):
+            self.calls += 1
+            del self[key]
+
+        def iterator(self):
+            return iter(self.items())
+
+    class Timer:
+        at = None
+        exists = lambda self: self.at is not None
+        get = lambda self: self.at
+
+        def update(self, at):
+            self.at = at
+
+        def clear(self):
+            self.at = None
+
+    class Handle:
+        registerTimer = deleteTimer = lambda self, at: None
+
+    class Clock:
+        getCurrentWatermarkInMs = lambda self: 5100
+
+    state = books.Ingestion(100)
+    state.handle, state.seen, state.timer = Handle(), State(), Timer()
+    rows = pd.DataFrame({"event_id": np.arange(-5000, 5000), "hash": np.arange(10000) % 7, "clock": np.arange(10000)})
+    again = rows.assign(hash=(rows["event_id"] % 2 == 0) * 100 + rows["hash"], clock=rows["clock"] + 1)
+    verdicts = lambda frame: next(state.handleInputRows((1, 0), iter([frame]), None)).set_index("event_id")["verdict"].to_dict()
+    assert set(verdicts(rows).values()) == {"accepted"} and state.timer.at == (100,)
+    want = {i: "changed" if i % 2 == 0 else "replayed" for i in range(-5000, 5000)}
+    assert verdicts(again) == want
+    assert state.seen.calls <= 300
+    list(state.handleExpiredTimer((1, 0), Clock(), None))
+    assert state.timer.at == (5101,)
+    assert verdicts(again) == {i: v if i + 5000 > 5000 else "accepted" for i, v in want.items()}
