@@ -94,3 +94,19 @@ def test_crowds_of_several_components(spark):
     assert 1 < len({c for _, c in want}) < 70
     for radius in (38, 60):
         assert {tuple(r) for r in near_copies.near_groups(table(spark, rows), radius=radius).collect()} == want
+
+
+def test_a_group_is_walked_once_not_once_a_block(spark):
+    """Crowds of many blocks that share rows become one, or chunk pairs that hold every pair of its rows."""
+    rnd = random.Random(5)
+    rows = [(crowd, node) for crowd in range(1, 41) for node in sorted(rnd.sample(range(50), 30))] + [(99, 70), (99, 71)]
+    table_ = spark.createDataFrame([(c, n, min(m for d, m in rows if d == c)) for c, n in rows], "crowd long, node long, least long")
+    for most in (64, 16):
+        crowds = {}
+        for r in near_copies._merged(table_, most).collect():
+            crowds.setdefault((r["least"], r["crowd"]), set()).add(r["node"])
+        assert sum(len(x) for x in crowds.values()) <= 50 * max(1, 2 * 50 // most) + 2
+        for i in range(50):
+            assert all(any({i, j} <= x for x in crowds.values()) for j in range(i))
+        assert {70, 71} in crowds.values()
+    assert {(r["crowd"], r["node"]) for r in near_copies._merged(table_.where("crowd < 3"), 2).collect()} == {x for x in rows if x[0] < 3}

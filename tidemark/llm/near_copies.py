@@ -13,8 +13,9 @@ exact Jaccard similarity of its texts.
 Work is on distinct shingle multisets, so exact copies cost one row. In a bucket, rows with
 up to four candidates give all of them. The others form crowds: a breadth-first walk gives a tree of
 candidates, of which a row's four nearest over all buckets are checked first, and every crowd that the checked
-links leave in several components is walked whole by its texts, which gives n - 1 links at most. Buckets of more than ``bucket_rows`` are cut into
-chunks, and every pair of chunks is searched by itself; no bucket is dropped or capped.
+links leave in several components is walked whole by its texts, which gives n - 1 links at most. The crowds that a group
+of texts forms in many blocks share rows and are walked as one (`_merged`), not once a block. Buckets of more than
+``bucket_rows`` are cut into chunks, and every pair of chunks is searched by itself; no bucket is dropped or capped.
 
 Defined results: texts without words are copies of each other; texts of fewer than five
 words have their whole word sequence as only shingle; repeated ids keep a row each and go or
@@ -108,8 +109,11 @@ def _differ(fp: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp ^ at).sum(axis=-1, dtype=np.int64)
 
 
-def _walk(fp: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, similarity: float = 0.0) -> tuple[list[int], list[int], np.ndarray]:
-    """Links (member, the row it was reached from) that join all rows within ``radius`` and, given ``sets``, similar enough; and each row's first."""
+def _walk(fp: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, similarity: float = 0.0, known: np.ndarray | None = None) -> tuple[list[int], list[int], np.ndarray]:
+    """Links (member, the row it was reached from) that join all rows within ``radius`` and, given ``sets``, similar enough; and each row's first.
+
+    Rows of one ``known`` component are reached from each other without a link.
+    """
     if sets is not None:
         size = np.array([len(x) for x in sets])
         begin = np.concatenate([[0], np.cumsum(size)])
@@ -121,6 +125,10 @@ def _walk(fp: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, sim
         if x < 0:
             root = x = int(free[0])
             free, label[x] = free[1:], root
+        if known is not None and (same := known[free] == known[x]).any():
+            label[free[same]] = root
+            queue += free[same].tolist()
+            free = free[~same]
         got = free[_differ(fp[free], fp[x]) <= radius]
         if sets is not None and len(got):
             has = np.zeros(len(names), bool)
@@ -139,7 +147,7 @@ def _walk(fp: np.ndarray, radius: int, sets: list[np.ndarray] | None = None, sim
 
 
 def _search(radius: int):
-    """Candidates (u, v, bits; -1 where all are wanted) and crowds (u, crowd) of each (block, key, cell) run of rows sorted by it; runs may cross batches."""
+    """Candidates (u, v, bits; -1 where all are wanted) and crowds (u, its smallest row as v, crowd) of each (block, key, cell) run of rows sorted by it; runs may cross batches."""
 
     def bucket(node: np.ndarray, fp: np.ndarray) -> tuple[list[np.ndarray], ...]:
         step = max(1, (1 << 20) // len(node))
@@ -157,13 +165,14 @@ def _search(radius: int):
         at = np.flatnonzero(busy)
         if len(at):
             a, b, label = _walk(fp[at], radius)
-            names = np.zeros(len(at), np.int64)
+            names, least = np.zeros((2, len(at)), np.int64)
             for x in np.unique(label):
                 held = label == x
+                least[held] = node[at][held].min()
                 # equal crowds of several buckets have one number
                 names[held] = int.from_bytes(hashlib.blake2b(np.sort(node[at][held]).tobytes(), digest_size=8).digest(), "little", signed=True) | 1
             u += [node[at[a]], node[at]]
-            v += [node[at[b]], node[at]]
+            v += [node[at[b]], least]
             bits += [_differ(fp[at[a]], fp[at[b]]), np.full(len(at), -1)]
             crowd += [np.zeros(len(a), np.int64), names]
         return u, v, bits, crowd
@@ -231,6 +240,28 @@ def node_texts(needed: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     return materialize(texts.dropDuplicates(["node"]))
 
 
+def _merged(rows: DataFrame, most: int) -> DataFrame:
+    """(least, crowd, node): crowds ``rows`` (crowd, node, least) that share rows as one.
+
+    One of more than ``most`` rows is cut into chunks, and every pair of chunks is a crowd, unless its first crowds hold fewer rows in all.
+    """
+    shared = rows.distinct().withColumn("least", F.min("least").over(Window.partitionBy("node")))
+    shared = materialize(shared.withColumn("least", F.min("least").over(Window.partitionBy("crowd"))))
+    chunks = F.ceil(2 * F.col("n") / most).cast("int")
+    sizes = materialize(shared.groupBy("least").agg(F.countDistinct("node").alias("n"), F.count("*").alias("rows")).withColumn("chunks", F.when(F.col("n") <= most, 1).otherwise(chunks)))
+    sized = shared.join(sizes, "least")
+    whole = (
+        sized.where("n * greatest(chunks - 1, 1) <= rows")
+        .select("least", "node", "chunks")
+        .distinct()
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .where("chunks = 1 or part <> other")
+        .select("least", (F.least("part", "other") * F.col("chunks") + F.greatest("part", "other")).cast("long").alias("crowd"), "node")
+    )
+    return materialize(whole.unionByName(sized.where("n * greatest(chunks - 1, 1) > rows").select("least", "crowd", "node")))
+
+
 def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int, bucket_rows: int) -> DataFrame:
     """Links (u, v) between similar ``nodes`` (node, least, one, two, keys) that join all those that share a block."""
     rows = nodes.select("node", "one", "two", F.posexplode("keys").alias("block", "key"))
@@ -256,23 +287,23 @@ def similar_links(nodes: DataFrame, docs: DataFrame, shingle: int, similarity: f
     texts = held(pairs.select(F.explode(F.array("u", "v")).alias("node")))
     one, two = texts.toDF("u", "one"), texts.toDF("v", "two")
     checked = materialize(pairs.join(one, "u").join(two, "v").select("u", "v", "one", "two").mapInArrow(_similar(similarity, shingle), "u long, v long"))
-    crowds = materialize(found.where("crowd <> 0").select("crowd", F.col("u").alias("node")).distinct())
+    crowds = _merged(found.where("crowd <> 0").select("crowd", F.col("u").alias("node"), F.col("v").alias("least")), bucket_rows)
     if crowds.isEmpty():
         return checked
     named = crowds.join(components(checked), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = named.groupBy("crowd").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    left = materialize(crowds.join(split.select("crowd"), "crowd"))
+    split = named.groupBy("least", "crowd").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    left = materialize(named.join(split.select("least", "crowd"), ["least", "crowd"]))
     if left.isEmpty():
         return checked
 
     def walk(run: pd.DataFrame) -> pd.DataFrame:
         run = run.sort_values("node")
         node, fp = run["node"].to_numpy(np.int64), run[["one", "two"]].to_numpy(np.int64).view(np.uint64)
-        u, v, _ = _walk(fp, radius, list(_sets(pa.array(run["text"], pa.string()), shingle)), similarity)
+        u, v, _ = _walk(fp, radius, list(_sets(pa.array(run["text"], pa.string()), shingle)), similarity, run["component"].to_numpy(np.int64))
         return pd.DataFrame({"u": node[u], "v": node[v]}, dtype=np.int64)
 
-    whole = left.join(nodes.select("node", "one", "two"), "node").join(held(left.select("node")), "node")
-    return checked.unionByName(whole.groupBy("crowd").applyInPandas(walk, "u long, v long"))
+    marks = materialize(held(left.select("node")).join(nodes.select("node", "one", "two"), "node"))
+    return checked.unionByName(left.join(marks, "node").groupBy("least", "crowd").applyInPandas(walk, "u long, v long"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 38, words: int = 8, bucket_rows: int = 2048) -> DataFrame:
