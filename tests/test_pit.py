@@ -325,3 +325,13 @@ def test_source_totals_are_those_of_the_expanded_rows(spark):
     assert got.keys() == want.keys() and len(got) > 5
     assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) and got[k][2] == want[k][2] for k in got)
     assert "sequence(__first" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_early_features_count_equal_lines_apart(spark, tmp_path):
+    """b19: a line that occurs twice is two rows, as in its SQL."""
+    from __spark_entry__ import queries
+
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz"
+    lines = [(1, 1, 1, 1, 5.0, 50.0, datetime.datetime(1995, 3, 30))] * 2 + [(2, 1, 1, 2, 5.0, 50.0, datetime.datetime(1995, 3, 3)), (3, 1, 1, 1, 5.0, 50.0, datetime.datetime(1995, 3, 30))]
+    spark.createDataFrame(lines, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert {tuple(r) for r in queries()["b19_early_features"](spark, str(tmp_path)).collect()} == {(1, 2), (3, 1)}

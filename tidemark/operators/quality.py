@@ -101,11 +101,12 @@ def false_quotes(spans: DataFrame, documents: DataFrame) -> DataFrame:
 def early_features(rows: DataFrame, sources: DataFrame, exposures: DataFrame, sessions: DataFrame) -> DataFrame:
     """Feature rows that depend on something not yet known at their session's decision.
 
-    ``rows`` has session and contributions array<struct<source_id, exposure_id>>.
+    ``rows`` has session and contributions array<struct<source_id, exposure_id>>. Sources and exposures grow with the rows
+    and are never broadcast.
     """
     parts = rows.select("feature_id", "session", F.explode("contributions").alias("c")).select("feature_id", "session", "c.*")
-    known = parts.join(sources.select("source_id", F.col("usable_at").alias("source_at")), "source_id", "left")
-    known = known.join(exposures.select("exposure_id", F.col("available_at").alias("exposure_at")), "exposure_id", "left")
+    known = parts.join(sources.select("source_id", F.col("usable_at").alias("source_at")).hint("merge"), "source_id", "left")
+    known = known.join(exposures.select("exposure_id", F.col("available_at").alias("exposure_at")).hint("merge"), "exposure_id", "left")
     known = known.join(F.broadcast(sessions.select("session", "decision_at")), "session", "left")
     fine = (F.col("source_at") <= F.col("decision_at")) & (F.col("exposure_at") <= F.col("decision_at"))
     return known.where(~F.coalesce(fine, F.lit(False))).select("feature_id", "source_id", "exposure_id")
