@@ -110,3 +110,26 @@ def test_a_group_is_walked_once_not_once_a_block(spark):
             assert all(any({i, j} <= x for x in crowds.values()) for j in range(i))
         assert {70, 71} in crowds.values()
     assert {(r["crowd"], r["node"]) for r in near_copies._merged(table_.where("crowd < 3"), 2).collect()} == {x for x in rows if x[0] < 3}
+
+
+def test_a_bucket_names_each_row_of_a_crowd_once_and_no_walked_or_unfit_pairs():
+    """Near copies give one row each, with the link to their tree; rows of few candidates give pairs."""
+    import pandas as pd
+
+    fp = np.zeros((63, 2), np.int64)
+    fp[40, 0], fp[41, 1] = 7, 1 << 20  # near the others
+    fp[60:] = -1  # three rows of their own
+    nodes = np.arange(63) - 20
+    frame = pd.DataFrame({"block": 1, "key": 2, "cell": 0, "node": nodes, "one": fp[:, 0], "two": fp[:, 1], "size": 80, "walked": nodes})
+    search = lambda x: pd.concat(near_copies._search(38, 0.8)(iter([x[:50], x[50:]])))
+    ends = lambda x: {tuple(sorted(p)) for p in x[["u", "v"]].to_numpy().tolist() if p[0] != p[1]}
+    got = search(frame)
+    crowd, pairs = got[got["crowd"] != 0], got[got["crowd"] == 0]
+    assert sorted(crowd["u"]) == list(range(-20, 40)) and crowd["crowd"].nunique() == 1
+    assert (crowd["u"] == crowd["v"]).sum() == 1 and set(crowd["bits"]) <= {0, 1, 3, 4}
+    assert ends(pairs) == {(40, 41), (40, 42), (41, 42)} and set(pairs["bits"]) == {-1}
+    one = np.where(nodes < 40, -20, nodes)
+    assert ends(search(frame.assign(walked=one))) == {(40, 41), (40, 42), (41, 42)}
+    assert ends(search(frame.assign(walked=np.where(nodes == 0, 0, one)))) >= {tuple(sorted((0, i))) for i in range(-20, 40) if i}
+    # 80 shingles may share eight tenths with 100, not with 101
+    assert ends(search(frame[60:].assign(size=[80, 100, 101]))) == {(40, 41), (41, 42)}
