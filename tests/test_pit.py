@@ -203,6 +203,20 @@ def test_sweep_equals_every_pair(spark, monkeypatch, seed, half_life, span):
     assert all(abs(got[k][0] - sums[k][0]) < 1e-9 * (1 + abs(sums[k][0])) and got[k][1] == sums[k][1] for k in sums)
 
 
+@pytest.mark.parametrize("days", [1, 21])
+def test_lineages_list_the_contributions(spark, days):
+    """Ids in order, also where those of several days lie among each other (e10 between e1 and e2)."""
+    _, _, _, cal, sources, exposures = random_history(spark, 4)
+    coarse = F.date_add(F.lit("2020-01-01"), (F.floor(F.date_diff("observed_on", F.lit("2020-01-01")) / days) * days).cast("int"))
+    usable = pit.eligible_session(sources.withColumn("observed_on", coarse), cal, "extracted_at")
+    want = {}
+    for r in sweep.contributions(usable, exposures, cal, 45).collect():
+        want.setdefault((r["session"], r["asset"]), []).extend(f"{r['source_key']}:{i}" for i in r["observation_ids"])
+    got = sweep.lineages(usable, exposures, cal, 45).collect()
+    assert {(r["session"], r["asset"]): r["lineage"] for r in got} == {k: ",".join(sorted(v)) for k, v in want.items()} and len(got) == len(want) > 50
+    assert sweep.lineages(usable.limit(0), exposures, cal, 45).count() == 0
+
+
 def test_sweep_of_nothing(spark, feature):
     sources, exposures, calendar = feature
     usable = pit.eligible_session(sources, calendar, "published_at")

@@ -115,3 +115,32 @@ def contributions(sources: DataFrame, exposures: DataFrame, calendar: DataFrame,
     runs = weights.join(groups, ["source_key", "observed_on"]).withColumn("first", F.greatest("first", "since")).withColumn("last", F.least("last", "until")).where("first <= last")
     spread = runs.withColumn("session_index", F.explode(F.sequence("first", "last")))
     return spread.join(F.broadcast(calendar.select("session", "session_index")), "session_index").select("session", "asset", "source_key", "observed_on", "weight", "observation_ids")
+
+
+def lineages(sources: DataFrame, exposures: DataFrame, calendar: DataFrame, max_age_days: int) -> DataFrame:
+    """The ids ``source_key:observation_id`` that event_sum adds up, per session and asset: session, asset, lineage (ids in order, joined by commas).
+
+    What counts of a source's day in a session is the same for every asset, so its ids are joined once and have a
+    number there, in the order of ids; an asset's rows are numbers, which are sorted and spelt out last. Days of a session whose
+    ids lie among each other have a number for every id.
+    """
+    events = event_runs(sources, calendar, max_age_days)
+    weights = weight_runs(exposures, live_days(events), calendar)
+    day = ["session_index", "source_key", "observed_on"]
+    spread = events.withColumn("session_index", F.explode(F.sequence("first", "last")))
+    ids = spread.groupBy(*day).agg(F.sort_array(F.collect_list(F.concat_ws(":", "source_key", "observation_id"))).alias("ids")).withColumn("text", F.array_join("ids", ","))
+    order = Window.partitionBy("session_index").orderBy("text", "source_key", "observed_on")
+    ids = ids.withColumn("follows", F.coalesce(F.lag(F.element_at("ids", -1)).over(order) <= F.element_at("ids", 1), F.lit(True)))
+    apart = F.min("follows").over(Window.partitionBy("session_index"))
+    parts = ids.withColumn("apart", apart).select(*day, F.explode(F.when(F.col("apart"), F.array("text")).otherwise(F.col("ids"))).alias("part"))
+    parts = stored(parts.withColumn("number", F.row_number().over(Window.partitionBy("session_index").orderBy("part", "source_key", "observed_on"))))
+    numbered = parts.groupBy(*day).agg(F.collect_list("number").alias("numbers"))
+    listed = numbered.groupBy("source_key", "observed_on").agg(F.collect_list(F.struct("session_index", "numbers")).alias("live"))
+    ruled = F.filter("live", lambda x: x["session_index"].between(F.col("first"), F.col("last")))
+    rows = weights.join(listed, ["source_key", "observed_on"]).select("asset", F.explode(ruled).alias("x")).select("asset", "x.*")
+    held = rows.groupBy("session_index", "asset").agg(F.array_sort(F.flatten(F.collect_list("numbers"))).alias("numbers"))
+    # numbers run from 1 without gaps, so a session's parts in their order are found by place
+    spelt = parts.groupBy("session_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "part"))), lambda x: x["part"]).alias("parts"))
+    spelt = spelt.join(F.broadcast(calendar.select("session", "session_index")), "session_index")
+    out = held.join(spelt, "session_index")
+    return out.select("session", "asset", F.array_join(F.transform("numbers", lambda n: F.element_at("parts", n)), ",").alias("lineage"))
