@@ -35,6 +35,17 @@ def divide(a: Column, b: Column) -> Column:
     return finite(F.try_divide(a, b))
 
 
+def quotient(a: Column, b: Column) -> Column:
+    """a / b in IEEE arithmetic, for results that are held against SQL: a zero divisor gives an infinity, or NaN under zero."""
+    return F.coalesce(F.try_divide(a, b), a * F.pow(b, F.lit(-1.0)))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """x to so many places by scaling, as DuckDB rounds; ``F.round`` rounds the decimal text, which differs by a last place near halves."""
+    scale = F.lit(10.0**places)
+    return F.round(x * scale) / scale
+
+
 def _all_known(xs: tuple[Column, ...]) -> Column:
     return reduce(lambda p, q: p & q, [x.isNotNull() for x in xs])
 

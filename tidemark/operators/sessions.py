@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import divide
@@ -10,13 +12,14 @@ from tidemark.functions.columns import divide
 from .pit import next_session
 
 
-def round_trips(books: DataFrame, calendar: DataFrame, bars: DataFrame) -> DataFrame:
+def round_trips(books: DataFrame, calendar: DataFrame, bars: DataFrame, ratio: Callable[[Column, Column], Column] = divide) -> DataFrame:
     """One trade per book and session with exact bars at entry and exit.
 
     Entry is close - m minutes, exit next open + k minutes. Every trade has the same
     notional (starting capital, capped and levered, net of entry cost): results do not
     compound. Trades without one of the bars are absent; ``missing_round_trips`` has them.
-    A trade whose entry price is zero has no quantity: its results are NULL.
+    A trade whose entry price is zero has no quantity: its results are NULL. With ``columns.quotient``
+    as ``ratio`` they are those of IEEE arithmetic: NaN, or minus infinity for a short with a price at its exit.
     """
     rate = F.col("cost_bps") / 10_000
     sign = F.when(F.col("side") == "long", 1).otherwise(-1)
@@ -25,11 +28,11 @@ def round_trips(books: DataFrame, calendar: DataFrame, bars: DataFrame) -> DataF
     opens = bars.select("exchange", "asset", F.col("open_at").alias("entry_at"), F.col("open").alias("entry_price"), F.col("kind").alias("entry_kind"))
     exits = bars.where("kind = 'intraday'").select("exchange", "asset", F.col("open_at").alias("exit_at"), F.col("open").alias("exit_price"))
     out = trips.join(opens, ["exchange", "asset", "entry_at", "entry_kind"]).join(exits, ["exchange", "asset", "exit_at"])
-    out = out.withColumn("notional", notional).withColumn("quantity", divide(sign * F.col("notional"), F.col("entry_price")))
+    out = out.withColumn("notional", notional).withColumn("quantity", ratio(sign * F.col("notional"), F.col("entry_price")))
     out = out.withColumn("gross_pnl", F.col("quantity") * (F.col("exit_price") - F.col("entry_price")))
     out = out.withColumn("costs", rate * (F.col("notional") + F.abs("quantity") * F.col("exit_price")))
     out = out.withColumn("net_pnl", F.col("gross_pnl") - F.col("costs"))
-    return out.withColumn("trade_return", divide(F.col("net_pnl"), F.col("notional")))
+    return out.withColumn("trade_return", ratio(F.col("net_pnl"), F.col("notional")))
 
 
 def planned(books: DataFrame, calendar: DataFrame) -> DataFrame:
