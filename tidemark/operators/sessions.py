@@ -58,7 +58,8 @@ def first_session_touch(trades: DataFrame, bars: DataFrame, stop: float, target:
 
 
 def trade_nav(trades: DataFrame, starting_cash: float, *by: str) -> DataFrame:
-    """NAV after each exit: starting cash plus the running net result; NULL from a trade on that was entered at price zero."""
+    """NAV after each exit: starting cash plus the running net result; NULL from a trade on that was entered at price zero
+    and has no result. Where it has one (NaN or an infinity, of ``columns.quotient``), that goes on in the sum."""
     order = Window.partitionBy(*by).orderBy("exit_at", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
-    undefined = F.count_if((F.col("entry_price") == 0) & F.col("exit_price").isNotNull()).over(order) > 0
+    undefined = F.count_if((F.col("entry_price") == 0) & F.col("exit_price").isNotNull() & F.col("net_pnl").isNull()).over(order) > 0
     return trades.withColumn("nav", F.when(~undefined, starting_cash + F.sum("net_pnl").over(order)))
